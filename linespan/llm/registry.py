@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .langid import op7_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources,)}
+QUERIES = {f.__name__: f for f in (op6_mix_sources, op7_language_id)}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}

@@ -73,6 +73,22 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for each of many ascending, disjoint spans."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 18), "right")))
+        a, b = start[i], end[j - 1]
+        up, down = _pow(_BASE, b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[data[a:b]] * up[:-1], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = (total[e] - total[s]) * down[s]
+        i = j
+    return mix(out)
+
+
 class Words:
     """The words of some texts: `start`, `end` (bytes), `row` and `hash` of each."""
 
@@ -90,21 +106,7 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.data = _LOWER[data] if lower else data
         if hashes:
-            self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        i = 0
-        while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + (1 << 18), "right")))
-            a, b = self.start[i], self.end[j - 1]
-            up, down = _pow(_BASE, b - a + 1)
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_BYTE[self.data[a:b]] * up[:-1], out=total[1:])
-            s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = (total[e] - total[s]) * down[s]
-            i = j
-        return mix(out)
+            self.hash = span_hash(self.data, self.start, self.end)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word, and hash, of every run of n words of one row."""
