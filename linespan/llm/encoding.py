@@ -5,7 +5,7 @@ a run of ASCII white space: what follows a word begins a new split.  So the ids
 of a text are the ids of its pieces in order (with a byte-level vocabulary a
 piece is white space and the word after it, with a word vocabulary the word),
 and each worker keeps the ids of the pieces that it has met, by 64-bit hash.
-Texts with other white space inside words are encoded whole.
+A piece that ends in white space outside ASCII is kept together with the next.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ import numpy as np
 from .words import Words, span_hash
 
 KNOWN_MAX = 2_000_000
-#: White space outside ASCII, and the separators that some regex engines count as such.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _made: dict[str, Encoder] = {}
 
@@ -31,6 +29,20 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
+def _ends_in_other_space(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether spans end in white space outside ASCII, or in the separators 0x1C-0x1F."""
+    if not len(start):
+        return np.zeros(0, bool)
+
+    def back(k: int) -> np.ndarray:
+        return np.where(end - start >= k, data[np.maximum(end - k, 0)], 0)
+
+    z, y, x = back(1), back(2), back(3)
+    e280 = (x == 0xE2) & (y == 0x80) & (((z >= 0x80) & (z <= 0x8A)) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+    three = e280 | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+    return three | ((z >= 0x1C) & (z <= 0x1F)) | ((y == 0xC2) & ((z == 0x85) | (z == 0xA0)))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,7 +53,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.by_word = bool(self.ends.any())  # the word vocabulary marks word ends and drops white space
-        self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
+        self.dtype = np.dtype(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
         self.forget()
 
     def forget(self) -> None:
@@ -88,7 +100,13 @@ class Encoder:
         begin = np.maximum(begin, offsets[w.row])
         start, end, rows = np.concatenate([begin, last[tail]]), np.concatenate([w.end, offsets[tail + 1]]), np.concatenate([w.row, row[tail]])
         order = np.argsort(start, kind="stable")
-        return start[order], end[order], rows[order]
+        start, end, rows = start[order], end[order], rows[order]
+        # A run of white space must not be cut: join what follows other white space to it.
+        open_end = _ends_in_other_space(data, start, end)
+        joined = np.flatnonzero(open_end[:-1] & (rows[:-1] == rows[1:])) + 1
+        heads, tails = np.ones(len(start), bool), np.ones(len(start), bool)
+        heads[joined], tails[joined - 1] = False, False
+        return start[heads], end[tails], rows[heads]
 
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Index into `at` and `len` of every piece; unknown pieces are learnt first."""
@@ -107,16 +125,16 @@ class Encoder:
             found = np.searchsorted(self.keys, keys)
         return found[back]
 
-    def odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows with white space that `pieces` doesn't know."""
-        if self.by_word or not len(data):
-            return np.zeros(0, np.int64)
-        lead = np.flatnonzero(((data >= 0x1C) & (data <= 0x1F)) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
-        if not len(lead):
-            return np.zeros(0, np.int64)
-        rows = np.unique(np.searchsorted(offsets, lead, "right") - 1)
-        raw = data.tobytes()
-        return np.array([r for r in rows if OTHER_SPACE.search(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"))], np.int64)
+    def prefixes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prefix table of every row: row, end (bytes from the row's start) and the exact
+        number of tokens of the text up to there, at every end of a piece.  It is a dynamic
+        programme over pieces: tokens(prefix) = tokens(shorter prefix) + tokens(piece)."""
+        start, end, row = self.pieces(data, offsets)
+        k = self.lookup(data, start, end)
+        total = np.cumsum(self.len[k], dtype=np.int64)
+        first = np.searchsorted(row, np.arange(len(offsets) - 1))
+        base = np.concatenate([[0], total])[first]
+        return row, end - offsets[row], total - base[row]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, in order, and the number of ids of each row."""
@@ -127,12 +145,4 @@ class Encoder:
         shift = np.repeat(self.at[k] - (total - size), size)
         ids = self.ids[np.arange(len(shift)) + shift]
         counts = np.bincount(row, weights=size, minlength=len(offsets) - 1).astype(np.int64)
-        odd = self.odd_rows(data, offsets)
-        if len(odd):
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            raw = data.tobytes()
-            for r, x in zip(odd, self.whole([raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace") for r in odd]), strict=True):
-                parts[r] = np.asarray(x, self.dtype)
-                counts[r] = len(x)
-            ids = np.concatenate(parts)
         return ids, counts
