@@ -6,7 +6,8 @@ from .binary import op9_token_files
 from .langid import op7_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import op3_ngram_jaccard_join
+from .substring import op8_substring_dedup
 from .tokens import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_mix_sources, op7_language_id, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files)}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
