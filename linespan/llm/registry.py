@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .binary import op9_token_files
+from .decontaminate import op10_decontaminate
 from .langid import op7_language_id
 from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import op3_ngram_jaccard_join
 from .substring import op8_substring_dedup
 from .tokens import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files, op10_decontaminate)}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
