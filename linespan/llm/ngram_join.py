@@ -43,6 +43,8 @@ from .words import Words, mix, pieces, texts
 
 N, LONG, LONG_MAX, BINS, PER_BAND = 5, 128, 4_000_000, 32, 4
 U = np.uint64
+#: Sets of sizes that differ by more can't link.
+SIZES = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
 
 
 class Sets:
@@ -176,11 +178,15 @@ class Join:
         self.docs, self.scratch, self.step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, 0
         self.signatures = scratch.keep(signatures(self.docs), "signatures")
         self.classes = scratch.keep(classes(self.docs), "classes")
-        self.links = None
+        self.links, self.tables = None, {}
 
     def _keep(self, df: DataFrame, what: str) -> DataFrame:
         self.step += 1
-        return self.scratch.keep(df, f"{self.step}-{what}")
+        self.tables[what] = f"{self.step}-{what}"
+        return self.scratch.keep(df, self.tables[what])
+
+    def _drop(self, *what: str) -> None:
+        self.scratch.drop(*[self.tables.pop(w) for w in what if w in self.tables])
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a < b) that link, tested on the lowest hashes and then on whole sets."""
@@ -193,18 +199,23 @@ class Join:
         if one.where("named = 0").limit(1).count():
             found = found.unionByName(self.docs.where("doc_id is null"))
         sets = self._keep(whole_sets(found).join(one.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-        return self._keep(_linked(_both_sides(near, sets, "members")), "links")
+        found = self._keep(_linked(_both_sides(near, sets, "members")), "links")
+        self._drop("near", "chosen", "sets")
+        return found
 
     def add(self, pairs: DataFrame) -> None:
         pairs = self._keep(pairs.where("a < b").distinct(), "pairs")
         found = self.verify(pairs)
+        self._drop("pairs")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.comps = self._keep(components(self.links, self.scratch, f"cc{self.step}"), "comps")
 
     def tie_bands(self) -> None:
-        band = self.classes.select("key", F.explode("bands").alias("band"))
-        lead = self._keep(band.groupBy("band").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "bands")
-        self.add(band.join(lead, "band").select(F.col("lead").alias("a"), F.col("key").alias("b")))
+        band = self.classes.select("key", "n", F.explode("bands").alias("band"))
+        lead = band.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        lead = self._keep(lead, "bands")
+        self.add(band.join(lead, "band").where(SIZES.format("n", "lead.n")).select(F.col("lead.key").alias("a"), F.col("key").alias("b")))
+        self._drop("bands")
 
     def lists(self) -> tuple[DataFrame, int]:
         """Members in the lowest hashes of two classes or more, and from which length a list is long."""
@@ -226,16 +237,17 @@ class Join:
         return lists, long
 
     def postings(self) -> DataFrame:
-        """(member, key, n, kind) of the prefixes, of members that several classes have.
-        kind 0: short lists, 1: the prefix of an exhausted class, 2: long lists that only 1 meets."""
+        """(member, key, n, kind, last) of the prefixes, of members that several classes have.
+        kind 0: short lists, 1: the prefix of an exhausted class, 2: long lists that only 1
+        meets.  last: the last member of the class's prefix, in the order of the hashes."""
         lists, long = self.lists()
         long_members = np.sort(np.array([r["member"] for r in lists.where(f"c > {long}").select("member").toLocalIterator()], np.int64).view(np.uint64))
         shared = self.docs.sparkSession.sparkContext.broadcast(long_members)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["member", "key", "n", "kind"]
+            names = ["member", "key", "n", "kind", "last"]
             for batch in batches:
-                cols: list[list] = [[], [], [], []]
+                cols: list[list] = [[], [], [], [], []]
                 for key, n, low in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("low"), strict=True):
                     m = np.frombuffer(low.as_buffer(), np.uint64)
                     at = np.searchsorted(shared.value, m)
@@ -246,35 +258,50 @@ class Join:
                     parts = [(short, 0), (m[:p][is_long[:p]], 2)] if len(short) == p else [(m[:p], 1)]
                     for x, kind in parts:
                         if len(x):
-                            for c, v in zip(cols, (x.view(np.int64), np.full(len(x), key), np.full(len(x), n), np.full(len(x), kind, np.int8)), strict=True):
+                            # As a signed number in the order of the unsigned hashes.
+                            last = (x[-1] ^ U(1 << 63)).astype(np.int64)
+                            for c, v in zip(cols, (x.view(np.int64), *[np.full(len(x), v, t) for v, t in ((key, np.int64), (n, np.int32), (kind, np.int8), (last, np.int64))]), strict=True):
                                 c.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
-        made = self.classes.select("key", "n", "low").mapInArrow(emit, "member bigint, key bigint, n bigint, kind tinyint")
-        return self._keep(made.join(lists.select("member"), "member"), "postings")
+        made = self.classes.select("key", "n", "low").mapInArrow(emit, "member bigint, key bigint, n int, kind tinyint, last bigint")
+        made = self._keep(made.join(lists.select("member"), "member"), "postings")
+        self._drop("lists")
+        return made
 
     def contested(self, postings: DataFrame) -> DataFrame:
         """Postings of members that classes of several components have."""
         known = postings.join(self.comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         known = self._keep(known, "known")
         several = known.groupBy("member").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("member")
-        return self._keep(known.join(self._keep(several, "several"), "member", "left_semi"), "contested")
+        found = self._keep(known.join(self._keep(several, "several"), "member", "left_semi"), "contested")
+        self._drop("postings", "known", "several")
+        return found
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document."""
         self.tie_bands()
         postings = self.contested(self.postings())
-        lead = self._keep(postings.groupBy("member").agg(F.min(F.struct("key", "comp")).alias("lead")), "leads")
-        tied = postings.join(lead, "member").where("comp != lead.comp").select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
-        self.add(tied)
+        # Long lists first tie their classes to one of them, a pair a class.
+        long = postings.where("kind > 0")
+        lead = self._keep(long.groupBy("member").agg(F.min(F.struct("key", "comp", "n")).alias("lead")), "leads")
+        tied = long.where("kind = 1").join(lead, "member").where("comp != lead.comp and " + SIZES.format("n", "lead.n"))
+        self.add(tied.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")))
         postings = self.contested(postings.drop("comp"))
-        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "kind", "comp")]) for s in ("x", "y"))
+        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "kind", "last", "comp")]) for s in ("x", "y"))
         met = x.join(y, "member").where(
-            "key_x < key_y and comp_x != comp_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)"
-            " and (kind_x = 1 or kind_y = 1 or (kind_x = 0 and kind_y = 0))"
+            "key_x < key_y and comp_x != comp_y and (kind_x = 1 or kind_y = 1 or (kind_x = 0 and kind_y = 0)) and " + SIZES.format("n_x", "n_y")
+        )
+        # Shared members up to the nearer end of the two prefixes are all counted; beyond it
+        # no more can be shared than that set has left.  Classes on long lists aren't cut.
+        left = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x")).otherwise(F.col("n_y"))
+        counted = met.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(
+            F.count(F.lit(1)).alias("shared"), F.min(left).alias("of"), F.min(F.col("n_x") + F.col("n_y")).alias("both"), F.max(F.greatest("kind_x", "kind_y")).alias("kind")
         )
-        self.add(met.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")))
+        rest = "floor((3 * of + 3) / 4) - 1"  # of - prefix(of)
+        self.add(counted.where(f"kind > 0 or 7 * (shared + {rest}) >= 3 * both").select("a", "b"))
+        self._drop("contested", "leads")
         sig = self.signatures.join(self.comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         least = self._keep(sig.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "named")
         out = sig.join(least, "comp", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .binary import op9_token_files
 from .decontaminate import op10_decontaminate
 from .langid import op7_language_id
+from .lattice import op2_lattice_near_vectors
 from .mixing import OP6_SQL, op6_mix_sources
 from .ngram_join import op3_ngram_jaccard_join
 from .quality import op5_quality_resample
@@ -12,5 +13,5 @@ from .substring import op8_substring_dedup
 from .tokens import op1_token_counts
 from .urlfilter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_url_filter, op5_quality_resample, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lattice_near_vectors, op3_ngram_jaccard_join, op4_url_filter, op5_quality_resample, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files, op10_decontaminate)}
 ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
