@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import scoring as S
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -225,3 +226,19 @@ def size_gate(spark, sf_dir):
     """Which pages are too large to be read whole."""
     n = F.octet_length("html").cast("long")
     return table(spark, sf_dir, "pages").select("page_id", n.alias("bytes"), F.when(n > 30_720, "whole read refused").alias("reason"))
+
+
+@query(
+    """WITH d AS (SELECT lang, doc_id % 3 AS k FROM documents WHERE lang IS NOT NULL)
+SELECT lang, sum(CASE k WHEN 1 THEN 0 ELSE 1 END + 1)::BIGINT AS hit, 2 * count(*) AS need, sum(CASE k WHEN 1 THEN 0 ELSE 1 END + 1)::BIGINT AS "right",
+sum(CASE k WHEN 2 THEN 3 ELSE 2 END)::BIGINT AS answered, sum(CASE k WHEN 1 THEN 0 ELSE 1 END + 1) / (2 * count(*)) AS recall,
+sum(CASE k WHEN 1 THEN 0 ELSE 1 END + 1) / sum(CASE k WHEN 2 THEN 3 ELSE 2 END) AS precision, count(*) FILTER (k = 2) / count(*) AS invented_rate FROM d GROUP BY lang"""
+)
+def score_schema(spark, sf_dir):
+    """Answers in a schema's shape against the truth: right, wrong and invented leaves, and a list of one item."""
+    d = table(spark, sf_dir, "documents").where("lang is not null").select("lang", "doc_id", "n_chars")
+    k, item = F.col("doc_id") % 3, F.array(F.struct(F.col("n_chars").alias("n")))
+    never = {"ignoreNullFields": "false"}
+    want = F.to_json(F.struct(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("gone"), item.alias("rows")), never)
+    got = F.to_json(F.struct(F.when(k == 1, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("id"), F.when(k == 2, "made up").alias("gone"), item.alias("rows")), never)
+    return S.recall_precision(d.select("lang", S.score_schema(want, got).alias("s")), "lang")
