@@ -41,10 +41,13 @@ from .components import components
 from .scratch import Scratch
 from .words import Words, mix, pieces, texts
 
-N, LONG, LONG_MAX, BINS, PER_BAND = 5, 128, 4_000_000, 32, 4
+N, LONG, LONG_MAX, BINS, PER_BAND = 5, 24, 4_000_000, 32, 4
+LAST = (1 << 63) - 1
 U = np.uint64
 #: Sets of sizes that differ by more can't link.
 SIZES = "4 * least({0}, {1}) >= 3 * greatest({0}, {1})"
+#: Nor can sets that share at most the smaller of the first two numbers.
+REACH = "7 * least({0}, {1}) >= 3 * ({2} + {3})"
 
 
 class Sets:
@@ -176,9 +179,9 @@ class Join:
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.docs, self.scratch, self.step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, 0
+        self.links, self.comps, self.sets, self.tables = None, None, None, {}
         self.signatures = scratch.keep(signatures(self.docs), "signatures")
         self.classes = scratch.keep(classes(self.docs), "classes")
-        self.links, self.tables = None, {}
 
     def _keep(self, df: DataFrame, what: str) -> DataFrame:
         self.step += 1
@@ -188,121 +191,166 @@ class Join:
     def _drop(self, *what: str) -> None:
         self.scratch.drop(*[self.tables.pop(w) for w in what if w in self.tables])
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) that link, tested on the lowest hashes and then on whole sets."""
-        near = self._keep(_linked(_both_sides(pairs, self.classes, "low")), "near")
-        ids = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-        one = self.signatures.join(ids, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("named"))
+    # --- whole sets, made from the texts once for each class that needs one
+
+    def fetch(self, keys: DataFrame) -> DataFrame:
+        """A table of whole sets (key, n, members) that has these classes."""
+        if self.sets is not None:
+            keys = keys.join(self.sets.select("key"), "key", "left_anti")
+        one = self.signatures.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
         one = self._keep(one, "chosen")
+        if one.isEmpty():
+            return self.sets
         # A class none of whose rows has an id is read from the rows without ids.
-        found = self.docs.join(one.where("named > 0").select("doc_id").distinct(), "doc_id", "left_semi")
-        if one.where("named = 0").limit(1).count():
-            found = found.unionByName(self.docs.where("doc_id is null"))
-        sets = self._keep(whole_sets(found).join(one.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-        found = self._keep(_linked(_both_sides(near, sets, "members")), "links")
-        self._drop("near", "chosen", "sets")
-        return found
+        found = self.docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(self.docs.where("doc_id is null"))
+        made = self._keep(whole_sets(found).join(one.select("key"), "key", "left_semi").dropDuplicates(["key"]), f"sets{self.step}")
+        self._drop("chosen")
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+        return self.sets
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = self._keep(pairs.where("a < b").distinct(), "pairs")
-        found = self.verify(pairs)
-        self._drop("pairs")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.comps = self._keep(components(self.links, self.scratch, f"cc{self.step}"), "comps")
+        """Test pairs (a, b), on the lowest hashes and then on whole sets, and tie what links."""
+        ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        pairs = self._keep(pairs.where("a != b").select(*ends).distinct(), "pairs")
+        near = self._keep(_linked(_both_sides(pairs, self.classes, "low")), "near")
+        if not near.isEmpty():
+            sets = self.fetch(near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))))
+            found = self._keep(_linked(_both_sides(near, sets, "members")), f"links{self.step}")
+            if not found.isEmpty():
+                self.links = found if self.links is None else self.links.unionByName(found)
+                self.comps = self._keep(components(self.links, self.scratch, f"cc{self.step}"), f"comps{self.step}")
+        self._drop("pairs", "near")
+
+    def with_comp(self, df: DataFrame) -> DataFrame:
+        if self.comps is None:
+            return df.withColumn("comp", F.col("key"))
+        return df.join(self.comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+    # --- candidates
 
     def tie_bands(self) -> None:
+        """Near copies to the leader of each band of theirs: a pair a class and band."""
         band = self.classes.select("key", "n", F.explode("bands").alias("band"))
         lead = band.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
         lead = self._keep(lead, "bands")
         self.add(band.join(lead, "band").where(SIZES.format("n", "lead.n")).select(F.col("lead.key").alias("a"), F.col("key").alias("b")))
         self._drop("bands")
 
-    def lists(self) -> tuple[DataFrame, int]:
-        """Members in the lowest hashes of two classes or more, and from which length a list is long."""
+    def long_of(self, tables: DataFrame, column: str, least: int = LONG) -> tuple[np.ndarray, DataFrame]:
+        """The members with the longest inverted lists over sets in a binary column, at most
+        LONG_MAX of them, and the lengths of all lists of two or more."""
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.int64)
-                m, c = np.unique(low, return_counts=True)
+                m, c = np.unique(np.frombuffer(b"".join(batch.column(column).to_pylist()), np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c)], ["member", "c"])
 
-        counted = self.classes.select("low").mapInArrow(members, "member bigint, c bigint").groupBy("member").agg(F.sum("c").alias("c"))
-        lists = self._keep(counted.where("c > 1"), "lists")
-        by_length = lists.where(f"c > {LONG}").groupBy(F.floor(F.log2("c")).alias("k")).count().orderBy("k").collect()  # at most 64 rows
-        long, above = LONG, sum(r["count"] for r in by_length)
+        counted = tables.select(column).mapInArrow(members, "member bigint, c bigint").groupBy("member").agg(F.sum("c").alias("c"))
+        lists = self._keep(counted.where("c > 1"), f"lists-{column}")
+        by_length = lists.where(f"c > {least}").groupBy(F.floor(F.log2("c")).alias("k")).count().orderBy("k").collect()  # at most 64 rows
+        above = sum(r["count"] for r in by_length)
         for r in by_length:
             if above <= LONG_MAX:
                 break
-            above, long = above - r["count"], 2 << r["k"]
-        return lists, long
-
-    def postings(self) -> DataFrame:
-        """(member, key, n, kind, last) of the prefixes, of members that several classes have.
-        kind 0: short lists, 1: the prefix of an exhausted class, 2: long lists that only 1
-        meets.  last: the last member of the class's prefix, in the order of the hashes."""
-        lists, long = self.lists()
-        long_members = np.sort(np.array([r["member"] for r in lists.where(f"c > {long}").select("member").toLocalIterator()], np.int64).view(np.uint64))
-        shared = self.docs.sparkSession.sparkContext.broadcast(long_members)
+            above, least = above - r["count"], 2 << r["k"]
+        found = [r["member"] for r in lists.where(f"c > {least}").select("member").toLocalIterator()]
+        return np.sort(np.array(found, np.int64).view(np.uint64)), lists
+
+    def prefixes(self, sets: DataFrame, column: str, long: np.ndarray, complete: bool) -> DataFrame:
+        """(member, key, n, rest, last, long, full): the members of each set's prefix, those of
+        short lists first.  `rest`: how many members come behind the prefix, or behind the
+        short ones where all short members are in it; `last`: where the prefix ends in the
+        order of the hashes (the largest number in the latter case).  From lowest hashes
+        alone, a set that lacks short members gives one row without a member."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(long)
+        names = ["member", "key", "n", "rest", "last", "long"]
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["member", "key", "n", "kind", "last"]
             for batch in batches:
-                cols: list[list] = [[], [], [], [], []]
-                for key, n, low in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column("low"), strict=True):
-                    m = np.frombuffer(low.as_buffer(), np.uint64)
-                    at = np.searchsorted(shared.value, m)
-                    at[at == len(shared.value)] = 0
-                    is_long = shared.value[at] == m if len(shared.value) else np.zeros(len(m), bool)
-                    p = int(prefix(n))
-                    short = m[~is_long][:p]
-                    parts = [(short, 0), (m[:p][is_long[:p]], 2)] if len(short) == p else [(m[:p], 1)]
-                    for x, kind in parts:
-                        if len(x):
-                            # As a signed number in the order of the unsigned hashes.
-                            last = (x[-1] ^ U(1 << 63)).astype(np.int64)
-                            for c, v in zip(cols, (x.view(np.int64), *[np.full(len(x), v, t) for v, t in ((key, np.int64), (n, np.int32), (kind, np.int8), (last, np.int64))]), strict=True):
-                                c.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-
-        made = self.classes.select("key", "n", "low").mapInArrow(emit, "member bigint, key bigint, n int, kind tinyint, last bigint")
-        made = self._keep(made.join(lists.select("member"), "member"), "postings")
-        self._drop("lists")
+                parts: list[tuple] = []
+                for key, n, raw in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column(column), strict=True):
+                    m = np.frombuffer(raw.as_buffer(), np.uint64)
+                    if len(shared.value):
+                        at = np.searchsorted(shared.value, m)
+                        at[at == len(shared.value)] = 0
+                        is_long = shared.value[at] == m
+                    else:
+                        is_long = np.zeros(len(m), bool)
+                    p, short = int(prefix(n)), m[~is_long]
+                    if len(short) >= p:
+                        end = int((short[p - 1] ^ U(1 << 63)).astype(np.int64))
+                        parts.append((short[:p], key, n, n - p, end, False))
+                    elif complete:
+                        parts.append((short, key, n, n - len(short), LAST, False))
+                        parts.append((m[is_long][: p - len(short)], key, n, n - len(short), LAST, True))
+                    else:
+                        parts.append((None, key, n, 0, 0, True))
+                if not parts:
+                    continue
+                count = np.array([1 if x[0] is None else len(x[0]) for x in parts])
+                member = np.concatenate([np.zeros(1, np.uint64) if x[0] is None else x[0] for x in parts]).view(np.int64)
+                lacking = np.repeat([x[0] is None for x in parts], count)
+                cols = [np.repeat(np.array([x[i] for x in parts], t), count) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int64), (5, bool))]
+                yield pa.RecordBatch.from_arrays([pa.array(member, mask=lacking), *map(pa.array, cols)], names)
+
+        return sets.select("key", "n", column).mapInArrow(emit, "member bigint, key bigint, n int, rest int, last bigint, long boolean")
+
+    def postings(self) -> DataFrame:
+        """The prefixes' rows whose member several classes have."""
+        long, lists = self.long_of(self.classes, "low")
+        lacking = self.prefixes(self.classes, "low", long, False)
+        if len(long):
+            exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted0")
+            if not exhausted.isEmpty():
+                # Lists of their other members can be long too: count them on whole sets.
+                more, _ = self.long_of(self.fetch(exhausted).join(exhausted, "key", "left_semi"), "members")
+                long = np.union1d(long, more)
+                lacking = self.prefixes(self.classes, "low", long, False)
+        made = self._keep(lacking.where("member is not null").join(lists.select("member"), "member", "left_semi"), "short")
+        exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted")
+        if not exhausted.isEmpty():
+            whole = self.fetch(exhausted).join(exhausted, "key", "left_semi")
+            whole = self._keep(self.prefixes(whole, "members", long, True), "whole")
+            # Members that only whole sets brought in may meet in lists that weren't counted.
+            own = whole.select("member").distinct().join(lists.select("member"), "member", "left_anti")
+            in_low = self.prefixes(self.classes, "low", long, False).where("member is not null").join(own, "member", "left_semi")
+            made = made.unionByName(in_low).unionByName(whole)
+            made = self._keep(made, "postings")
+            self._drop("short", "whole")
+        self._drop("lists-low", "lists-members", "exhausted0", "exhausted")
         return made
 
     def contested(self, postings: DataFrame) -> DataFrame:
         """Postings of members that classes of several components have."""
-        known = postings.join(self.comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        known = self._keep(known, "known")
+        known = self._keep(self.with_comp(postings), f"known{self.step}")
         several = known.groupBy("member").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("member")
-        found = self._keep(known.join(self._keep(several, "several"), "member", "left_semi"), "contested")
-        self._drop("postings", "known", "several")
-        return found
+        return self._keep(known.join(self._keep(several, f"several{self.step}"), "member", "left_semi"), f"contested{self.step}")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every document."""
         self.tie_bands()
         postings = self.contested(self.postings())
-        # Long lists first tie their classes to one of them, a pair a class.
-        long = postings.where("kind > 0")
-        lead = self._keep(long.groupBy("member").agg(F.min(F.struct("key", "comp", "n")).alias("lead")), "leads")
-        tied = long.where("kind = 1").join(lead, "member").where("comp != lead.comp and " + SIZES.format("n", "lead.n"))
-        self.add(tied.select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")))
-        postings = self.contested(postings.drop("comp"))
-        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "kind", "last", "comp")]) for s in ("x", "y"))
-        met = x.join(y, "member").where(
-            "key_x < key_y and comp_x != comp_y and (kind_x = 1 or kind_y = 1 or (kind_x = 0 and kind_y = 0)) and " + SIZES.format("n_x", "n_y")
-        )
-        # Shared members up to the nearer end of the two prefixes are all counted; beyond it
-        # no more can be shared than that set has left.  Classes on long lists aren't cut.
-        left = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x")).otherwise(F.col("n_y"))
+        # Classes on long lists are first tied to the one in each list that has the smallest
+        # share of members on short lists: of near copies, the one with the fewest changes.
+        long = postings.where("long")
+        if not long.isEmpty():
+            share = (1 - F.col("rest") / F.col("n")).alias("share")
+            lead = self._keep(long.groupBy("member").agg(F.min(F.struct(share, "key", "comp", "n", "rest")).alias("lead")), "leads")
+            tied = long.join(lead, "member").where("comp != lead.comp and " + SIZES.format("n", "lead.n") + " and " + REACH.format("rest", "lead.rest", "n", "lead.n"))
+            self.add(tied.select(F.col("key").alias("a"), F.col("lead.key").alias("b")))
+            postings = self.contested(postings.drop("comp"))
+        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "rest", "last", "long", "comp")]) for s in ("x", "y"))
+        met = x.join(y, "member").where("key_x < key_y and comp_x != comp_y and long_x = long_y and " + SIZES.format("n_x", "n_y"))
+        # Classes that meet on a long list and on no short one share long members at most.
+        met = met.where("not long_x or " + REACH.format("rest_x", "rest_y", "n_x", "n_y"))
+        # Shared short members up to the nearer end of the two prefixes are all counted;
+        # beyond it no more can be shared than the sets have left there.
+        left = F.when(F.col("last_x") < F.col("last_y"), F.col("rest_x")).when(F.col("last_x") > F.col("last_y"), F.col("rest_y")).otherwise(F.least("rest_x", "rest_y"))
         counted = met.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(
-            F.count(F.lit(1)).alias("shared"), F.min(left).alias("of"), F.min(F.col("n_x") + F.col("n_y")).alias("both"), F.max(F.greatest("kind_x", "kind_y")).alias("kind")
+            F.count_if(~F.col("long_x")).alias("shared"), F.min(left).alias("left"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
         )
-        rest = "floor((3 * of + 3) / 4) - 1"  # of - prefix(of)
-        self.add(counted.where(f"kind > 0 or 7 * (shared + {rest}) >= 3 * both").select("a", "b"))
-        self._drop("contested", "leads")
-        sig = self.signatures.join(self.comps.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        self.add(counted.where("7 * (shared + left) >= 3 * both").select("a", "b"))
+        sig = self.with_comp(self.signatures)
         least = self._keep(sig.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "named")
         out = sig.join(least, "comp", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
