@@ -6,12 +6,14 @@ from .binary import op9_token_files
 from .decontaminate import op10_decontaminate
 from .langid import op7_language_id
 from .lattice import op2_lattice_near_vectors
-from .mixing import OP6_SQL, op6_mix_sources
+from .mixing import op6_mix_sources
 from .ngram_join import op3_ngram_jaccard_join
+from .oracles import ORACLE_SQL
 from .quality import op5_quality_resample
 from .substring import op8_substring_dedup
 from .tokens import op1_token_counts
 from .urlfilter import op4_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lattice_near_vectors, op3_ngram_jaccard_join, op4_url_filter, op5_quality_resample, op6_mix_sources, op7_language_id, op8_substring_dedup, op9_token_files, op10_decontaminate)}
-ORACLE_SQL = {"op6_mix_sources": OP6_SQL}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
