@@ -183,7 +183,7 @@ def draft_summary(spark, sf_dir):
 
 
 def _values(spark, sf_dir) -> DataFrame:
-    c = _carried(spark, sf_dir).where("n <= 12")
+    c = _carried(spark, sf_dir)
     k, n, text = F.col("n") % 6, F.col("n").cast("string"), F.col("text")
     word = F.get(F.split("text", " "), F.lit(0))
     return c.select(
@@ -196,7 +196,7 @@ def _values(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""WITH {CARRIED} SELECT job, chunk, 'f' || (n % 4) AS path, n AS seq, CASE n % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_ref' WHEN 2 THEN 'bad_ref' WHEN 3 THEN 'quote_mismatch'
-WHEN 4 THEN CASE WHEN contains(text, ' ') THEN 'ok~' ELSE 'ok' END ELSE 'null' END AS status FROM carried WHERE n <= 12"""
+WHEN 4 THEN CASE WHEN contains(text, ' ') THEN 'ok~' ELSE 'ok' END ELSE 'null' END AS status FROM carried"""
 )
 def schema_check(spark, sf_dir):
     """Leaf values: reference, quote, value."""
@@ -205,14 +205,14 @@ def schema_check(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CARRIED}, w AS (SELECT job, chunk, 'f' || (n % 4) AS path, n, 'v' || (n % 8 // 4 * (job % 2)) AS value, 'L' || n AS ref FROM carried WHERE n <= 12),
+    f"""WITH {CARRIED}, w AS (SELECT job, chunk, 'f' || (n % 4) AS path, n, 'v' || (n % 8 // 4 * (job % 2)) AS value, 'L' || n AS ref FROM carried),
 o AS (SELECT job, path, value, ref, min(chunk) AS chunk, min(n) AS n FROM w GROUP BY ALL),
 g AS (SELECT job, path, value, min((chunk, n)) AS f FROM o GROUP BY ALL)
 SELECT job, path, count(*) > 1 AS conflict, count(*) AS distinct_values, array_to_string(list(value ORDER BY f), ',') AS values_seen FROM g GROUP BY job, path"""
 )
 def schema_merge(spark, sf_dir):
     """Values of chunks merged: one, or a conflict."""
-    c = _carried(spark, sf_dir).where("n <= 12")
+    c = _carried(spark, sf_dir)
     value = F.concat(F.lit('"v'), F.floor(F.col("n") % 8 / 4).cast("int") * (F.col("job") % 2), F.lit('"'))
     v = c.select("job", "chunk", F.concat(F.lit("f"), F.col("n") % 4).alias("path"), F.col("n").alias("seq"), value.alias("value"), F.concat(F.lit("L"), "n").alias("ref"), F.col("text").alias("quote"))
     m = S.merge(v)
@@ -221,7 +221,7 @@ def schema_merge(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CARRIED}, s AS (SELECT n % 6 AS k, contains(text, ' ') AS sp FROM carried WHERE n <= 12)
+    f"""WITH {CARRIED}, s AS (SELECT n % 6 AS k, contains(text, ' ') AS sp FROM carried)
 SELECT count(*) FILTER (k <> 5) AS "values", count(*) FILTER (k = 0 OR (k = 4 AND NOT sp)) AS ok, count(*) FILTER (k = 4 AND sp) AS ok_folded, count(*) FILTER (k = 3) AS quote_mismatch,
 count(*) FILTER (k IN (1, 2)) AS bad_ref, 0::BIGINT AS value_not_in_quote, count(*) FILTER (k = 5) AS nulls, count(*) FILTER (k IN (0, 4)) AS refs_ok,
 count(*) FILTER (k IN (1, 2, 3)) AS refs_bad, count(*) FILTER (k IN (0, 4)) / count(*) FILTER (k <> 5) AS pass_rate FROM s"""

@@ -217,14 +217,12 @@ def time_window(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, epoch_us(timezone('Europe/Berlin', ts)) // 1000 AS berlin_ms, epoch_us(ts) // 1000 AS utc_ms
-FROM events WHERE event_id % 3 <> 0 AND month(ts) NOT IN (3, 10)"""
+    """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN epoch_us(timezone('Europe/Berlin', ts)) // 1000 END AS berlin_ms,
+CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS utc_ms FROM events"""
 )
 def time_zones(spark, sf_dir):
-    """Stamps read as local time of a zone (away from the days when clocks change)."""
-    df = _log(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "ts"), "n")
-    df = df.where("n % 3 != 0 and month(ts) not in (3, 10)")
-    df = X.stamped(df, "text", "Europe/Berlin", NOW).withColumnRenamed("own", "berlin_ms")
+    """Stamps read as local time of a zone."""
+    df = X.stamped(_log(spark, sf_dir), "text", "Europe/Berlin", NOW).withColumnRenamed("own", "berlin_ms")
     return X.stamped(df, "text", "UTC", NOW).select(F.col("n").alias("event_id"), "berlin_ms", F.col("own").alias("utc_ms"))
 
 
