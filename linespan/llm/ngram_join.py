@@ -370,6 +370,7 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = scratch.keep(jaccard_components(docs, scratch), "judged")
     kept = judged.where("n_shingles = 0 or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = scratch.keep(kept, "kept")
+    scratch.drop_all_but("kept")
     once = docs.join(kept.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
     # Rows that repeat an id are rare: one of each is chosen only where there are any.
     if kept.where("_rows > 1").limit(1).count():
