@@ -37,7 +37,7 @@ from .scratch import Scratch
 from .words import Words, pieces, texts
 
 WINDOW, BLOCK = 50, 25
-BUCKET, PIECE = 2_000_000, 8_000_000
+BUCKET, PIECE = 2_000_000, 6_000_000
 HOT, HOT_MAX = 200, 1_000_000
 LAST = (1 << 63) - 1
 U = np.uint64
