@@ -114,9 +114,12 @@ def _per_piece(docs: DataFrame, columns: str, make) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key): the size of each row's set and the class that it is in."""
+    """(doc_id, n, key): the size of each row's set and the class that it is in; a column `row` of docs passes through."""
+    row = [c for c in docs.columns if c == "row"]
     return _per_piece(
-        docs.select("doc_id", "text"), "doc_id bigint, n bigint, key bigint", lambda s, b: [b.column("doc_id").cast(pa.int64()), s.size, s.key]
+        docs.select("doc_id", "text", *row),
+        "doc_id bigint, n bigint, key bigint" + ", row bigint" * len(row),
+        lambda s, b: [b.column("doc_id").cast(pa.int64()), s.size, s.key, *[b.column(c) for c in row]],
     )
 
 
@@ -175,10 +178,11 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 
 class Join:
-    """One run of the join over a table of documents (doc_id, text)."""
+    """One run of the join over a table of documents (doc_id, text, perhaps a bigint `row`)."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.docs, self.scratch, self.step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch, 0
+        row = [c for c in docs.columns if c == "row"]
+        self.docs, self.scratch, self.step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row), scratch, 0
         self.links, self.comps, self.sets, self.tables = None, None, None, {}
         self.signatures = scratch.keep(signatures(self.docs), "signatures")
         self.classes = scratch.keep(classes(self.docs), "classes")
@@ -326,8 +330,8 @@ class Join:
         several = known.groupBy("member").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("member")
         return self._keep(known.join(self._keep(several, f"several{self.step}"), "member", "left_semi"), f"contested{self.step}")
 
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every document."""
+    def judge(self) -> DataFrame:
+        """The signatures with the component (comp, a class) that each row is in."""
         self.tie_bands()
         postings = self.contested(self.postings())
         # Classes on long lists are first tied to the one in each list that has the smallest
@@ -350,14 +354,19 @@ class Join:
             F.count_if(~F.col("long_x")).alias("shared"), F.min(left).alias("left"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
         )
         self.add(counted.where("7 * (shared + left) >= 3 * both").select("a", "b"))
-        sig = self.with_comp(self.signatures)
+        return self.with_comp(self.signatures)
+
+    def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) for every document."""
+        sig = self.judge()
         least = self._keep(sig.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "named")
         out = sig.join(least, "comp", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    return Join(docs, scratch).run()
+    # A column `row` of the input is an extra column like any other here.
+    return Join(docs.select("doc_id", "text"), scratch).run()
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -365,14 +374,26 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, all without words, and rows without an id."""
+    """One row of each component, that of the least id (a row without one comes last), and
+    all rows without words.  Rows that share an id are told apart by a hash of all columns."""
     scratch = Scratch(spark, "pipeline-join")
-    judged = scratch.keep(jaccard_components(docs, scratch), "judged")
-    kept = judged.where("n_shingles = 0 or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = scratch.keep(kept, "kept")
+    # Nulls don't enter the hash, so which columns are null is hashed too.
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    join = Join(docs.select("doc_id", "text", row.alias("row")), scratch)
+    judged = scratch.keep(join.judge().where("n > 0").groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("c")), "judged")
+    one = judged.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "c")).alias("one"))
+    kept = scratch.keep(one.select(F.col("one.doc_id").alias("_id"), F.col("one.row").alias("_row"), F.col("one.c").alias("_c")), "kept")
     scratch.drop_all_but("kept")
-    once = docs.join(kept.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    # Rows that repeat an id are rare: one of each is chosen only where there are any.
-    if kept.where("_rows > 1").limit(1).count():
-        once = once.unionByName(docs.join(kept.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    known = docs.where(has_words).withColumn("_row", row)
+
+    def chosen(which: str) -> DataFrame:
+        of = kept.where(which).withColumnRenamed("_row", "_of")
+        same = (F.col("_row") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        return known.join(of, same, "left_semi").select(*docs.columns)
+
+    out = docs.where(~has_words).unionByName(chosen("_c = 1"))
+    # Rows that repeat in all columns are rare: one of each is taken only where there are any.
+    if kept.where("_c > 1").limit(1).count():
+        out = out.unionByName(chosen("_c > 1").distinct())
+    return out.select(*docs.columns)

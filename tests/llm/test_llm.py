@@ -145,6 +145,33 @@ def test_op3(spark, docs, rows, empty, long, monkeypatch):
         assert ngram_join.jaccard_components(empty, Scratch(spark, "t3")).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "abcde")
+    near = a + " tail"
+    rows = [
+        (1, a, "x"), (2, near, "x"), (2, b, "x"),  # one of two rows of id 2 is a near copy
+        (3, c, "x"), (3, d, "x"), (3, " \n", "x"), (3, None, "x"),  # unrelated texts, and rows without words, under one id
+        (4, c, "x"), (None, near, "x"), (None, d, "x"),  # copies without an id
+        (None, e, None), (None, e + " tail", "x"), (None, e, None), (None, "", "x"), (None, None, "x"),  # a group without any id
+        (5, e.upper() + " more words", None), (6, "same id and words", None), (6, "same id and words", "x"), (6, "Same id and words", "x"),
+        (7, "swapped nulls", "x"), (7, "swapped nulls", None),
+    ]
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if n == 1 else rows, "doc_id long, text string, lang string").repartition(n)
+        got = [tuple(x) for x in ngram_join.stage_near_duplicates(spark, docs, "").collect()]
+        assert collections.Counter((i, t) for i, t, _ in got if i not in (6, 7)) == collections.Counter(
+            [(1, a), (2, b), (3, c), (3, d), (3, " \n"), (3, None), (5, e.upper() + " more words"), (None, ""), (None, None)]
+        )
+        assert [x[0] for x in got].count(6) == [x[0] for x in got].count(7) == 1
+        again = sorted(got, key=repr)
+        first = again if n == 1 else first
+        assert again == first
+    alone = spark.createDataFrame([(None, e, None), (None, e + " tail", "x"), (None, e, None)], docs.schema)
+    got = ngram_join.stage_near_duplicates(spark, alone, "").collect()
+    assert len(got) == 1 and got[0]["doc_id"] is None
+
+
 def test_op8(spark, docs, rows, empty):
     first = {}
     for r in sorted(rows, key=lambda r: r[0]):
