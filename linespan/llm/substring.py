@@ -85,13 +85,14 @@ def _unplanes(b: bytes, n: int, keep: int) -> np.ndarray:
 
 
 def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, at): where in a document, in words, a run of BLOCK words starts that
-    another document has too and one has as a block."""
+    """(doc_id, part, at): where in a row, in words, a run of BLOCK words starts that
+    another document has too and one has as a block; docs: doc_id, text, part."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, ids, _, _ in _rows(batch, PIECE):
+            for w, ids, a, b in _rows(batch, PIECE):
+                part = batch.column("part")[a:b].to_numpy().view(np.uint64)
                 at, h = w.windows(BLOCK)
                 row = w.row[at]
                 pos = at - w.first[row]
@@ -101,7 +102,7 @@ def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     is_hot = shared.value[k] == h
                     if is_hot.any():
                         n = int(is_hot.sum())
-                        yield _packed(np.full(1, -1), [b""], [b""], [ids[row[is_hot]].tobytes()], [pos[is_hot].astype("<i8").tobytes()], [n])
+                        yield _packed(np.full(1, -1), [b""], [b""], [ids[row[is_hot]].tobytes()], [_planes(part[row[is_hot]], 4)], [pos[is_hot].astype("<i8").tobytes()], [n])
                         h, row, pos = h[~is_hot], row[~is_hot], pos[~is_hot]
                 if not len(h):
                     continue
@@ -109,50 +110,57 @@ def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 h, row, pos, bucket = h[order], row[order], pos[order], bucket[order]
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     r = row[x:y]
                     head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                     out[0].append(_planes(h[x:y], 6))
                     out[1].append(_planes(np.diff(np.append(head, y - x)).astype(np.uint64), 4))
                     out[2].append(np.ascontiguousarray(ids[r[head]]).tobytes())
-                    out[3].append(_planes(pos[x:y].astype(np.uint64), 4))
-                    out[4].append(y - x)
+                    out[3].append(_planes(part[r[head]], 4))
+                    out[4].append(_planes(pos[x:y].astype(np.uint64), 4))
+                    out[5].append(y - x)
                 yield _packed(bucket[cuts[:-1]], *out)
 
     def match(table: pa.Table) -> pa.Table:
-        hs, docs_, at = [], [], []
-        direct = []
+        hs, runs, ids, parts, at = [], [], [], [], []
+        direct, known = [], 0
         for r in table.to_pylist():
+            i = np.frombuffer(r["ids"], np.int64)
+            part = _unplanes(r["parts"], len(i), 4).view(np.int64)
             if r["bucket"] < 0:
-                direct.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["at"], "<i8")))
+                direct.append((i, part, np.frombuffer(r["at"], "<i8")))
                 continue
-            n, ids = r["n"], np.frombuffer(r["ids"], np.int64)
+            n = r["n"]
             hs.append(_unplanes(r["hash"], n, 6))
-            docs_.append(np.repeat(ids, _unplanes(r["runs"], len(ids), 4).astype(np.int64)))
-            at.append(_unplanes(r["at"], n, 4).astype(np.int64))
+            runs.append(np.repeat(np.arange(known, known + len(i), dtype=np.int32), _unplanes(r["runs"], len(i), 4).astype(np.int64)))
+            ids.append(i)
+            parts.append(part)
+            at.append(_unplanes(r["at"], n, 4).astype(np.int32))
+            known += len(i)
         if hs:
-            h, d, p = np.concatenate(hs), np.concatenate(docs_), np.concatenate(at)
-            del hs, docs_, at
+            h, run, p, ids, parts = (np.concatenate(x) for x in (hs, runs, at, ids, parts))
+            del hs, runs, at
             order = np.argsort(h, kind="stable")
-            h, d, p = h[order], d[order], p[order]
+            h, run, p = h[order], run[order], p[order]
+            d = ids[run]
             cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             block = np.maximum.reduceat(p % BLOCK == 0, cuts)
             several = np.minimum.reduceat(d, cuts) != np.maximum.reduceat(d, cuts)
             keep = np.repeat(block & several, np.diff(np.append(cuts, len(h))))
-            direct.append((d[keep], p[keep]))
-        d, p = (np.concatenate([x[k] for x in direct] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.table({"doc_id": d, "at": p})
+            direct.append((d[keep], parts[run[keep]], p[keep].astype(np.int64)))
+        d, part, p = (np.concatenate([x[k] for x in direct] or [np.zeros(0, np.int64)]) for k in (0, 1, 2))
+        return pa.table({"doc_id": d, "part": part, "at": p})
 
-    packed = docs.mapInArrow(probe, "bucket bigint, hash binary, runs binary, ids binary, at binary, n bigint, salt bigint")
-    return packed.groupBy("bucket", "salt").applyInArrow(match, "doc_id bigint, at bigint")
+    packed = docs.mapInArrow(probe, "bucket bigint, hash binary, runs binary, ids binary, parts binary, at binary, n bigint, salt bigint")
+    return packed.groupBy("bucket", "salt").applyInArrow(match, "doc_id bigint, part bigint, at bigint")
 
 
-def _packed(bucket, hashes, runs, ids, at, n) -> pa.RecordBatch:
+def _packed(bucket, hashes, runs, ids, parts, at, n) -> pa.RecordBatch:
     # Rows that need no bucket (hot blocks) are spread by a salt of their own content.
     salt = [len(i) % 997 if b < 0 else 0 for b, i in zip(bucket, ids, strict=True)]
-    arrays = [pa.array(bucket, pa.int64()), *[pa.array(x, pa.binary()) for x in (hashes, runs, ids, at)], pa.array(n, pa.int64()), pa.array(salt, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", "hash", "runs", "ids", "at", "n", "salt"])
+    arrays = [pa.array(bucket, pa.int64()), *[pa.array(x, pa.binary()) for x in (hashes, runs, ids, parts, at)], pa.array(n, pa.int64()), pa.array(salt, pa.int64())]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "hash", "runs", "ids", "parts", "at", "n", "salt"])
 
 
 def _marks(lists, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +171,10 @@ def _marks(lists, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _covered(w: Words, rows: np.ndarray, at: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Words from `before` ahead of any mark to `after` behind it (exclusive), by word index of w."""
+    """Words from `before` ahead of any mark to `after` behind it (exclusive), by word index of w.
+    Marks behind the last word, which are those of another row with the same id and hash, don't count."""
+    inside = at < w.count[rows]
+    rows, at = rows[inside], at[inside]
     edge = np.zeros(len(w.start) + 1, np.int64)
     lo = np.maximum(w.first[rows] + at - before, w.first[rows])
     hi = np.minimum(w.first[rows] + at + after, w.first[rows + 1])
@@ -219,11 +230,13 @@ def removed(marked: DataFrame, with_text: bool = False) -> DataFrame:
 def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = scratch.keep(hits(docs, max(1, size // (6 * BUCKET)), hot_blocks(docs, scratch)), "hits")
-    # A row is known by its id and its text, as an id may repeat.
-    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_sig"))
-    marks = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("marks"))
-    windows = scratch.keep(candidates(named.join(marks, "_id").select("doc_id", "_sig", "text", "marks")), "windows")
+    # A row is known by its id and its text, as an id may repeat; hits, which only choose
+    # what is compared, by the id and 32 bits of the text's hash.
+    sig = F.xxhash64("text")
+    named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_id"), sig.alias("_sig"), sig.bitwiseAND(0xFFFFFFFF).alias("part"))
+    found = scratch.keep(hits(named.select("doc_id", "text", "part"), max(1, size // (6 * BUCKET)), hot_blocks(docs, scratch)), "hits")
+    marks = found.groupBy(F.col("doc_id").alias("_id"), "part").agg(F.collect_set("at").alias("marks"))
+    windows = scratch.keep(candidates(named.join(marks, ["_id", "part"]).select("doc_id", "_sig", "text", "marks")), "windows")
     first = scratch.keep(
         windows.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first != last").select("h", "first"), "first"
     )

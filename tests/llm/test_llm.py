@@ -172,6 +172,32 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert len(got) == 1 and got[0]["doc_id"] is None
 
 
+def test_op8_null_and_repeated_ids(spark, monkeypatch):
+    r = random.Random(3)
+    passage, other = ([f"{k}{r.randrange(10**6)}" for _ in range(70)] for k in "po")
+    new = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    # Long and short texts under one id and under none, in one piece with rows of clean ids.
+    rows = [
+        (1, passage + new(20)), (5, new(300) + passage), (5, new(9)), (5, passage[:55]), (6, new(30) + other), (7, other + new(30)),
+        (None, new(400) + passage), (None, new(3)), (None, other[:60]), (None, []), (8, new(5) + other), (9, new(40)), (5, new(9)), (None, new(60) + passage),
+    ]
+    last, first, want = 1 << 62, {}, []
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), last), last if i is None else i)
+    for i, w in rows:
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < (last if i is None else i):
+                gone[k : k + 50] = [True] * 50
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    for hot in (200, 1):
+        monkeypatch.setattr(substring, "HOT", hot)
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)
+        got = [tuple(x) for x in substring.substring_dedup(df, Scratch(spark, "t8")).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
+
+
 def test_op8(spark, docs, rows, empty):
     first = {}
     for r in sorted(rows, key=lambda r: r[0]):
