@@ -8,9 +8,12 @@ compared, which extends hits to maximal repeats: a window goes to the smallest
 document that has it, and its words are removed from every other.
 
 Probes travel packed: a task sends one row of bytes to each bucket of hash
-values (about BUCKET words each), not a row a word.  Blocks that very many
-documents have are looked up first (at most HOT_MAX, broadcast) and answered in
-the probing task, so no bucket grows with one passage.  Windows around hits are
+values (about BUCKET words each), not a row a word.  What occurs very often is
+counted first (at most HOT_MAX blocks and HOT_MAX other windows, broadcast):
+frequent blocks are answered in the probing task and frequent windows that are no
+document's block are dropped there, as they hit nothing.  What a bucket still
+gets of one window is at most HOT occurrences and one a piece of text (a batch or
+PIECE bytes), or, beyond HOT_MAX, twice a HOT_MAX-th of all words.  Windows around hits are
 ordinary rows, combined before they are shuffled, in joins that Spark may split.
 
 Equality is of 64-bit hashes (48 bits within a bucket for probes, which only
@@ -26,6 +29,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,27 +54,43 @@ def _rows(batch: pa.RecordBatch, piece: int = 2_000_000) -> Iterator[tuple[Words
         yield Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), ids[a:b], a, b
 
 
-def hot_blocks(docs: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Hashes of the blocks that most documents have: more than HOT, and at most HOT_MAX of them."""
+def frequent(docs: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of windows that occur most often: more than HOT times, and at most HOT_MAX that
+    are a block of some document and HOT_MAX that are none.  Counted are all blocks, and other
+    windows where a piece has them more than once; a piece sends each hash once."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
-            for w, _, _, _ in _rows(batch):
+            for w, _, _, _ in _rows(batch, PIECE):
                 at, h = w.windows(BLOCK)
-                found.append(h[(at - w.first[w.row[at]]) % BLOCK == 0])
-            h, c = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                h, back, c = np.unique(h, return_inverse=True, return_counts=True)
+                block = np.zeros(len(h), bool)
+                block[back[(at - w.first[w.row[at]]) % BLOCK == 0]] = True
+                keep = block | (c > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep]), pa.array(block[keep])], ["h", "c", "block"])
 
-    counted = docs.mapInArrow(blocks, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = docs.mapInArrow(count, "h bigint, c bigint, block boolean").groupBy("h").agg(F.sum("c").alias("c"), F.max("block").alias("block"))
     hot = scratch.keep(counted.where(f"c > {HOT}"), "hot")
-    by_count = hot.groupBy(F.floor(F.log2("c")).alias("k")).count().orderBy("k").collect()  # at most 64 rows
-    least, above = HOT, sum(r["count"] for r in by_count)
-    for r in by_count:
-        if above <= HOT_MAX:
-            break
-        above, least = above - r["count"], 2 << r["k"]
-    return np.sort(np.array([r["h"] for r in hot.where(f"c > {least}").toLocalIterator()], np.int64).view(np.uint64))
+    by_count = hot.groupBy("block", F.floor(F.log2("c")).alias("k")).count().orderBy("k").collect()  # at most 128 rows
+    found = []
+    for block in (True, False):
+        sizes = [r for r in by_count if r["block"] == block]
+        least, above = HOT, sum(r["count"] for r in sizes)
+        for r in sizes:
+            if above <= HOT_MAX:
+                break
+            above, least = above - r["count"], 2 << r["k"]
+        some = hot.where(f"block = {block} and c >= {least}" if least > HOT else f"block = {block}")
+        found.append(np.sort(np.array([r["h"] for r in some.select("h").toLocalIterator()], np.int64).view(np.uint64)))
+    return found[0], found[1]
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    k = np.searchsorted(known, h)
+    k[k == len(known)] = 0
+    return known[k] == h
 
 
 def _planes(x: np.ndarray, keep: int) -> bytes:
@@ -84,10 +104,10 @@ def _unplanes(b: bytes, n: int, keep: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(doc_id, part, at): where in a row, in words, a run of BLOCK words starts that
-    another document has too and one has as a block; docs: doc_id, text, part."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def probes(docs: DataFrame, buckets: int, hot: np.ndarray, idle: np.ndarray) -> DataFrame:
+    """Rolling windows packed by bucket, without the idle ones, and the hits on hot blocks
+    (bucket -1); docs: doc_id, text, part."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, idle))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,14 +116,12 @@ def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 at, h = w.windows(BLOCK)
                 row = w.row[at]
                 pos = at - w.first[row]
-                if len(shared.value):
-                    k = np.searchsorted(shared.value, h)
-                    k[k == len(shared.value)] = 0
-                    is_hot = shared.value[k] == h
-                    if is_hot.any():
-                        n = int(is_hot.sum())
-                        yield _packed(np.full(1, -1), [b""], [b""], [ids[row[is_hot]].tobytes()], [_planes(part[row[is_hot]], 4)], [pos[is_hot].astype("<i8").tobytes()], [n])
-                        h, row, pos = h[~is_hot], row[~is_hot], pos[~is_hot]
+                is_hot, is_idle = (_among(h, x) for x in shared.value)
+                if is_hot.any():
+                    n = int(is_hot.sum())
+                    yield _packed(np.full(1, -1), [b""], [b""], [ids[row[is_hot]].tobytes()], [_planes(part[row[is_hot]], 4)], [pos[is_hot].astype("<i8").tobytes()], [n])
+                keep = ~(is_hot | is_idle)
+                h, row, pos = h[keep], row[keep], pos[keep]
                 if not len(h):
                     continue
                 bucket = ((h >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
@@ -122,6 +140,13 @@ def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     out[5].append(y - x)
                 yield _packed(bucket[cuts[:-1]], *out)
 
+    return docs.mapInArrow(probe, "bucket bigint, hash binary, runs binary, ids binary, parts binary, at binary, n bigint, salt bigint")
+
+
+def hits(docs: DataFrame, buckets: int, hot: np.ndarray, idle: np.ndarray) -> DataFrame:
+    """(doc_id, part, at): where in a row, in words, a run of BLOCK words starts that
+    another document has too and one has as a block."""
+
     def match(table: pa.Table) -> pa.Table:
         hs, runs, ids, parts, at = [], [], [], [], []
         direct, known = [], 0
@@ -152,13 +177,12 @@ def hits(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         d, part, p = (np.concatenate([x[k] for x in direct] or [np.zeros(0, np.int64)]) for k in (0, 1, 2))
         return pa.table({"doc_id": d, "part": part, "at": p})
 
-    packed = docs.mapInArrow(probe, "bucket bigint, hash binary, runs binary, ids binary, parts binary, at binary, n bigint, salt bigint")
-    return packed.groupBy("bucket", "salt").applyInArrow(match, "doc_id bigint, part bigint, at bigint")
+    return probes(docs, buckets, hot, idle).groupBy("bucket", "salt").applyInArrow(match, "doc_id bigint, part bigint, at bigint")
 
 
 def _packed(bucket, hashes, runs, ids, parts, at, n) -> pa.RecordBatch:
-    # Rows that need no bucket (hot blocks) are spread by a salt of their own content.
-    salt = [len(i) % 997 if b < 0 else 0 for b, i in zip(bucket, ids, strict=True)]
+    # Rows that need no bucket (hot blocks) are groups of their own, by a salt of their content.
+    salt = [zlib.crc32(p, zlib.crc32(i)) if b < 0 else 0 for b, i, p in zip(bucket, ids, at, strict=True)]
     arrays = [pa.array(bucket, pa.int64()), *[pa.array(x, pa.binary()) for x in (hashes, runs, ids, parts, at)], pa.array(n, pa.int64()), pa.array(salt, pa.int64())]
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "hash", "runs", "ids", "parts", "at", "n", "salt"])
 
@@ -234,7 +258,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False)
     # what is compared, by the id and 32 bits of the text's hash.
     sig = F.xxhash64("text")
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("_id"), sig.alias("_sig"), sig.bitwiseAND(0xFFFFFFFF).alias("part"))
-    found = scratch.keep(hits(named.select("doc_id", "text", "part"), max(1, size // (6 * BUCKET)), hot_blocks(docs, scratch)), "hits")
+    found = scratch.keep(hits(named.select("doc_id", "text", "part"), max(1, size // (6 * BUCKET)), *frequent(docs, scratch)), "hits")
     marks = found.groupBy(F.col("doc_id").alias("_id"), "part").agg(F.collect_set("at").alias("marks"))
     windows = scratch.keep(candidates(named.join(marks, ["_id", "part"]).select("doc_id", "_sig", "text", "marks")), "windows")
     first = scratch.keep(

@@ -386,3 +386,16 @@ def test_pipeline(spark, tmp_path, rows):
         before = Scratch(spark, "tp").keep(after, name)
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert [g[0] for g in got] == sorted(r["doc_id"] for r in before.collect()) and json.dumps(got)
+
+
+def test_op8_no_bucket_grows_with_one_passage(spark):
+    r = random.Random(6)
+    new = lambda n: [f"n{r.randrange(10**15)}" for _ in range(n)]
+    copy, header = new(60), new(60)
+    rows = [(i, " ".join(copy)) for i in range(600)] + [(i, " ".join([*new(7), *header])) for i in range(600, 1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(0).cast("long")).repartition(4).cache()
+    packed = substring.probes(df, 1, *substring.frequent(df.drop("part"), Scratch(spark, "t8")))
+    assert packed.where("bucket >= 0").agg(F.sum("n")).first()[0] <= 7 * 600  # only windows that start in words of their own
+    assert packed.where("bucket < 0").groupBy("salt").count().where("count > 1").isEmpty()
+    got = substring.substring_dedup(df, Scratch(spark, "t8")).collect()
+    assert {(x["doc_id"], x["n_removed"]) for x in got} == {(i, 0 if i in (0, 600) else 60) for i in range(1200)}
