@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,6 +20,9 @@ from .words import Words, span_hash
 
 KNOWN_MAX = 2_000_000
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# The characters with the Unicode property White_Space.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SUFFIX = re.compile("'[a-z]+")
 _made: dict[str, Encoder] = {}
 
 
@@ -54,6 +58,12 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.by_word = bool(self.ends.any())  # the word vocabulary marks word ends and drops white space
         self.dtype = np.dtype(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
+        self.vocab, self.longest = vocab, max(map(len, vocab))
+        self.names = {i: t for t, i in vocab.items()}
+        added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.beside: dict[tuple, bool] = {}
+        self._short = lru_cache(maxsize=1 << 14)(self._inner)
         self.forget()
 
     def forget(self) -> None:
@@ -63,6 +73,73 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    # --- exact counts at every character of a piece
+
+    def _fits(self, a: int | None, b: int) -> bool:
+        """Whether the merges leave token b as it is behind token a (or at the start)."""
+        if (a, b) not in self.beside:
+            if len(self.beside) > KNOWN_MAX:
+                self.beside.clear()
+            want = [b] if a is None else [a, b]
+            self.beside[a, b] = [t.id for t in self.tok.model.tokenize("".join(self.names[x] for x in want))] == want
+        return self.beside[a, b]
+
+    def _steps(self, s: str) -> list[int]:
+        """Tokens of every prefix of a unit that merges don't leave, one letter of s a byte.
+        The dynamic programme keeps the last token of every prefix: a token that ends at i is
+        the last one there if it stays beside the last token of the prefix that it extends,
+        since a sequence is what the merges give just if each two neighbours are."""
+        last, count = [None], [0]
+        for i in range(1, len(s) + 1):
+            for j in range(max(0, i - self.longest), i):
+                t = self.vocab.get(s[j:i])
+                if t is not None and self._fits(last[j], t):
+                    break
+            else:
+                raise ValueError(f"no token ends at {i} of {s!r}")
+            last.append(t)
+            count.append(count[j] + 1)
+        return count
+
+    def _plain(self, text: str) -> list[int]:
+        """Tokens of every prefix of a text without special strings."""
+        if self.by_word:  # a word's end changes its tokens, so each prefix is a text of its own
+            return [0, *map(len, self.whole([text[:i] for i in range(1, len(text) + 1)]))]
+        out = [0] * (len(text) + 1)
+        for letters, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
+            if _SUFFIX.fullmatch(text, a, b):  # 're, cut short, is split otherwise
+                for i in range(a + 1, b + 1):
+                    out[i] = out[a] + len(self.whole([text[a:i]])[0])
+                continue
+            at, steps = 0, self._steps(letters)
+            for i in range(a, b):
+                at += len(text[i].encode("utf-8", "surrogatepass"))
+                out[i + 1] = out[a] + steps[at]
+        cut = list(out)  # a prefix that ends in white space has that whole run as one unit
+        for run in _BLANK.finditer(text):
+            at, steps = 0, self._steps(self.tok.pre_tokenizer.pre_tokenize_str(run[0])[0][0])
+            for i in range(*run.span()):
+                at += len(text[i].encode())
+                cut[i + 1] = out[run.start()] + steps[at]
+        return cut
+
+    def inner(self, text: str) -> list[int]:
+        """Tokens of text[:i] for i from 0 to its length."""
+        return self._short(text) if len(text) <= 64 else self._inner(text)
+
+    def _inner(self, text: str) -> list[int]:
+        out, done = [0], 0
+        for found in self.special.finditer(text) if self.special else ():
+            part = self._plain(text[done : found.end()])  # what is cut inside the special string is plain
+            upto = out[-1]
+            out += [upto + x for x in part[1:-1]]
+            out.append(upto + part[found.start() - done] + 1)
+            done = found.end()
+        upto = out[-1]
+        return out + [upto + x for x in self._plain(text[done:])[1:]]
+
+    # --- ids of whole pieces
+
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Ids of new pieces.  Words of letters alone go joined by a space, told apart by word ends."""
         got: list = [None] * len(pieces)
@@ -125,16 +202,35 @@ class Encoder:
             found = np.searchsorted(self.keys, keys)
         return found[back]
 
-    def prefixes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prefix table of every row: row, end (bytes from the row's start) and the exact
-        number of tokens of the text up to there, at every end of a piece.  It is a dynamic
-        programme over pieces: tokens(prefix) = tokens(shorter prefix) + tokens(piece)."""
+    def prefixes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every row, at every end of a piece: row, start and end of the piece (bytes from
+        the row's start) and the exact number of tokens up to there.  The programme over
+        pieces: tokens(prefix) = tokens(shorter prefix) + tokens(piece)."""
         start, end, row = self.pieces(data, offsets)
         k = self.lookup(data, start, end)
         total = np.cumsum(self.len[k], dtype=np.int64)
         first = np.searchsorted(row, np.arange(len(offsets) - 1))
         base = np.concatenate([[0], total])[first]
-        return row, end - offsets[row], total - base[row]
+        return row, start - offsets[row], end - offsets[row], total - base[row]
+
+    def every_prefix(self, text: str) -> tuple[list[int], list[int]]:
+        """Bytes and tokens of every prefix of a text, the empty one first."""
+        raw = text.encode("utf-8", "surrogatepass")
+        _, start, end, count = self.prefixes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        size, tokens, upto = [0], [0], 0
+        for a, b, c in zip(start.tolist(), end.tolist(), count.tolist(), strict=True):
+            for ch in raw[size[-1] : a].decode():  # white space that the vocabulary drops
+                size.append(size[-1] + len(ch.encode()))
+                tokens.append(upto)
+            piece = raw[a:b].decode("utf-8", "surrogatepass")
+            for ch, t in zip(piece, self.inner(piece)[1:], strict=True):
+                size.append(size[-1] + len(ch.encode("utf-8", "surrogatepass")))
+                tokens.append(upto + t)
+            upto = c
+        for _ in range(len(raw) - size[-1]):
+            size.append(size[-1] + 1)
+            tokens.append(upto)
+        return size, tokens
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, in order, and the number of ids of each row."""

@@ -1,93 +1,98 @@
 """Operator 1: exact token counts at every prefix.
 
-For every text a table is made of the prefixes that end where a word ends, each
-with its exact token count (see `encoding`): the last entry is the count of the
-text, and "how long is the text cut to n tokens" or "how many tokens are the
-first k words" are look-ups in it, without encoding anything again.  Prefixes
-that end inside a word add the count of that part of the word (`Prefixes.at`).
+A prefix dynamic programme over a text stores the exact token count of each of its
+prefixes.  Over pieces (white space and the word behind it, see `encoding`) it is
+a running sum: tokens(prefix) = tokens(shorter prefix) + tokens(piece).  Inside a
+piece it keeps the last token of every prefix: a token ends a prefix if it stays
+beside the last token of the prefix that it extends.  The last entry of a table is
+the count of the text; "how many tokens have the first k bytes" and "what is the
+longest prefix of at most n tokens" are look-ups in it.  `prefix_tables` stores
+the tables, `PrefixTable` answers from a stored one without any tokenizer.
+
+`token_counts` works the programme over the pieces and opens only the piece in
+which the limit falls: what comes behind that piece has at least its tokens.
 
 Whole texts are encoded, without begin, end or added special tokens; strings of
 special tokens in a text are handled as the library does by default.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens and an empty
-table; null and repeated doc_ids pass through; extra columns are not read; empty
-tables give no rows.  Memory: one piece of about 4 MB of text, or one longer
-text, and the worker's bounded store of known words.
+Defined cases: null and empty texts have 0 bytes and 0 tokens and a table of the
+empty prefix alone; null and repeated doc_ids pass through; extra columns are not
+read; empty tables give no rows.  Memory: one piece of about PIECE bytes of text,
+or one longer text, and the worker's bounded store of known words.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .encoding import Encoder, encoder
+from .encoding import encoder
 from .words import pieces, texts
 
 LIMIT, PIECE = 512, 4_000_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
-class Prefixes:
-    """The prefix table of one text."""
+class PrefixTable:
+    """A stored table: `ends` (bytes of every prefix, the empty one first) and `counts`."""
 
-    def __init__(self, text: str, enc: Encoder):
-        self.data, self.enc = text.encode(), enc
-        raw, offsets = texts(pa.array([text]))
-        _, end, count = enc.prefixes(raw, offsets)
-        self.ends, self.counts = end.tolist(), count.tolist()
+    def __init__(self, ends: Sequence[int], counts: Sequence[int]):
+        self.ends, self.counts = ends, np.asarray(counts)
 
     def at(self, n_bytes: int) -> int:
-        """Tokens of the first n_bytes bytes (whole characters)."""
-        k = bisect_right(self.ends, n_bytes)
-        whole, upto = (self.ends[k - 1], self.counts[k - 1]) if k else (0, 0)
-        part = self.data[whole:n_bytes].decode("utf-8", "ignore")
-        return upto + (len(self.enc.whole([part])[0]) if part else 0)
+        """Tokens of the first n_bytes bytes; of the last whole character before, if they cut one."""
+        return int(self.counts[bisect_right(self.ends, n_bytes) - 1])
 
     def cut(self, budget: int) -> int:
-        """Bytes of the longest prefix that ends with a word and has at most `budget` tokens."""
-        k = bisect_right(self.counts, budget)
-        return self.ends[k - 1] if k else 0
+        """Bytes of the longest prefix of at most `budget` tokens.  Counts don't always grow
+        with the prefix, as one more character can join tokens, so it is the last that fits."""
+        return int(self.ends[np.flatnonzero(self.counts <= budget)[-1]]) if budget >= 0 else 0
 
 
 def prefix_tables(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ends, counts) of every document: all prefixes that end with a word."""
+    """(doc_id, ends, counts) of every document: all prefixes that end with a character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            data, offsets = texts(batch.column("text"))
-            for a, b in pieces(offsets, PIECE):
-                row, end, count = enc.prefixes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                cuts = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (end, count)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], *lists], ["doc_id", "ends", "counts"])
+            ids, column = batch.column("doc_id"), batch.column("text")
+            for a in range(0, batch.num_rows, 64):
+                tables = [enc.every_prefix(t or "") for t in column[a : a + 64].to_pylist()]
+                lists = [pa.array([t[k] for t in tables], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([ids[a : a + 64], *lists], ["doc_id", "ends", "counts"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ends array<bigint>, counts array<bigint>")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, and cut_bytes: the longest prefix that ends
-    with a word and stays within the limit.  Read off the prefix tables in the same task."""
+    """doc_id, n_bytes, n_tokens, over_limit, and cut_bytes: the longest prefix (of whole
+    characters) within the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             for a, b in pieces(offsets, PIECE):
-                off = offsets[a : b + 1] - offsets[a]
-                row, end, count = enc.prefixes(data[offsets[a] : offsets[b]], off)
+                raw, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                row, start, end, count = enc.prefixes(raw, off)
                 n = b - a
-                last = np.searchsorted(row, np.arange(n), "right") - 1
-                has = np.bincount(row, minlength=n) > 0
-                tokens = np.where(has, np.concatenate([count, [0]])[last], 0)
+                first, behind = np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), "right")
+                tokens = np.where(behind > first, np.concatenate([[0], count])[behind], 0)
+                cut = np.diff(off)
                 fits = np.bincount(row[count <= limit], minlength=n)
-                at = np.searchsorted(row, np.arange(n)) + fits - 1
-                cut = np.where(fits > 0, np.concatenate([end, [0]])[at], 0)
+                for r in np.flatnonzero(tokens > limit).tolist():
+                    k = first[r] + fits[r]  # the piece in which the limit falls
+                    upto = count[k - 1] if k > first[r] else 0
+                    # No token has more than `longest` bytes, so what lies further can't fit.
+                    most = min(end[k], start[k] + (limit - upto + 1) * enc.longest)
+                    piece = raw[off[r] + start[k] : off[r] + most].tobytes().decode("utf-8", "ignore")
+                    whole = np.flatnonzero(np.array(enc.inner(piece)) + upto <= limit)[-1]
+                    cut[r] = start[k] + len(piece[:whole].encode())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], pa.array(np.diff(off)), pa.array(tokens), pa.array(tokens > limit), pa.array(cut)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_bytes"],

@@ -96,15 +96,26 @@ def test_op1(docs, rows, empty):
     got = tokens.token_counts(docs, path).collect()
     assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got)
-    text = next(r[1] for r in rows if r[1] and len(r[1]) > 300)
-    p = tokens.Prefixes(text, encoding.encoder(path))
-    for n in range(0, len(text.encode()), 7):
-        part = text.encode()[:n].decode("utf-8", "ignore")
-        assert p.at(len(part.encode())) == len(t.encode(part, add_special_tokens=False).ids)
-    assert p.counts[p.ends.index(p.cut(20))] <= 20
     assert tokens.token_counts(empty, path).count() == 0
-    tables = {r["doc_id"]: r for r in tokens.prefix_tables(docs, path).where("doc_id < 1000").collect()}
-    assert all((x["counts"] or [0])[-1] == w[2] for w in want if w[0] in tables for x in [tables[w[0]]])
+    # Tables of every prefix, stored and read back, and the cut of the query, against the library.
+    text = {r[0]: r[1] or "" for r in rows if r[0] < 100 or r[0] in (1000, 1001, 1002)} | {7000: "r" * 90 + "日本語" * 200 + "<|endoftext|>'re!  \n x", 7001: "don't  \u3000 stop"}
+    some = spark_of(docs).createDataFrame(list(text.items()), "doc_id long, text string")
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    for row in Scratch(spark_of(docs), "t1").keep(tokens.prefix_tables(some, path), "tables").collect():
+        table, x = tokens.PrefixTable(row["ends"], row["counts"]), text[row["doc_id"]]
+        want = [count(x[:i]) for i in range(len(x) + 1)]
+        assert list(row["counts"]) == want and list(row["ends"]) == [len(x[:i].encode()) for i in range(len(x) + 1)]
+        for limit in (0, 3, 20, 10_000):
+            fits = max(i for i, c in enumerate(want) if c <= limit)
+            assert table.cut(limit) == len(x[:fits].encode()) and table.at(table.cut(limit)) <= limit
+    for limit in (1, 7, 40):
+        for row in tokens.token_counts(some, path, limit).collect():
+            x = text[row["doc_id"]]
+            assert row["cut_bytes"] == len(x[: max(i for i in range(len(x) + 1) if count(x[:i]) <= limit)].encode())
+
+
+def spark_of(df):
+    return df.sparkSession
 
 
 def _components(sets):
