@@ -1,19 +1,20 @@
 """Operator 9: token ids in flat binary files.
 
-Documents are dealt by ranges of doc_id and sorted.  Each task encodes its range
-and writes three flat files to the shared folder: the ids (unsigned, 16 bits
+Documents are dealt by ranges of doc_id, hash of the text and row, and sorted, so
+rows that share an id, or have none, are split like all others.  Each task encodes
+its range and writes three flat files to the shared folder: the ids (unsigned, 16 bits
 where the vocabulary allows, else 32, little-endian), the 64-bit offsets of its
 documents in them (one more than documents), and the 64-bit doc_ids.  A part is
 written under a name of its own attempt and then renamed, so a repeated task
-replaces it whole.  The manifest has a row for each part; a running sum over it
-gives each part's base, so nothing but the manifest is gathered.  Reading maps
-the files into memory, where the store is a local or mounted folder, and takes a
-part per task.
+replaces it whole; what a lost attempt left is removed when all are written.  The
+manifest has a row for each part; a running sum over it gives each part's base, so
+nothing but the manifest is gathered.  Reading maps the files into memory, where the
+store is a local or mounted folder, in as many tasks as there are parts.
 
 Defined cases: null and empty texts have the end id alone; null doc_ids come
 first, written as the smallest 64-bit number and read as null; repeated ids are
-ordered by text, and rows that are equal are interchangeable; an empty table
-gives no part; extra columns are not read.
+ordered by a hash of the text, and rows that are equal are interchangeable; an empty
+table gives no part; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +78,20 @@ def write(docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = END_ID)
             schema = pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("path", pa.string()), ("width", pa.int32())])
             yield pa.RecordBatch.from_pydict(row, schema=schema)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
-    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, PART)
+    # Only rows that are equal in id and text are told apart by where they were read.
+    order = ["doc_id", "_text", "_row"]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    return named.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, PART)
+
+
+def sweep(uri: str) -> None:
+    """Remove what attempts that didn't end have left."""
+    from pyarrow import fs
+
+    store, root = _store(uri)
+    for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("_"):
+            store.delete_file(f.path)
 
 
 def based(manifest: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def _mapped(uri: str, path: str, dtype: str) -> np.ndarray:
 
 
 def read(manifest: DataFrame, uri: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens and ids_crc32."""
+    """Per document, from the files: doc_id, start, n_tokens and ids_crc32, in a task for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +126,8 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = manifest.repartition(F.col("part"))
+    # A number that is given isn't coalesced, however few bytes a manifest has.
+    spread = manifest.repartitionByRange(max(1, manifest.count()), "part")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -122,6 +136,7 @@ def tokenized(spark, docs: DataFrame, tokenizer_path: str, name: str) -> DataFra
     scratch = Scratch(spark, name)
     uri = scratch.path("tokens")
     manifest = scratch.keep(write(docs, uri, tokenizer_path), "manifest")
+    sweep(uri)
     return read(scratch.keep(based(manifest), "based"), uri)
 
 
@@ -132,6 +147,8 @@ def op9_token_files(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_token_files(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids, written in files and read back; documents that were mixed in more
+    than once are written as often.  Null texts have the end id alone, an empty table no rows."""
     import public_tokenizers
 
     return tokenized(spark, docs, public_tokenizers.path(TOKENIZER), "pipeline-tokens")

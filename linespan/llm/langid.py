@@ -2,33 +2,37 @@
 
 Each language has a zstandard raw-content dictionary made of a bounded sample of
 its labelled documents: the one with the smallest hash in each of `SLOTS` hash
-slots, found by an aggregation that Spark combines before it shuffles.  A text
+slots, found by an aggregation that Spark combines before it shuffles, and of each
+`SLICES` slices spread over the whole text, DICT_BYTES / SLOTS characters together.
+The MAX_LANGS languages with most labelled documents are learnt.  A text
 is compressed with every dictionary, in segments short enough for the
 dictionary to matter, over its whole length; the smallest sum wins.  The score
 is the saving against the runner-up, and texts whose score is under
 `MIN_MARGIN`, or that have no letter, are rejected.
 
 Labels are read only of documents whose crc32(doc_id as text) mod 4 is not 2.
-Only the sample (languages x SLOTS documents) goes to the driver.
+Only the slices go to the driver: at most MAX_LANGS x SLOTS texts of DICT_BYTES / SLOTS
+characters, cut by Spark before they are gathered.  Predictions read whole texts.
+A letter is a character of Unicode's category L.
 
 Defined cases: null text, empty text and text without a letter give ``und``,
 score 0, rejected; with no labelled document at all everything is ``und``; a tie
 goes to the first language by code point and is rejected; null or repeated
-doc_id and extra columns pass through.
+doc_id and extra columns pass through, also ones named like the result.  The stage
+keeps documents whose language is told, in their own columns; without any label
+nothing is told and no document is kept.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, DICT_BYTES, SEGMENT, LEVEL, MIN_MARGIN = 96, 131_072, 4_096, 6, 0.001
+SLOTS, SLICES, DICT_BYTES, SEGMENT, LEVEL, MIN_MARGIN, MAX_LANGS = 96, 3, 131_072, 4_096, 6, 0.001, 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
@@ -36,9 +40,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def slices(text: Column, most: int, parts: int = SLICES) -> Column:
+    """A text of at most `most` characters: the whole, or slices at even distances from its start to its end."""
+    each = most // parts
+    cut = [F.substring(text, (F.floor((F.length(text) - each) * F.lit(k / max(1, parts - 1))) + 1).cast("int"), F.lit(each)) for k in range(parts)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *cut))
+
+
+def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
     """Language -> dictionary, from at most `slots` labelled documents a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    labelled = labelled.where(F.col("lang").isin(langs))
     h = F.xxhash64("doc_id")
     chosen = (
         labelled.groupBy("lang", F.pmod(h, F.lit(slots)).alias("slot"))
@@ -46,7 +59,9 @@ def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES) ->
         .select("lang", "doc_id")
     )
     # At most languages x slots ids: a size that does not grow with the corpus.
-    found = labelled.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", "text").dropDuplicates(["lang", "doc_id"])
+    found = labelled.join(F.broadcast(chosen), ["lang", "doc_id"])
+    found = found.select("lang", "doc_id", slices(F.col("text"), max(SLICES, dict_bytes // slots)).alias("text"))
+    found = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # of rows that repeat an id the least
     by_lang: dict[str, list[tuple[int, bytes]]] = {}
     for r in found.collect():
         if r["text"]:
@@ -97,7 +112,7 @@ def classifier(dictionaries: dict[str, bytes], margin: float = MIN_MARGIN):
     sizes = _Sizes(dictionaries)
 
     def judge(text: str | None) -> tuple[str, float, bool]:
-        if not text or not sizes.by or not LETTER.search(text):
+        if not text or not sizes.by or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         found = sizes(_fold(text))
         score = 1.0 - found[0][0] / found[1][0] if len(found) > 1 else 1.0
@@ -106,8 +121,10 @@ def classifier(dictionaries: dict[str, bytes], margin: float = MIN_MARGIN):
     return judge
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MIN_MARGIN) -> DataFrame:
-    """docs with a struct column `_lang` of lang_pred, score and rejected."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MIN_MARGIN, column: str = "_lang") -> DataFrame:
+    """docs with a struct column of lang_pred, score and rejected."""
+    if column in docs.columns:
+        raise ValueError(f"docs have a column {column} already")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     @F.pandas_udf(RESULT)
@@ -116,7 +133,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MI
         for texts in batches:
             yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_lang", predict(F.col("text")))
+    return docs.withColumn(column, predict(F.col("text")))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
@@ -127,5 +152,7 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told, with their own columns."""
-    return identify(docs, learn(docs)).where(~F.col("_lang.rejected")).select(*docs.columns)
+    """Documents whose language is told, with their own columns; null, empty and letterless
+    texts go, rows that repeat or lack an id are judged one by one, an empty table stays empty."""
+    told = free_name(docs, "_lang")
+    return identify(docs, learn(docs), column=told).where(~F.col(f"{told}.rejected")).select(*docs.columns)

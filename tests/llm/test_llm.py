@@ -248,6 +248,40 @@ def test_op9(spark, docs, rows, empty):
     assert tokenized(spark, empty, path, "t9").count() == 0
 
 
+def test_op9_null_and_repeated_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    from linespan.llm import binary
+
+    t = Tokenizer.from_file(path)
+    rows = [(None, f"no id {i % 50}") for i in range(400)] + [(5, f"five {i}") for i in range(400)] + [(i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scratch = Scratch(spark, "t9")
+        uri = scratch.path("tokens")
+        manifest = scratch.keep(binary.write(df, uri, path), "manifest")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = manifest.collect()
+    assert len(parts) == 4 and max(p["docs"] for p in parts) < 500  # an id, or having none, is no part of its own
+    store, root = binary._store(uri)
+    with store.open_output_stream(f"{root}/_lost.ids") as f:
+        f.write(b"x")
+    binary.sweep(uri)
+    from pyarrow import fs
+
+    assert len(store.get_file_info(fs.FileSelector(root))) == 3 * len(parts)
+    back = binary.read(scratch.keep(binary.based(manifest), "based"), uri)
+    assert back.rdd.getNumPartitions() == len(parts)
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in back.collect()))
+    assert [g[1] is None for g in got] == [True] * 400 + [False] * 420 and [g[1] for g in got[400:]] == sorted(g[1] for g in got[400:])
+    assert [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got]).tolist()[:-1]]
+    want = collections.Counter((i, zlib.crc32(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, x in rows)
+    assert collections.Counter((g[1], g[3]) for g in got) == want
+
+
 def test_op6(spark, docs, empty):
     got = mixing.plan(docs, Scratch(spark, "t6")).collect()
     by = collections.defaultdict(int)
@@ -262,6 +296,46 @@ def test_op6(spark, docs, empty):
     assert mixing.plan(empty, Scratch(spark, "t6")).count() == 0
 
 
+def _deal(size, weights=(5.0, 2.0, 1.0)):
+    """Targets by dealing the excess again until none is above its cap."""
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    left, free, target = 1.5 * sum(size.values()), set(names), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > 2 * size[s]}
+        if not full:
+            return target | {s: level * weight[s] for s in free}
+        target |= {s: 2.0 * size[s] for s in full}
+        left, free = left - sum(2.0 * size[s] for s in full), free - full
+    return target
+
+
+def test_op6_targets_of_many_sources(spark):
+    r = random.Random(12)
+    size = {f"host{i}.example": r.choice([0, 1, 5, 50, 1000]) for i in range(500)} | {None: 77, "": 3}
+    df = spark.createDataFrame(list(size.items()), "source string, source_size long").repartition(9)
+    got = {x["source"]: x["target"] for x in mixing.allocate(df, Scratch(spark, "t6")).collect()}
+    want = _deal(size)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_op6_null_and_repeated_ids_come_near_their_targets(spark):
+    """Rows that share an id, or have none, and rows that are equal, don't draw all alike."""
+    rows = [(None, f"a b c{i}", "s1", i) for i in range(400)] + [(None, "all the same", "s2", i) for i in range(300)] + [(9, "one id", "s3", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    got = mixing.plan(df, Scratch(spark, "t6")).collect()
+    taken, target = collections.Counter(), {}
+    for x in got:
+        taken[x["source"]] += x["_mix_copies"] * x["_mix_size"]
+        target[x["source"]] = x["_mix_target"]
+        assert x["_mix_copies"] <= 2
+    assert abs(taken["s2"] - target["s2"]) <= 3 and abs(taken["s3"] - target["s3"]) <= 2 and abs(taken["s1"] - target["s1"]) < 0.12 * target["s1"]
+    again = collections.Counter((x["source"], x["text"], x["_mix_copies"]) for x in mixing.plan(df.repartition(3), Scratch(spark, "t6")).collect())
+    assert again == collections.Counter((x["source"], x["text"], x["_mix_copies"]) for x in got)
+    assert collections.Counter(r["extra"] for r in mixing.mix(df, Scratch(spark, "t6")).collect())
+
+
 def test_op7(spark, docs, rows, empty):
     learnt = langid.learn(docs)
     assert set(learnt) == {"en", "de"}
@@ -271,6 +345,41 @@ def test_op7(spark, docs, rows, empty):
     assert langid.identify(empty, learnt).count() == 0
 
 
+def test_op7_letters_and_names(spark, docs):
+    learnt = langid.learn(docs)
+    odd = [(0, "½ ² Ⅷ"), (1, "1 2 _ !"), (2, "ª"), (3, "日本"), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in odd], "doc_id long, text string, lang string, _lang string, __lang string")
+    got = {r["doc_id"]: r["r"]["lang_pred"] for r in langid.identify(df, learnt, column="r").collect()}
+    assert [k for k, v in got.items() if v == "und"] == [0, 1, 4, 5]
+    assert langid.stage_language(spark, df, "").columns == df.columns
+
+
+def test_op7_sample_is_bounded(spark):
+    long = " ".join(f"wort{i}" for i in range(50_000))
+    df = spark.createDataFrame([(i, long + chr(97 + i % 3) * 9, f"l{i % 7}") for i in range(60)], "doc_id long, text string, lang string")
+    got = df.select(langid.slices(F.col("text"), 1_365).alias("s"), "text").collect()
+    assert all(len(r["s"]) <= 1_365 + 2 and r["s"][:455] == r["text"][:455] and r["s"][-455:] == r["text"][-455:] for r in got)
+    assert len(langid.learn(df, max_langs=3)) == 3 and all(len(v) <= langid.DICT_BYTES for v in langid.learn(df).values())
+
+
+def test_op7_by_compressing_one_at_a_time(spark, docs, rows):
+    """Sizes and winner against the library called for each text and dictionary."""
+    import zstandard as Z
+
+    learnt = langid.learn(docs)
+    p = Z.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=langid.SEGMENT, dict_size=langid.DICT_BYTES, write_content_size=False, write_dict_id=False)
+    got = {r["doc_id"]: r["_lang"] for r in langid.identify(docs, learnt).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r[1] or ""):
+            continue
+        data, sizes = r[1].lower().encode(), []
+        for lang, d in learnt.items():
+            c = Z.ZstdCompressor(compression_params=p, dict_data=Z.ZstdCompressionDict(d, dict_type=Z.DICT_TYPE_RAWCONTENT))
+            sizes.append((sum(len(c.compress(data[i : i + langid.SEGMENT])) for i in range(0, len(data), langid.SEGMENT)), lang))
+        (a, lang), (b, _) = sorted(sizes)
+        assert got[r[0]]["lang_pred"] == lang and abs(got[r[0]]["score"] - (1 - a / b)) < 1e-12
+
+
 def test_op7_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op7_language_id(spark, "/root/testdata/sf0.01").join(df.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -339,6 +448,39 @@ def test_op5_narrows_bins(spark, monkeypatch):
     assert kept == {r["doc_id"] for r in df.orderBy(F.col("key").desc(), "doc_id").limit(700).collect()}
 
 
+def test_op5_ratios_and_weights(spark, docs, rows):
+    """The models and weights by counting n-grams one text at a time."""
+    def grams(text):
+        d, o = words.texts(pa.array([text], pa.string()))
+        w = words.Words(d, o)
+        return [int(h) % quality.BUCKETS for h in (*w.hash, *w.windows(2)[1])]
+
+    good = {r[0] for r in rows if r[0] % 5 == 1}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in {r[0] for r in rows}], "doc_id long, quality int, toxic int")
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(grams(r[1]))
+        target.update(grams(r[1]) if r[0] in good else ())
+    ratio = quality.ratios(docs, labels)
+    norm = [sum(c.values()) + quality.BUCKETS for c in (target, raw)]
+    want = [np.log((target[b] + 1) / norm[0]) - np.log((raw[b] + 1) / norm[1]) for b in range(quality.BUCKETS)]
+    assert np.allclose(ratio, want)
+    got = {r["doc_id"]: r["log_weight"] for r in quality.scores(docs, ratio).collect()}
+    assert all(abs(got[r[0]] - sum(want[b] for b in grams(r[1]))) < 1e-6 for r in rows)
+
+
+def test_op5_keeps_exactly_k(spark, monkeypatch):
+    """Rows that are equal, or have no id, are told apart: exactly k are kept, and different words draw differently."""
+    monkeypatch.setattr(quality, "FEW", 5)
+    rows = [(None, "same words")] * 300 + [(7, "same words")] * 300 + [(None, f"text {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    for share in (0.1, 0.45, 0.9):
+        got = quality.resample(df, labels, Scratch(spark, "t5"), share).collect()
+        assert sum(r["kept"] for r in got) == round(share * 700)
+        assert len({r["key"] for r in got}) == 102
+
+
 ITEMS = [(1, "Which river runs through the old northern town of stones and what is its length"), (2, None), (3, ""), (4, "Short"), (5, " ".join(f"word{i}" for i in range(130)))]
 
 
