@@ -65,7 +65,7 @@ def allocate(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float =
     df = scratch.keep(df, "leveled")
     size, weight = df.agg(F.sum("source_size"), F.sum("weight")).first()
     level = (F.lit(float(size or 0)) * F.lit(float(share)) - F.col("taken_before")) / (F.lit(float(weight or 1)) - F.col("weight_before"))
-    found = df.where(level <= F.col("level_of")).agg(F.min(F.struct("level_of", level.alias("level")))["level"]).first()[0]
+    found = df.where(level <= F.col("level_of")).agg(F.min_by(level, F.struct("level_of", -level))).first()[0]
     target = F.col("most") if found is None else F.least("most", F.col("weight") * F.lit(found))
     return df.select("source", "source_size", "weight", target.alias("target"))
 
@@ -135,7 +135,7 @@ b AS (SELECT *, most / weight AS level_of,
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - taken_before)
                / ((SELECT sum(weight) FROM w) - weight_before) AS level FROM b),
 t AS (SELECT source, source_size,
-             coalesce(least(most, weight * (SELECT arg_min(level, level_of) FROM l WHERE level <= level_of)), most) AS target
+             coalesce(least(most, weight * (SELECT level FROM l WHERE level <= level_of ORDER BY level_of, level DESC LIMIT 1)), most) AS target
       FROM l),
 r AS (SELECT d.doc_id, d.size, d.nth, t.source_size, t.target,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
