@@ -8,7 +8,9 @@ compared, which extends hits to maximal repeats: a window goes to the smallest
 document that has it, and its words are removed from every other.
 
 Probes travel packed: a task sends one row of bytes to each bucket of hash
-values (about BUCKET words each), not a row a word.  What occurs very often is
+values (about BUCKET words each), not a row a word.  Of more than FAN buckets a piece
+of text would send rows of a few windows; then probes go first to FAN shelves, where
+they are packed anew by bucket, so rows stay long at any size.  What occurs very often is
 counted first (at most HOT_MAX blocks and HOT_MAX other windows, broadcast):
 frequent blocks are answered in the probing task and frequent windows that are no
 document's block are dropped there, as they hit nothing.  What a bucket still
@@ -16,8 +18,8 @@ gets of one window is at most HOT occurrences and one a piece of text (a batch o
 PIECE bytes), or, beyond HOT_MAX, twice a HOT_MAX-th of all words.  Windows around hits are
 ordinary rows, combined before they are shuffled, in joins that Spark may split.
 
-Equality is of 64-bit hashes (48 bits within a bucket for probes, which only
-choose what is compared further).
+Windows are equal when two independent 64-bit hashes are (probes, which only choose
+what is compared further, by one of them, of which a bucket keeps at least 48 bits).
 
 Defined cases: null, empty and blank texts have no words and the hash of the
 empty text; texts of fewer than WINDOW words lose nothing; of rows that repeat
@@ -41,7 +43,7 @@ from .scratch import Scratch
 from .words import Words, pieces, texts
 
 WINDOW, BLOCK = 50, 25
-BUCKET, PIECE = 2_000_000, 6_000_000
+BUCKET, PIECE, FAN = 2_000_000, 4_000_000, 8_192
 HOT, HOT_MAX = 200, 1_000_000
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -104,10 +106,49 @@ def _unplanes(b: bytes, n: int, keep: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+PACKED = "bucket bigint, hash binary, runs binary, ids binary, parts binary, at binary, n bigint, salt bigint"
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of equal shares of the hash values, up to 2**31 of them."""
+    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def _pack(h: np.ndarray, run: np.ndarray, pos: np.ndarray, ids: np.ndarray, part: np.ndarray, buckets: int, keep: int) -> pa.RecordBatch:
+    """One row a bucket of probes: hash and place of each, and of each run of one text its id and part."""
+    bucket = bucket_of(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    h, run, pos, bucket = h[order], run[order], pos[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    out: list[list] = [[], [], [], [], [], []]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        r = run[x:y]
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        out[0].append(_planes(h[x:y], keep))
+        out[1].append(_planes(np.diff(np.append(head, y - x)).astype(np.uint64), 4))
+        out[2].append(np.ascontiguousarray(ids[r[head]]).tobytes())
+        out[3].append(_planes(part[r[head]], 4))
+        out[4].append(_planes(pos[x:y].astype(np.uint64), 4))
+        out[5].append(y - x)
+    return _packed(bucket[cuts[:-1]], *out)
+
+
+def _unpack(r: dict, keep: int) -> tuple[np.ndarray, ...]:
+    """Hash, run, place, ids and parts of a packed row."""
+    ids, n = np.frombuffer(r["ids"], np.int64), r["n"]
+    run = np.repeat(np.arange(len(ids), dtype=np.int32), _unplanes(r["runs"], len(ids), 4).astype(np.int64))
+    return _unplanes(r["hash"], n, keep), run, _unplanes(r["at"], n, 4).astype(np.int32), ids, _unplanes(r["parts"], len(ids), 4)
+
+
+def _kept_bytes(buckets: int) -> int:
+    return 6 if buckets <= FAN else 8
+
+
 def probes(docs: DataFrame, buckets: int, hot: np.ndarray, idle: np.ndarray) -> DataFrame:
     """Rolling windows packed by bucket, without the idle ones, and the hits on hot blocks
     (bucket -1); docs: doc_id, text, part."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, idle))
+    first, keep_bytes = min(buckets, FAN), _kept_bytes(buckets)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,47 +162,52 @@ def probes(docs: DataFrame, buckets: int, hot: np.ndarray, idle: np.ndarray) ->
                     n = int(is_hot.sum())
                     yield _packed(np.full(1, -1), [b""], [b""], [ids[row[is_hot]].tobytes()], [_planes(part[row[is_hot]], 4)], [pos[is_hot].astype("<i8").tobytes()], [n])
                 keep = ~(is_hot | is_idle)
-                h, row, pos = h[keep], row[keep], pos[keep]
-                if not len(h):
+                if keep.any():
+                    yield _pack(h[keep], row[keep], pos[keep], ids, part, first, keep_bytes)
+
+    def repack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            start = np.cumsum([0, *(len(x[3]) for x in held)])
+            h, pos, ids, part = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 4))
+            return _pack(h, np.concatenate([x[1] + s for x, s in zip(held, start, strict=False)]), pos, ids, part, buckets, 8)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["bucket"] < 0:
+                    yield pa.RecordBatch.from_pylist([r], schema=batch.schema)
                     continue
-                bucket = ((h >> U(48)) * U(buckets) >> U(16)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, row, pos, bucket = h[order], row[order], pos[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                out: list[list] = [[], [], [], [], [], []]
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    r = row[x:y]
-                    head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    out[0].append(_planes(h[x:y], 6))
-                    out[1].append(_planes(np.diff(np.append(head, y - x)).astype(np.uint64), 4))
-                    out[2].append(np.ascontiguousarray(ids[r[head]]).tobytes())
-                    out[3].append(_planes(part[r[head]], 4))
-                    out[4].append(_planes(pos[x:y].astype(np.uint64), 4))
-                    out[5].append(y - x)
-                yield _packed(bucket[cuts[:-1]], *out)
-
-    return docs.mapInArrow(probe, "bucket bigint, hash binary, runs binary, ids binary, parts binary, at binary, n bigint, salt bigint")
+                held.append(_unpack(r, 8))
+                n += r["n"]
+                if n >= BUCKET:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    packed = docs.mapInArrow(probe, PACKED)
+    if buckets <= FAN:
+        return packed
+    return packed.repartition("bucket", "salt").sortWithinPartitions("bucket").mapInArrow(repack, PACKED)
 
 
 def hits(docs: DataFrame, buckets: int, hot: np.ndarray, idle: np.ndarray) -> DataFrame:
     """(doc_id, part, at): where in a row, in words, a run of BLOCK words starts that
     another document has too and one has as a block."""
+    keep_bytes = _kept_bytes(buckets)
 
     def match(table: pa.Table) -> pa.Table:
         hs, runs, ids, parts, at = [], [], [], [], []
         direct, known = [], 0
         for r in table.to_pylist():
-            i = np.frombuffer(r["ids"], np.int64)
-            part = _unplanes(r["parts"], len(i), 4).view(np.int64)
             if r["bucket"] < 0:
-                direct.append((i, part, np.frombuffer(r["at"], "<i8")))
+                i = np.frombuffer(r["ids"], np.int64)
+                direct.append((i, _unplanes(r["parts"], len(i), 4).view(np.int64), np.frombuffer(r["at"], "<i8")))
                 continue
-            n = r["n"]
-            hs.append(_unplanes(r["hash"], n, 6))
-            runs.append(np.repeat(np.arange(known, known + len(i), dtype=np.int32), _unplanes(r["runs"], len(i), 4).astype(np.int64)))
-            ids.append(i)
-            parts.append(part)
-            at.append(_unplanes(r["at"], n, 4).astype(np.int32))
+            h, run, p, i, part = _unpack(r, keep_bytes)
+            for x, v in zip((hs, runs, at, ids, parts), (h, run + np.int32(known), p, i, part.view(np.int64)), strict=True):
+                x.append(v)
             known += len(i)
         if hs:
             h, run, p, ids, parts = (np.concatenate(x) for x in (hs, runs, at, ids, parts))
@@ -208,7 +254,7 @@ def _covered(w: Words, rows: np.ndarray, at: np.ndarray, before: int, after: int
 
 
 def candidates(marked: DataFrame) -> DataFrame:
-    """(h, _id, _sig, at) of the windows that hold a hit; marked: doc_id, _sig, text, marks."""
+    """(h, g, _id, _sig, at) of the windows that hold a hit, h and g being two hashes; marked: doc_id, _sig, text, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,10 +266,11 @@ def candidates(marked: DataFrame) -> DataFrame:
                 keep = starts[at]
                 at, h = at[keep], h[keep]
                 sig = batch.column("_sig")[a:b].to_numpy(zero_copy_only=False)
-                cols = [pa.array(x) for x in (h.view(np.int64), ids[w.row[at]], sig[w.row[at]], at - w.first[w.row[at]])]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "_id", "_sig", "at"])
+                g = w.again(at, WINDOW)
+                cols = [pa.array(x) for x in (h.view(np.int64), g.view(np.int64), ids[w.row[at]], sig[w.row[at]], at - w.first[w.row[at]])]
+                yield pa.RecordBatch.from_arrays(cols, ["h", "g", "_id", "_sig", "at"])
 
-    return marked.mapInArrow(run, "h bigint, _id bigint, _sig bigint, at bigint")
+    return marked.mapInArrow(run, "h bigint, g bigint, _id bigint, _sig bigint, at bigint")
 
 
 def removed(marked: DataFrame, with_text: bool = False) -> DataFrame:
@@ -262,9 +309,9 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False)
     marks = found.groupBy(F.col("doc_id").alias("_id"), "part").agg(F.collect_set("at").alias("marks"))
     windows = scratch.keep(candidates(named.join(marks, ["_id", "part"]).select("doc_id", "_sig", "text", "marks")), "windows")
     first = scratch.keep(
-        windows.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first != last").select("h", "first"), "first"
+        windows.groupBy("h", "g").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first != last").select("h", "g", "first"), "first"
     )
-    repeated = windows.join(first, "h").where("_id > first")
+    repeated = windows.join(first, ["h", "g"]).where("_id > first")
     marks = scratch.keep(repeated.groupBy("_id", "_sig").agg(F.collect_set("at").alias("marks")), "marks")
     return removed(named.join(marks, ["_id", "_sig"], "left").select("doc_id", "text", "marks"), with_text)
 

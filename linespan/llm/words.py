@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 PIECE_BYTES = 2_000_000
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BASE, _WORD_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,6 +119,15 @@ class Words:
         np.cumsum(self.hash * up[:-1], out=total[1:])
         return at, mix((total[at + n] - total[at]) * down[at] + U(n))
 
+    def again(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A second hash, independent of the first, of the runs of n words that start at `at`."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        up, down = _pow(_SECOND_BASE, len(self.hash) + 1)
+        total = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(mix(self.hash ^ U(_BASE)) * up[:-1], out=total[1:])
+        return mix((total[at + n] - total[at]) * down[at] + U(n))
+
     def whole(self, rows: np.ndarray) -> np.ndarray:
         """Hash of the whole word sequence of rows of fewer words than a window."""
         up, down = _pow(_WORD_BASE, len(self.hash) + 1)

@@ -235,6 +235,21 @@ def test_op8_hot_blocks(spark, docs, monkeypatch):
     assert {tuple(r) for r in substring.substring_dedup(docs, Scratch(spark, "t8")).collect()} == a
 
 
+def test_op8_more_buckets_than_shelves(spark, docs, monkeypatch):
+    a = {tuple(r) for r in substring.substring_dedup(docs, Scratch(spark, "t8")).collect()}
+    monkeypatch.setattr(substring, "FAN", 8)
+    monkeypatch.setattr(substring, "BUCKET", 500)
+    assert {tuple(r) for r in substring.substring_dedup(docs, Scratch(spark, "t8")).collect()} == a
+    h = words.mix(np.arange(600_000, dtype=np.uint64))
+    assert len(np.unique(substring.bucket_of(h, 200_000))) > 180_000 and substring.bucket_of(h, 1 << 31).max() < 1 << 31
+    marked = docs.select("doc_id", "text", F.lit(0).cast("long").alias("part"))
+    empty = np.zeros(0, np.uint64)
+    monkeypatch.setattr(substring, "FAN", 1 << 20)
+    want = {tuple(r) for r in substring.hits(marked, 100_000, empty, empty).collect()}
+    monkeypatch.setattr(substring, "FAN", 64)
+    assert want and {tuple(r) for r in substring.hits(marked, 100_000, empty, empty).collect()} == want
+
+
 def test_op9(spark, docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
