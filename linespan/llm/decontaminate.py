@@ -11,18 +11,23 @@ for all passages of a batch, the others go through block-max WAND.  What is foun
 3-grams of the item's question and of its answer (its last third, as the table
 has no column for it) must both be there, in the shares Q_SHARE and A_SHARE.
 
-The index is broadcast in shards of at most SHARD items, one scan of the
-documents for each, so its size is bounded however many items there are.
+The index is broadcast in shards of about SHARD_WORDS words (an item is in one shard),
+one scan of the documents for each; postings, their block maxima and their range maxima
+are sparse, some 60 bytes a word at most, so a shard has a bound in bytes however many
+items there are.  Counts of chunks and terms are of all items, so scores don't depend
+on the sharding.  Only hashes of an item's words go to the driver, a shard at a time.
 
 Defined cases: null, empty and blank texts and items match nothing; items of
 fewer than 3 words are verified by single words; an item that repeats is
 reported under each id; null ids are reported as null; ties have no effect, as
-all above the threshold are taken; extra columns pass by.
+all above the threshold are taken; extra columns pass by; empty tables give nothing.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from .words import Words, mix, pieces, span_hash, texts
 
 CHUNK, THRESHOLD, Q_SHARE, A_SHARE, GRAM = 48, 0.5, 0.6, 0.5, 3
-K1, B, BLOCK, RANGES, SHARD, NO_DOC = 1.2, 0.75, 64, (64, 1024), 100_000, 1 << 62
+K1, B, BLOCK, RANGES, SHARD_WORDS, NO_DOC = 1.2, 0.75, 64, (64, 1024), 2_000_000, 1 << 62
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -61,52 +66,85 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def chunks_of(h: np.ndarray) -> list[np.ndarray]:
+    """An item's words in chunks of about equal length, at most CHUNK."""
+    step = math.ceil(len(h) / math.ceil(len(h) / CHUNK)) if len(h) else 1
+    return [h[a : a + step] for a in range(0, len(h), step)]
+
+
+def _hashes(items: list[str | None]) -> list[np.ndarray]:
+    data, offsets = texts(pa.array(items, pa.string()) if items else pa.array([], pa.string()))
+    w = plain_words(data.copy(), offsets)
+    return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _most(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(values, heads) if len(heads) else np.zeros(0)
+
+
 class Index:
-    """Impact-ordered postings of the chunks of some items."""
+    """Postings of the chunks of some items: of term t, `chunk` and `impact` from start[t] to start[t + 1].
+
+    counts: (document frequency of terms, number of chunks, mean chunk length) of all items,
+    where these are not all."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        data, offsets = texts(pa.array([t or "" for _, t in items], pa.string()))
-        w = plain_words(data.copy(), offsets)
-        self.question, self.answer, self.item, chunks = [], [], [], []
+    def __init__(self, items: list[tuple[int | None, str | np.ndarray | None]], counts: tuple[dict[int, int], int, float] | None = None):
         self.ids = [i for i, _ in items]
-        for k in range(len(items)):
-            h = w.hash[w.first[k] : w.first[k + 1]]
+        plain = [k for k, (_, t) in enumerate(items) if not isinstance(t, np.ndarray)]
+        hashes = [t for _, t in items]
+        for k, h in zip(plain, _hashes([items[k][1] for k in plain]), strict=True):
+            hashes[k] = h
+        self.question, self.answer, self.gram = [], [], [min(GRAM, len(h)) for h in hashes]
+        self.words = np.array([len(h) for h in hashes], np.int64)
+        chunks, item = [], []
+        for k, h in enumerate(hashes):
             n, cut = min(GRAM, len(h)), len(h) - len(h) // 3
             self.question.append(np.unique(grams(h[:cut], min(n, max(cut, 1)))))
             self.answer.append(np.unique(grams(h[max(0, cut - n + 1) :], n)) if n else h)
-            step = math.ceil(len(h) / math.ceil(len(h) / CHUNK)) if len(h) else 1
-            for a in range(0, len(h), step):
-                chunks.append(h[a : a + step])
-                self.item.append(k)
-        self.gram = [min(GRAM, int(c)) for c in w.count]
-        self.words = w.count
-        self.terms = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
-        df, tfs = np.zeros(len(self.terms)), []
-        for c in chunks:
-            t, tf = np.unique(np.searchsorted(self.terms, c), return_counts=True)
-            df[t] += 1
-            tfs.append((t, tf))
-        idf, mean = np.log(1 + (len(chunks) - df + 0.5) / (df + 0.5)), np.mean([len(c) for c in chunks] or [1])
-        post: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for c, (t, tf) in enumerate(tfs):
-            impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(chunks[c]) / mean))
-            for term, x in zip(t, impact / impact.sum(), strict=True):
-                post[term].append((c, float(x)))
-        self.postings = [([c for c, _ in p], [x for _, x in p]) for p in post]
-        self.block_max = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for _, x in self.postings]
-        self.most = np.array([max(b) for b in self.block_max] or [0.0])
-        # The largest impact of each term in wide and in narrow ranges of chunks.
-        self.range_max = []
-        for ranges in RANGES:
-            width = max(1, -(-len(chunks) // ranges))
-            table = np.zeros((len(self.terms), max(1, -(-len(chunks) // width))), np.float32)
-            for term, (c, x) in enumerate(self.postings):
-                np.maximum.at(table[term], np.array(c) // width, np.array(x, np.float32))
-            self.range_max.append(table)
+            parts = chunks_of(h)
+            chunks += parts
+            item += [k] * len(parts)
+        self.item = array("q", item)
+        size = np.array([len(c) for c in chunks], np.int64)
+        self.terms, term = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]), return_inverse=True)
+        # One posting for each term of a chunk, in order of terms, then of chunks.
+        pair, tf = np.unique(term.astype(np.int64) * max(1, len(chunks)) + np.repeat(np.arange(len(chunks)), size), return_counts=True)
+        term, chunk = pair // max(1, len(chunks)), pair % max(1, len(chunks))
+        df = np.bincount(term, minlength=len(self.terms)).astype(float)
+        n_chunks, mean = len(chunks), float(size.mean()) if len(size) else 1.0
+        if counts is not None:
+            df = np.array([counts[0][t] for t in self.terms.view(np.int64).tolist()], float)
+            _, n_chunks, mean = counts
+        idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[chunk] / mean))
+        impact /= np.bincount(chunk, weights=impact, minlength=len(chunks))[chunk]
+        first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.start, self.chunk, self.impact = first.tolist(), array("q", chunk.tobytes()), array("d", impact.tobytes())
+        self.most = _most(impact, first[:-1]).tolist()
+        # The largest impact of each block of a list, and of each wide and narrow range of chunks.
+        block = _heads(term * (1 << 40) + (np.arange(len(term)) - first[term]) // BLOCK)
+        self.block_start, self.block_max = np.searchsorted(term[block], np.arange(len(self.terms) + 1)).tolist(), array("d", _most(impact, block).tobytes())
+        self.ranges = []
+        for n in RANGES:
+            width = max(1, -(-len(chunks) // n))
+            at = _heads(term * (1 << 40) + chunk // width)
+            self.ranges.append((np.searchsorted(term[at], np.arange(len(self.terms) + 1)), (chunk[at] // width).astype(np.int32), _most(impact, at).astype(np.float32), n))
+
+    @property
+    def postings(self) -> list[tuple[array, array]]:
+        """(chunks, impacts) of every term."""
+        return [(self.chunk[a:b], self.impact[a:b]) for a, b in zip(self.start[:-1], self.start[1:], strict=True)]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: every chunk whose impacts for these distinct terms reach the threshold."""
-        lists = [[self.postings[t][0][0], 0, t] for t in terms]  # next chunk, position, term
+        """Block-max WAND: every chunk whose impacts for these distinct terms reach the threshold.
+        Lists skip to their next chunk by binary search."""
+        chunks, impact, start = self.chunk, self.impact, self.start
+        lists = [[chunks[start[t]], start[t], t] for t in terms]  # next chunk, position, term
         out, reach = [], threshold - 1e-9
         while lists:
             lists.sort(key=lambda x: x[0])
@@ -123,48 +161,45 @@ class Index:
                 pivot += 1
             # What the blocks that hold the pivot could give at most, and where they end.
             bound, beyond = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else NO_DOC
-            for x in lists[: pivot + 1]:
-                ids, p = self.postings[x[2]][0], x[1]
-                b = p // BLOCK
-                while (b + 1) * BLOCK <= len(ids) - 1 and ids[min((b + 1) * BLOCK, len(ids)) - 1] < chunk:
-                    b += 1
-                bound += self.block_max[x[2]][b]
-                last = ids[min((b + 1) * BLOCK, len(ids)) - 1]
-                beyond = min(beyond, last + 1)
+            for _, p, t in lists[: pivot + 1]:
+                a, end = start[t], start[t + 1]
+                p = bisect_left(chunks, chunk, p, end)
+                if p < end:
+                    b = (p - a) // BLOCK
+                    bound += self.block_max[self.block_start[t] + b]
+                    beyond = min(beyond, chunks[min(a + (b + 1) * BLOCK, end) - 1] + 1)
             if bound < reach:
                 target = max(beyond, chunk + 1)
             elif lists[0][0] == chunk:
-                score = sum(self.postings[x[2]][1][x[1]] for x in lists if x[0] == chunk)
+                score = sum(impact[x[1]] for x in lists[: pivot + 1])
                 if score >= reach:
                     out.append((chunk, score))
                 target = chunk + 1
             else:
                 target = chunk
             for x in lists[: pivot + 1]:
-                ids = self.postings[x[2]][0]
-                while x[1] < len(ids) and ids[x[1]] < target:
-                    x[1] += 1
-                x[0] = ids[x[1]] if x[1] < len(ids) else NO_DOC
+                x[1] = bisect_left(chunks, target, x[1], start[x[2] + 1])
+                x[0] = chunks[x[1]] if x[1] < start[x[2] + 1] else NO_DOC
             lists = [x for x in lists if x[0] != NO_DOC]
         return out
 
 
-def _bounds(passages: np.ndarray, follows: np.ndarray, block: np.ndarray, term: np.ndarray, table: np.ndarray) -> np.ndarray:
+def _bounds(passages: np.ndarray, follows: np.ndarray, block: np.ndarray, term: np.ndarray, level: tuple) -> np.ndarray:
     """The largest sum of impacts over any range, of each passage (a block and the next of its row)."""
+    first, range_, most, n = level
     out = np.zeros(len(passages), np.float32)
-    for a in range(0, len(passages), 2_000):
-        p = passages[a : a + 2_000]
+    for a in range(0, len(passages), 1_000):
+        p = passages[a : a + 1_000]
         need = np.unique(np.concatenate([p, p[follows[p]] + 1]))
-        lo, hi = np.searchsorted(block, need), np.searchsorted(block, need, "right")
-        has = hi > lo
-        sums = np.zeros((len(need), table.shape[1]), np.float32)
-        if has.any():
-            size = (hi - lo)[has]
-            at = np.repeat(lo[has] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            sums[has] = np.add.reduceat(table[term[at]], np.cumsum(size) - size, axis=0)
+        lo, size = np.searchsorted(block, need), np.searchsorted(block, need, "right") - np.searchsorted(block, need)
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row, t = np.repeat(np.arange(len(need)), size), term[at]
+        each = first[t + 1] - first[t]
+        at = np.repeat(first[t] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        sums = np.bincount(np.repeat(row, each) * n + range_[at], weights=most[at], minlength=len(need) * n).reshape(len(need), n)
         own = sums[np.searchsorted(need, p)]
         nxt = np.searchsorted(need, np.where(follows[p], p + 1, p))
-        out[a : a + 2_000] = np.where(follows[p], (own + sums[nxt]).max(1), own.max(1))
+        out[a : a + 1_000] = np.where(follows[p], (own + sums[nxt]).max(1), own.max(1))
     return out
 
 
@@ -184,8 +219,8 @@ def leaks(w: Words, index: Index, threshold: float = THRESHOLD) -> list[tuple[in
     row_of = np.repeat(np.arange(w.rows), per_row)
     follows = np.append(row_of[1:] == row_of[:-1], False) if len(row_of) else np.zeros(0, bool)
     passages = np.arange(first[-1])
-    for table in index.range_max:  # what can't reach the threshold by the wide ranges isn't looked up in the narrow
-        passages = passages[_bounds(passages, follows, block, term, table) >= threshold - 1e-4]
+    for level in index.ranges:  # what can't reach the threshold by the wide ranges isn't looked up in the narrow
+        passages = passages[_bounds(passages, follows, block, term, level) >= threshold - 1e-4]
     found: dict[tuple[int, int], list[float]] = {}
     cut = np.searchsorted(block, np.arange(first[-1] + 1))
     for p in passages.tolist():
@@ -204,13 +239,43 @@ def leaks(w: Words, index: Index, threshold: float = THRESHOLD) -> list[tuple[in
     return [(r, i, *v) for (r, i), v in sorted(found.items())]
 
 
-def _indexes(items: DataFrame) -> Iterator[Index]:
-    """The index in shards of at most about SHARD items."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    shards = max(1, math.ceil(items.count() / SHARD))
+def _hashed(items: DataFrame) -> DataFrame:
+    """(item_id, words, h): the word hashes of every item, in place of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = _hashes(batch.column("text").to_pylist())
+            cols = [batch.column("item_id"), pa.array([len(h) for h in hashes], pa.int64()), pa.array([h.tobytes() for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["item_id", "words", "h"])
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id bigint, words bigint, h binary")
+
+
+def _term_counts(hashed: DataFrame) -> DataFrame:
+    """(term, df): in how many chunks of all items a term is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(c) for h in batch.column("h").to_pylist() for c in chunks_of(np.frombuffer(h, np.uint64))]
+            t, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["term", "df"])
+
+    return hashed.mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _indexes(items: DataFrame, shard_words: int | None = None) -> Iterator[Index]:
+    """The index in shards of about `shard_words` words."""
+    hashed, shard_words = _hashed(items), shard_words or SHARD_WORDS
+    per_item = F.ceil(F.col("words") / F.lit(CHUNK))
+    chunks, words = hashed.agg(F.sum(per_item), F.sum("words")).first()
+    shards = max(1, math.ceil((words or 0) / shard_words))
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else items
-        yield Index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        part = hashed.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(shards)) == k) if shards > 1 else hashed
+        counts = None
+        if shards > 1:
+            counts = {r["term"]: r["df"] for r in _term_counts(hashed).join(_term_counts(part).select("term"), "term", "left_semi").collect()}, chunks, words / chunks
+        rows = [(r["item_id"], np.frombuffer(r["h"], np.uint64)) for r in part.collect()]  # about shard_words hashes
+        yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())), counts)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -242,7 +307,8 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leak: the scan that finds leaks drops their rows itself."""
+    """Documents without a leak: the scan that finds leaks drops their rows itself.  Null and
+    empty texts stay, rows are judged one by one whatever their id, an empty table stays empty."""
     columns = docs.columns
     for index in _indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         shared = spark.sparkContext.broadcast(index)

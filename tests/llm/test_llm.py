@@ -521,6 +521,86 @@ def test_op10_search_is_exhaustive():
             assert {c for c, _ in index.search(terms, least)} == set(np.flatnonzero(score >= least - 1e-9).tolist())
 
 
+def _plain(text):
+    """An item's or document's words as op10 compares them."""
+    out = []
+    for x in _words(text, True):
+        x = "".join(chr(ord(c) + 32) if "À" <= c <= "Þ" and c != "×" else c for c in x.decode())
+        for _ in range(4):
+            x = x[:-1] if len(x) > 1 and x[-1] in PUNCT else x
+            x = x[1:] if len(x) > 1 and x[0] in PUNCT else x
+        out.append(x)
+    return out
+
+
+PUNCT = "".join(chr(c) for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+
+
+def _leaks_by_hand(docs, items):
+    """Every document passage against every item chunk with plain dictionaries."""
+    D = decontaminate
+    n = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    chunks = []
+    for i, t in items:
+        w = _plain(t)
+        step = -(-len(w) // -(-len(w) // D.CHUNK)) if w else 1
+        chunks += [(i, w, w[a : a + step]) for a in range(0, len(w), step)]
+    df, mean = collections.Counter(x for *_, c in chunks for x in set(c)), np.mean([len(c) for *_, c in chunks])
+    impact = []
+    for *_, c in chunks:
+        v = {x: np.log(1 + (len(chunks) - df[x] + 0.5) / (df[x] + 0.5)) * f * (D.K1 + 1) / (f + D.K1 * (1 - D.B + D.B * len(c) / mean)) for x, f in collections.Counter(c).items()}
+        impact.append({x: y / sum(v.values()) for x, y in v.items()})
+    out = {}
+    for d, t in docs:
+        w = _plain(t)
+        for a in range(0, len(w), D.CHUNK):
+            here = set(w[a : a + 2 * D.CHUNK])
+            for (i, item, _), v in zip(chunks, impact, strict=True):
+                score = sum(y for x, y in v.items() if x in here)
+                if score < D.THRESHOLD - 1e-9:
+                    continue
+                k = min(D.GRAM, len(item))
+                cut = len(item) - len(item) // 3
+                around = n(w[max(0, a - len(item)) : a + 2 * D.CHUNK + len(item)], k)
+                q, r = n(item[:cut], min(k, max(cut, 1))), n(item[max(0, cut - k + 1) :], k)
+                shares = [len(x & around) / len(x) if x else 1.0 for x in (q, r)]
+                if shares[0] >= D.Q_SHARE and shares[1] >= D.A_SHARE:
+                    out[d, i] = max(out.get((d, i), 0.0), score)
+    return out
+
+
+@pytest.mark.parametrize("shard_words", [2_000_000, 300])
+def test_op10_end_to_end(spark, shard_words, monkeypatch):
+    """Pairs and scores against brute force, in one shard and in many."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    r = random.Random(9)
+    vocab = [f"w{int(r.expovariate(0.02))}" for _ in range(3000)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 2, 6, 20, 60, 140])))) for i in range(60)] + [(60, None), (61, "")]
+    docs = []
+    for d in range(120):
+        w = [r.choice(vocab) for _ in range(r.randint(0, 300))]
+        if d % 3 == 0:
+            t = r.choice(items[:60])[1].split()
+            t = t if d % 2 else [x if r.random() < 0.85 else "other" for x in t]
+            w[len(w) // 2 : len(w) // 2] = [x.upper() + "," for x in t]
+        docs.append((None if d == 50 else d, " ".join(w)))
+    docs.append((500, None))
+    want = _leaks_by_hand(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.contaminated(df, bench).collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_op10_index_size():
+    """100,000 items in a stated number of bytes."""
+    import pickle
+
+    r = np.random.default_rng(4)
+    words_of = r.zipf(1.3, (100_000, 20)).astype(np.uint64) % np.uint64(1 << 40)
+    index = decontaminate.Index([(i, h) for i, h in enumerate(words_of)])
+    assert len(pickle.dumps(index)) < 200_000_000 and 60 * decontaminate.SHARD_WORDS <= 120_000_000
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, k) for k in range(501, 560)] + [(5, 5)]
