@@ -2,8 +2,8 @@
 
 Iterative and multi-pass operators cut their lineage by writing a table and
 reading it back, so a lost executor costs a re-read and not a re-run.  The place
-is ``spark.checkpoint.dir``; where a session has none (tests, notebooks) a
-temporary folder of the driver serves.
+is ``spark.checkpoint.dir``; a local session without one (tests, notebooks) gets a
+temporary folder, a cluster without one is refused, as its executors couldn't read it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set for the session only if unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-linespan-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -446,6 +446,29 @@ def test_op4(spark):
     assert got[7]["verdict"] == "block" and got[8]["verdict"] == "allow" and got[9]["rule"] is None and got[11]["verdict"] == "allow"
 
 
+def test_op4_held_out_accuracy(spark):
+    blocked, allowed = urlfilter.accuracy(spark)
+    assert blocked >= 0.6 and allowed >= 0.98
+
+
+def test_op4_by_hand(spark):
+    """Probabilities from the weights and the n-grams of one url at a time; an empty table and a very long url."""
+    model = urlfilter.train(urlfilter.seeds(spark))
+    urls = ["https://casino.example.com/win/now?x", "http://library.example.org/", "ftp://a/" + "b" * 50_000, None, "none"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(df, model).collect()}
+    for i, r in got.items():
+        grams = set()
+        for mark, t in (("h", f"^{r['host']}$"), ("p", r["path"])):
+            grams |= {mark + t[k : k + n] for n in urlfilter.SIZES for k in range(len(t) - n + 1)}
+        from pyspark.ml.feature import HashingTF
+
+        tf = HashingTF(numFeatures=urlfilter.FEATURES)
+        z = model.intercept + sum(float(model.coefficients[j]) for j in {tf.indexOf(g) for g in grams})
+        assert abs(r["p_block"] - 1 / (1 + np.exp(-z))) < 1e-9 and (r["rule"] or r["verdict"] == ("block" if r["p_block"] >= 2 / 3 else "allow")), i
+    assert urlfilter.judge(df.limit(0), model).count() == 0
+
+
 def test_op5(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (7, 0, 0), (7, 0, 1), (None, 1, 1), (10, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.resample(docs, labels, Scratch(spark, "t5"), 0.25).collect()
