@@ -4,22 +4,29 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles, in
 lower case (A-Z); two sets link when their Jaccard similarity is at least 3/4,
 which is an overlap of at least T = ceil(3 (|a| + |b|) / 7).
 
-Equal sets are one class and only classes are joined.  Each class keeps the
-lowest hashes of its set: a prefix of p = |a| - ceil(3/4 |a|) + 1 of them in any
-common order must meet the prefix of every partner.  The order is DivideSkip's:
-members of long inverted lists come last.  So short lists are merged - by
-Spark's sort-merge join on the member, grouped to pairs - and long lists are
-never merged but probed by binary search in the candidates' sorted sets.  Only
-classes whose prefix can't do without long lists ("exhausted") are merged on
-those.  Which order is used changes the work, never the result.
-
-Pairs inside one component need no test, so groups of near copies are first tied
-to a leader (the smallest of each min-hash band, then of each shared list),
-which costs a pair a member; the full merge then covers lists that still touch
-several components.  Candidates are cut down on the kept lowest hashes (an upper
-bound of the overlap) and the rest verified on whole sets, made again from the
-texts.  Joins are on hashes, so Spark splits hot keys; only the members of long
-lists are broadcast, at most LONG_MAX of them.
+Equal sets are one class and only classes are joined.  The inverted list of a member
+is the classes that have it; lists of more than LONG classes are long.  DivideSkip for
+a class: of the lists of its members in order, short ones first, only the first
+n - T + 1 are merged (T the least overlap with any partner, 3/4 n) and L lists are
+skipped, all long ones before any short one.  The merge is Spark's sort-merge join on
+the member with occurrences counted by pair; a pair is a candidate when its count
+reaches T - L, L being what the skipped lists could still give that pair.  Lists that
+were skipped are only probed, by binary search: their postings are kept by class, as
+sorted members, first the lowest hashes of each set (which exclude most candidates)
+and then, for classes that still have candidates, whole sets made again from the texts.
+Pairs whose merged and probed occurrences reach T are links.  The order of the lists
+changes the work, never the result.
+
+Classes that can't do without long lists ("exhausted": fewer than n - T + 1 short ones)
+are merged on these too, but no long list is joined with itself as a whole.  First
+each class on it meets only the one with the smallest share s of members on short
+lists, which of near copies is the one with the fewest changes: a pair a class.
+What then still touches several components can only link over long lists alone if
+(4 - 7 s) (4 - 7 s') >= 9, so one side has s <= 1/7 (a core class), and the other must
+meet that with the smallest s of its list: only such pairs are counted.
+
+Joins are on hashes, so Spark splits hot keys.  The members of long lists are broadcast
+while there are at most LONG_MAX of them (32 MB), and joined to the sets beyond that.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; texts under 5 words have one shingle, the whole; a text is linked by its
@@ -41,7 +48,7 @@ from .components import components
 from .scratch import Scratch
 from .words import Words, mix, pieces, texts
 
-N, LONG, LONG_MAX, BINS, PER_BAND = 5, 24, 4_000_000, 32, 4
+N, LONG, LONG_MAX = 5, 24, 4_000_000
 LAST = (1 << 63) - 1
 U = np.uint64
 #: Sets of sizes that differ by more can't link.
@@ -74,22 +81,6 @@ class Sets:
         p = prefix(self.size)
         return np.minimum(self.size, p + np.maximum(8, p // 2))
 
-    def bands(self) -> list[np.ndarray]:
-        """Min-hash bands of each row, from the least hash of each of BINS bins."""
-        least = np.zeros((len(self.size), BINS), np.uint64)
-        salt = mix(self.hash + U(0x2545F4914F6CDD1D))
-        bin_ = (salt >> U(59)).astype(np.int64)
-        order = np.lexsort((salt, bin_, self.row))
-        cell = self.row[order] * BINS + bin_[order]
-        head = np.ones(len(cell), bool)
-        head[1:] = cell[1:] != cell[:-1]
-        least.reshape(-1)[cell[head]] = salt[order][head]
-        parts = least.reshape(len(self.size), BINS // PER_BAND, PER_BAND)
-        key = np.zeros(parts.shape[:2], np.uint64)
-        for k in range(PER_BAND):
-            key = mix(key * U(0x9E3779B97F4A7C15) + parts[:, :, k] + np.arange(BINS // PER_BAND, dtype=np.uint64))
-        return [key[i][(parts[i] > 0).any(1)].view(np.int64) for i in range(len(key))]
-
 
 def prefix(size):
     return size - (3 * size + 3) // 4 + 1
@@ -124,17 +115,14 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row a class that isn't empty: key, n, its lowest hashes, its bands."""
+    """One row a class that isn't empty: key, n, its lowest hashes."""
 
     def make(s: Sets, _) -> list:
         keep = s.size > 0
         low = pa.array(_binary(s.hash, s.first[:-1], s.low_size()), pa.binary()).filter(pa.array(keep))
-        bands = s.bands()
-        cuts = np.concatenate([[0], np.cumsum([len(b) for b in bands])])
-        bands = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]), pa.int64()))
-        return [s.key[keep], s.size[keep], low, bands.filter(pa.array(keep))]
+        return [s.key[keep], s.size[keep], low]
 
-    return _per_piece(docs.select("text"), "key bigint, n bigint, low binary, bands array<bigint>", make).dropDuplicates(["key"])
+    return _per_piece(docs.select("text"), "key bigint, n bigint, low binary", make).dropDuplicates(["key"])
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
@@ -148,13 +136,20 @@ def _both_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of some values are in a sorted array, by binary search."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Members of the shorter sorted array found in the longer by binary search."""
+    """Occurrences of a candidate on the lists of a set: the shorter sorted array probes the longer."""
     if len(x) > len(y):
         x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return int((y[at] == x).sum()) if len(y) else 0
+    return int(_among(x, y).sum())
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -180,7 +175,8 @@ def _linked(pairs: DataFrame) -> DataFrame:
 class Join:
     """One run of the join over a table of documents (doc_id, text, perhaps a bigint `row`)."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch):
+    def __init__(self, docs: DataFrame, scratch: Scratch, long: int = LONG):
+        self.long = long
         row = [c for c in docs.columns if c == "row"]
         self.docs, self.scratch, self.step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row), scratch, 0
         self.links, self.comps, self.sets, self.tables = None, None, None, {}
@@ -232,54 +228,53 @@ class Join:
 
     # --- candidates
 
-    def tie_bands(self) -> None:
-        """Near copies to the leader of each band of theirs: a pair a class and band."""
-        band = self.classes.select("key", "n", F.explode("bands").alias("band"))
-        lead = band.groupBy("band").agg(F.min(F.struct("key", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        lead = self._keep(lead, "bands")
-        self.add(band.join(lead, "band").where(SIZES.format("n", "lead.n")).select(F.col("lead.key").alias("a"), F.col("key").alias("b")))
-        self._drop("bands")
-
-    def long_of(self, tables: DataFrame, column: str, least: int = LONG) -> tuple[np.ndarray, DataFrame]:
-        """The members with the longest inverted lists over sets in a binary column, at most
-        LONG_MAX of them, and the lengths of all lists of two or more."""
+    def lists_of(self, sets: DataFrame, column: str) -> DataFrame:
+        """(member, c): the lengths of all inverted lists of two classes or more, over sets in a binary column."""
 
         def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 m, c = np.unique(np.frombuffer(b"".join(batch.column(column).to_pylist()), np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(c)], ["member", "c"])
 
-        counted = tables.select(column).mapInArrow(members, "member bigint, c bigint").groupBy("member").agg(F.sum("c").alias("c"))
-        lists = self._keep(counted.where("c > 1"), f"lists-{column}")
-        by_length = lists.where(f"c > {least}").groupBy(F.floor(F.log2("c")).alias("k")).count().orderBy("k").collect()  # at most 64 rows
-        above = sum(r["count"] for r in by_length)
-        for r in by_length:
-            if above <= LONG_MAX:
-                break
-            above, least = above - r["count"], 2 << r["k"]
-        found = [r["member"] for r in lists.where(f"c > {least}").select("member").toLocalIterator()]
-        return np.sort(np.array(found, np.int64).view(np.uint64)), lists
-
-    def prefixes(self, sets: DataFrame, column: str, long: np.ndarray, complete: bool) -> DataFrame:
-        """(member, key, n, rest, last, long, full): the members of each set's prefix, those of
-        short lists first.  `rest`: how many members come behind the prefix, or behind the
-        short ones where all short members are in it; `last`: where the prefix ends in the
-        order of the hashes (the largest number in the latter case).  From lowest hashes
-        alone, a set that lacks short members gives one row without a member."""
-        shared = self.docs.sparkSession.sparkContext.broadcast(long)
+        counted = sets.select(column).mapInArrow(members, "member bigint, c bigint").groupBy("member").agg(F.sum("c").alias("c"))
+        return self._keep(counted.where("c > 1"), f"lists-{column}")
+
+    def with_long(self, sets: DataFrame, column: str, long: DataFrame) -> tuple[DataFrame, object]:
+        """sets with `long_members`, those of their members that have long lists, or, where all
+        long lists are few, without and with a broadcast of their members."""
+        if long.count() <= LONG_MAX:
+            found = np.sort(np.array([r["member"] for r in long.toLocalIterator()], np.int64).view(np.uint64))
+            return sets, self.docs.sparkSession.sparkContext.broadcast(found)
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = batch.column(column)
+                size = [len(x) // 8 for x in raw.to_pylist()]
+                flat = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(), size)), pa.array(flat)], ["key", "member"])
+
+        flat = sets.select("key", column).mapInArrow(members, "key bigint, member bigint")
+        marked = flat.join(long, "member").groupBy("key").agg(F.collect_list("member").alias("long_members"))
+        return sets.join(marked, "key", "left"), None
+
+    def prefixes(self, sets: DataFrame, column: str, long: DataFrame, complete: bool) -> DataFrame:
+        """(member, key, n, rest, last, long): the members whose lists are merged for each set,
+        those of short lists first.  `rest`: how many lists are skipped, or how many long ones
+        where all short ones are merged; `last`: where the merged ones end in the order of the
+        hashes (the largest number in the latter case).  From lowest hashes alone, a set that
+        lacks short members gives one row without a member."""
+        sets, shared = self.with_long(sets, column, long)
         names = ["member", "key", "n", "rest", "last", "long"]
+        marked = shared is None
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 parts: list[tuple] = []
-                for key, n, raw in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column(column), strict=True):
+                own = batch.column("long_members").to_pylist() if marked else [None] * batch.num_rows
+                for key, n, raw, mine in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), batch.column(column), own, strict=True):
                     m = np.frombuffer(raw.as_buffer(), np.uint64)
-                    if len(shared.value):
-                        at = np.searchsorted(shared.value, m)
-                        at[at == len(shared.value)] = 0
-                        is_long = shared.value[at] == m
-                    else:
-                        is_long = np.zeros(len(m), bool)
+                    known = np.sort(np.array(mine or [], np.int64).view(np.uint64)) if marked else shared.value
+                    is_long = _among(m, known)
                     p, short = int(prefix(n)), m[~is_long]
                     if len(short) >= p:
                         end = int((short[p - 1] ^ U(1 << 63)).astype(np.int64))
@@ -297,31 +292,33 @@ class Join:
                 cols = [np.repeat(np.array([x[i] for x in parts], t), count) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int64), (5, bool))]
                 yield pa.RecordBatch.from_arrays([pa.array(member, mask=lacking), *map(pa.array, cols)], names)
 
-        return sets.select("key", "n", column).mapInArrow(emit, "member bigint, key bigint, n int, rest int, last bigint, long boolean")
+        columns = ["key", "n", column] + ["long_members"] * marked
+        return sets.select(*columns).mapInArrow(emit, "member bigint, key bigint, n int, rest int, last bigint, long boolean")
 
     def postings(self) -> DataFrame:
-        """The prefixes' rows whose member several classes have."""
-        long, lists = self.long_of(self.classes, "low")
-        lacking = self.prefixes(self.classes, "low", long, False)
-        if len(long):
-            exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted0")
-            if not exhausted.isEmpty():
-                # Lists of their other members can be long too: count them on whole sets.
-                more, _ = self.long_of(self.fetch(exhausted).join(exhausted, "key", "left_semi"), "members")
-                long = np.union1d(long, more)
-                lacking = self.prefixes(self.classes, "low", long, False)
-        made = self._keep(lacking.where("member is not null").join(lists.select("member"), "member", "left_semi"), "short")
-        exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted")
+        """The rows of merged lists that several classes are on."""
+        lists = self.lists_of(self.classes, "low")
+        long = self._keep(lists.where(f"c > {self.long}").select("member"), "long")
+        lacking = self._keep(self.prefixes(self.classes, "low", long, False), "prefixes")
+        exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted0")
+        whole = None
         if not exhausted.isEmpty():
+            # Lists of their other members can be long too: count them on whole sets.
+            whole = self.fetch(exhausted)
+            more = self.lists_of(whole.join(exhausted, "key", "left_semi"), "members").where(f"c > {self.long}").select("member")
+            long = self._keep(long.unionByName(more).distinct(), "long1")
+            lacking = self._keep(self.prefixes(self.classes, "low", long, False), "prefixes1")
+            self._drop("prefixes", "exhausted0", "long", "lists-members")
+        made = self._keep(lacking.where("member is not null").join(lists.select("member"), "member", "left_semi"), "short")
+        if whole is not None:
+            exhausted = self._keep(lacking.where("member is null").select("key"), "exhausted")
             whole = self.fetch(exhausted).join(exhausted, "key", "left_semi")
             whole = self._keep(self.prefixes(whole, "members", long, True), "whole")
             # Members that only whole sets brought in may meet in lists that weren't counted.
             own = whole.select("member").distinct().join(lists.select("member"), "member", "left_anti")
-            in_low = self.prefixes(self.classes, "low", long, False).where("member is not null").join(own, "member", "left_semi")
-            made = made.unionByName(in_low).unionByName(whole)
-            made = self._keep(made, "postings")
-            self._drop("short", "whole")
-        self._drop("lists-low", "lists-members", "exhausted0", "exhausted")
+            in_low = lacking.where("member is not null").join(own, "member", "left_semi")
+            made = self._keep(made.unionByName(in_low).unionByName(whole), "postings")
+        self._drop("lists-low", "long", "long1", "prefixes", "prefixes1", "exhausted0", "exhausted", *["short", "whole"] * (whole is not None))
         return made
 
     def contested(self, postings: DataFrame) -> DataFrame:
@@ -332,25 +329,29 @@ class Join:
 
     def judge(self) -> DataFrame:
         """The signatures with the component (comp, a class) that each row is in."""
-        self.tie_bands()
         postings = self.contested(self.postings())
-        # Classes on long lists are first tied to the one in each list that has the smallest
-        # share of members on short lists: of near copies, the one with the fewest changes.
-        long = postings.where("long")
+        share = 1 - F.col("rest") / F.col("n")  # of a class's members on short lists
+        reach = lambda s, t: (4 - 7 * s) * (4 - 7 * t) >= 9 - 1e-9
+        long, fewest = postings.where("long"), None
         if not long.isEmpty():
-            share = (1 - F.col("rest") / F.col("n")).alias("share")
-            lead = self._keep(long.groupBy("member").agg(F.min(F.struct(share, "key", "comp", "n", "rest")).alias("lead")), "leads")
+            lead = self._keep(long.groupBy("member").agg(F.min(F.struct(share.alias("share"), "key", "comp", "n", "rest")).alias("lead")), "leads")
             tied = long.join(lead, "member").where("comp != lead.comp and " + SIZES.format("n", "lead.n") + " and " + REACH.format("rest", "lead.rest", "n", "lead.n"))
             self.add(tied.select(F.col("key").alias("a"), F.col("lead.key").alias("b")))
             postings = self.contested(postings.drop("comp"))
-        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "rest", "last", "long", "comp")]) for s in ("x", "y"))
-        met = x.join(y, "member").where("key_x < key_y and comp_x != comp_y and long_x = long_y and " + SIZES.format("n_x", "n_y"))
-        # Classes that meet on a long list and on no short one share long members at most.
-        met = met.where("not long_x or " + REACH.format("rest_x", "rest_y", "n_x", "n_y"))
+            fewest = lead.select("member", F.col("lead.share").alias("least"))
+        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "rest", "last", "long", "comp")], share.alias(f"s_{s}")) for s in ("x", "y"))
+        met = x.where("not long_x").join(y.where("not long_y"), "member").where("key_x < key_y and comp_x != comp_y and " + SIZES.format("n_x", "n_y"))
+        if fewest is not None:
+            core = x.where("long_x").where(F.col("s_x") <= 1 / 7 + 1e-9)
+            other = y.where("long_y").join(fewest, "member").where(reach(F.col("s_y"), F.col("least"))).drop("least")
+            # Two core classes meet once, by their keys.
+            once = (F.col("s_y") > 1 / 7 + 1e-9) | (F.col("key_x") < F.col("key_y"))
+            both = core.join(other, "member").where("comp_x != comp_y and " + SIZES.format("n_x", "n_y") + " and " + REACH.format("rest_x", "rest_y", "n_x", "n_y"))
+            met = met.unionByName(both.where(once).select(*met.columns))
         # Shared short members up to the nearer end of the two prefixes are all counted;
         # beyond it no more can be shared than the sets have left there.
         left = F.when(F.col("last_x") < F.col("last_y"), F.col("rest_x")).when(F.col("last_x") > F.col("last_y"), F.col("rest_y")).otherwise(F.least("rest_x", "rest_y"))
-        counted = met.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b")).agg(
+        counted = met.groupBy(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).agg(
             F.count_if(~F.col("long_x")).alias("shared"), F.min(left).alias("left"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
         )
         self.add(counted.where("7 * (shared + left) >= 3 * both").select("a", "b"))
@@ -364,9 +365,9 @@ class Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch, long: int = LONG) -> DataFrame:
     # A column `row` of the input is an extra column like any other here.
-    return Join(docs.select("doc_id", "text"), scratch).run()
+    return Join(docs.select("doc_id", "text"), scratch, long).run()
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -138,9 +138,11 @@ def _components(sets):
     return {k: f(k) for k in sets}
 
 
-@pytest.mark.parametrize("long", [24, 3])
-def test_op3(spark, docs, rows, empty, long, monkeypatch):
-    monkeypatch.setattr(ngram_join.Join.long_of, "__defaults__", (long,))
+@pytest.mark.parametrize(("long", "most"), [(24, 4_000_000), (3, 4_000_000), (3, 0)])
+def test_op3(spark, docs, rows, empty, long, most, monkeypatch):
+    monkeypatch.setattr(ngram_join.Join.__init__, "__defaults__", (long,))
+    monkeypatch.setattr(ngram_join.jaccard_components, "__defaults__", (long,))
+    monkeypatch.setattr(ngram_join, "LONG_MAX", most)
     sets = {}
     for r in rows:
         w = _words(r[1], True)
