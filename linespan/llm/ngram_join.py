@@ -19,11 +19,19 @@ changes the work, never the result.
 
 Classes that can't do without long lists ("exhausted": fewer than n - T + 1 short ones)
 are merged on these too, but no long list is joined with itself as a whole.  First
-each class on it meets only the one with the smallest share s of members on short
-lists, which of near copies is the one with the fewest changes: a pair a class.
-What then still touches several components can only link over long lists alone if
-(4 - 7 s) (4 - 7 s') >= 9, so one side has s <= 1/7 (a core class), and the other must
-meet that with the smallest s of its list: only such pairs are counted.
+each class on it meets only one other, a pair a class: the one with the smallest share
+s of members on short lists, which of near copies is the one with the fewest changes,
+and, while the list still touches several components, one that a hash chooses anew for
+each list, so a class meets as many others as it is on lists (TURNS turns).  What then still touches several components can only link
+over long lists alone if (4 - 7 s) (4 - 7 s') >= 9, s' being the other's share; a class
+that can't do so even with the smallest s of its list is left out.  Of classes with
+equal long parts the smallest set stands for all (it links with whatever one of them
+links with, and only over it need they be tied), so each different long part is held
+against each class, not each class against each.  A pair leaves that join only if the
+members behind its place in both lists could be enough, and if the odd sketches of the
+long parts, which bound from below by how much they differ, leave enough in common.
+That is the remaining limit: in a group of very many near copies with long parts of
+their own, what isn't linked by the turns is compared, though not written, by pairs.
 
 Joins are on hashes, so Spark splits hot keys.  The members of long lists are broadcast
 while there are at most LONG_MAX of them (32 MB), and joined to the sets beyond that.
@@ -48,7 +56,7 @@ from .components import components
 from .scratch import Scratch
 from .words import Words, mix, pieces, texts
 
-N, LONG, LONG_MAX = 5, 24, 4_000_000
+N, LONG, LONG_MAX, TURNS, SKETCH = 5, 24, 4_000_000, 2, 8
 LAST = (1 << 63) - 1
 U = np.uint64
 #: Sets of sizes that differ by more can't link.
@@ -145,6 +153,13 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
+def odd_sketch(members: np.ndarray) -> list[int]:
+    """SKETCH numbers whose bits tell whether an odd count of members falls there.  Two sets differ
+    in at least as many members as their sketches do in bits."""
+    odd = np.bincount((mix(members ^ U(0x5851F42D4C957F2D)) >> U(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     """Occurrences of a candidate on the lists of a set: the shorter sorted array probes the longer."""
     if len(x) > len(y):
@@ -258,13 +273,14 @@ class Join:
         return sets.join(marked, "key", "left"), None
 
     def prefixes(self, sets: DataFrame, column: str, long: DataFrame, complete: bool) -> DataFrame:
-        """(member, key, n, rest, last, long): the members whose lists are merged for each set,
+        """(member, key, n, rest, last, long, at, part, sketch): the members whose lists are merged for each set,
         those of short lists first.  `rest`: how many lists are skipped, or how many long ones
         where all short ones are merged; `last`: where the merged ones end in the order of the
-        hashes (the largest number in the latter case).  From lowest hashes alone, a set that
-        lacks short members gives one row without a member."""
+        hashes (the largest number in the latter case); of whole sets `at`: a long member's place among them, `part`
+        and `sketch`: a hash and an odd sketch of all of them.  From lowest hashes alone, a set that lacks short members gives one row
+        without a member."""
         sets, shared = self.with_long(sets, column, long)
-        names = ["member", "key", "n", "rest", "last", "long"]
+        names = ["member", "key", "n", "rest", "last", "long", "at", "part", "sketch"]
         marked = shared is None
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,22 +294,28 @@ class Join:
                     p, short = int(prefix(n)), m[~is_long]
                     if len(short) >= p:
                         end = int((short[p - 1] ^ U(1 << 63)).astype(np.int64))
-                        parts.append((short[:p], key, n, n - p, end, False))
+                        parts.append((short[:p], key, n, n - p, end, False, None, 0, None))
                     elif complete:
-                        parts.append((short, key, n, n - len(short), LAST, False))
-                        parts.append((m[is_long][: p - len(short)], key, n, n - len(short), LAST, True))
+                        of_long = m[is_long]
+                        part, bits = int(mix(of_long).sum().view(np.int64)), odd_sketch(of_long)
+                        parts.append((short, key, n, n - len(short), LAST, False, None, part, None))
+                        some = of_long[: p - len(short)]
+                        parts.append((some, key, n, n - len(short), LAST, True, np.arange(len(some)), part, bits))
                     else:
-                        parts.append((None, key, n, 0, 0, True))
+                        parts.append((None, key, n, 0, 0, True, None, 0, None))
                 if not parts:
                     continue
                 count = np.array([1 if x[0] is None else len(x[0]) for x in parts])
                 member = np.concatenate([np.zeros(1, np.uint64) if x[0] is None else x[0] for x in parts]).view(np.int64)
                 lacking = np.repeat([x[0] is None for x in parts], count)
                 cols = [np.repeat(np.array([x[i] for x in parts], t), count) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.int64), (5, bool))]
-                yield pa.RecordBatch.from_arrays([pa.array(member, mask=lacking), *map(pa.array, cols)], names)
+                at = np.concatenate([np.zeros(c, np.int32) if x[6] is None else x[6].astype(np.int32) for x, c in zip(parts, count, strict=True)])
+                part = np.repeat(np.array([x[7] for x in parts], np.int64), count)
+                sketch = pa.array([x[8] for x in parts], pa.list_(pa.int64())).take(pa.array(np.repeat(np.arange(len(parts)), count)))
+                yield pa.RecordBatch.from_arrays([pa.array(member, mask=lacking), *map(pa.array, (*cols, at, part)), sketch], names)
 
         columns = ["key", "n", column] + ["long_members"] * marked
-        return sets.select(*columns).mapInArrow(emit, "member bigint, key bigint, n int, rest int, last bigint, long boolean")
+        return sets.select(*columns).mapInArrow(emit, "member bigint, key bigint, n int, rest int, last bigint, long boolean, at int, part bigint, sketch array<bigint>")
 
     def postings(self) -> DataFrame:
         """The rows of merged lists that several classes are on."""
@@ -332,29 +354,46 @@ class Join:
         postings = self.contested(self.postings())
         share = 1 - F.col("rest") / F.col("n")  # of a class's members on short lists
         reach = lambda s, t: (4 - 7 * s) * (4 - 7 * t) >= 9 - 1e-9
-        long, fewest = postings.where("long"), None
-        if not long.isEmpty():
-            lead = self._keep(long.groupBy("member").agg(F.min(F.struct(share.alias("share"), "key", "comp", "n", "rest")).alias("lead")), "leads")
-            tied = long.join(lead, "member").where("comp != lead.comp and " + SIZES.format("n", "lead.n") + " and " + REACH.format("rest", "lead.rest", "n", "lead.n"))
-            self.add(tied.select(F.col("key").alias("a"), F.col("lead.key").alias("b")))
+        differ = sum((F.bit_count(F.col("sketch_x")[k].bitwiseXOR(F.col("sketch_y")[k])) for k in range(SKETCH)), F.lit(0))
+        # Over long lists alone: the members from here on, and those that the sketches leave, must be enough.
+        over_long = "key_x != key_y and comp_x != comp_y and " + SIZES.format("n_x", "n_y") + " and " + REACH.format("(rest_x - at_x)", "(rest_y - at_y)", "n_x", "n_y")
+        enough = 7 * (F.col("rest_x") + F.col("rest_y") - differ) >= 6 * (F.col("n_x") + F.col("n_y"))
+        names = ("key", "n", "rest", "comp", "at", "sketch")
+        fewest, ends = None, [F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")]
+        for turn in range(TURNS):
+            long = postings.where("long")
+            if long.isEmpty():
+                break
+            if fewest is None:
+                fewest = self._keep(long.groupBy("member").agg(F.min(share).alias("least")), "fewest")
+                first = share
+            else:  # the leaders of the first turn have met all that are on their lists
+                first = F.xxhash64("key", "member", F.lit(turn))
+            lead = long.groupBy("member").agg(F.min(F.struct(first.alias("first"), *names)).alias("lead"))
+            lead = self._keep(lead.select("member", *[F.col(f"lead.{c}").alias(f"{c}_x") for c in names]), "leads")
+            tied = long.select("member", *[F.col(c).alias(f"{c}_y") for c in names]).join(lead, "member")
+            # A leader may share short members with a class as well: only what is known of both counts.
+            sizes = "comp_x != comp_y and " + SIZES.format("n_x", "n_y") + " and " + REACH.format("rest_x", "rest_y", "n_x", "n_y")
+            self.add(tied.where(sizes).where(enough).select(*ends))
             postings = self.contested(postings.drop("comp"))
-            fewest = lead.select("member", F.col("lead.share").alias("least"))
-        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "rest", "last", "long", "comp")], share.alias(f"s_{s}")) for s in ("x", "y"))
+        x, y = (postings.select("member", *[F.col(c).alias(f"{c}_{s}") for c in (*names, "last", "long")], share.alias(f"s_{s}")) for s in ("x", "y"))
         met = x.where("not long_x").join(y.where("not long_y"), "member").where("key_x < key_y and comp_x != comp_y and " + SIZES.format("n_x", "n_y"))
+        more = None
         if fewest is not None:
-            core = x.where("long_x").where(F.col("s_x") <= 1 / 7 + 1e-9)
-            other = y.where("long_y").join(fewest, "member").where(reach(F.col("s_y"), F.col("least"))).drop("least")
-            # Two core classes meet once, by their keys.
-            once = (F.col("s_y") > 1 / 7 + 1e-9) | (F.col("key_x") < F.col("key_y"))
-            both = core.join(other, "member").where("comp_x != comp_y and " + SIZES.format("n_x", "n_y") + " and " + REACH.format("rest_x", "rest_y", "n_x", "n_y"))
-            met = met.unionByName(both.where(once).select(*met.columns))
+            # Of classes with the same long part the smallest stands for all: who links with one of them
+            # over long lists alone links with it, and it is on all lists that the others are on.
+            head = postings.where("long").groupBy("member", "part").agg(F.min(F.struct("n", *[c for c in names if c != "n"])).alias("of"))
+            head = head.select("member", *[F.col(f"of.{c}").alias(f"{c}_x") for c in names])
+            other = y.where("long_y").join(fewest, "member").where(reach(F.col("s_y"), F.col("least")))
+            more = head.join(other, (head["member"] == other["member"]) & F.expr(over_long) & enough).select(*ends).distinct()
         # Shared short members up to the nearer end of the two prefixes are all counted;
         # beyond it no more can be shared than the sets have left there.
         left = F.when(F.col("last_x") < F.col("last_y"), F.col("rest_x")).when(F.col("last_x") > F.col("last_y"), F.col("rest_y")).otherwise(F.least("rest_x", "rest_y"))
         counted = met.groupBy(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).agg(
-            F.count_if(~F.col("long_x")).alias("shared"), F.min(left).alias("left"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
+            F.count(F.lit(1)).alias("shared"), F.min(left).alias("left"), F.min(F.col("n_x") + F.col("n_y")).alias("both")
         )
-        self.add(counted.where("7 * (shared + left) >= 3 * both").select("a", "b"))
+        counted = counted.where("7 * (shared + left) >= 3 * both").select("a", "b")
+        self.add(counted if more is None else counted.unionByName(more))
         return self.with_comp(self.signatures)
 
     def run(self) -> DataFrame:
