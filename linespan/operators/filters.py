@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..config import InputError
 
 # What a line may start with to carry a time.
-ISO = r"^(?:\x1b\[[0-9;]*m)*\s*\[?\s*(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(Z|[+-]\d{2}:?\d{2})?"
-SYSLOG = r"^(?:\x1b\[[0-9;]*m)*\s*(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})"
+_PREFIX = r"^(?:\x1b\[[0-9;]*m)*\[?"
+ISO = _PREFIX + r"(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(Z|[+-]\d{2}(?::?\d{2})?)?(?![\d:])"
+SYSLOG = _PREFIX + r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) {1,2}(\d{1,2}) (\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?(?!\d)"
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
@@ -78,19 +79,20 @@ def stamped(lines: DataFrame, text: str = "text", tz: str = "UTC", now: datetime
             df = df.withColumn(made, F.col(local) - offset)
         return df
 
-    df = lines.withColumn("_iso", groups(ISO, 8)).withColumn("_sys", groups(SYSLOG, 5))
+    df = lines.withColumn("_iso", groups(ISO, 8)).withColumn("_sys", groups(SYSLOG, 6))
     sane = num("_iso", 1).between(1, 12) & num("_iso", 2).between(1, 31) & (num("_iso", 3) <= 23) & (num("_iso", 4) <= 59) & (num("_iso", 5) <= 60)
     df = df.withColumn("_iso", F.when(sane, F.col("_iso")))
     df = df.withColumn("_local", F.when(F.col("_iso").isNotNull(), _epoch_s(*[num("_iso", i) for i in range(6)])))
     df = with_zone(df, "_local", "_zoned").withColumn("_zone", F.replace(F.get("_iso", F.lit(7)), F.lit(":"), F.lit("")))
-    shift = (F.substring("_zone", 2, 2).try_cast("int") * 3600 + F.substring("_zone", 4, 2).try_cast("int") * 60) * F.when(F.col("_zone").startswith("-"), -1).otherwise(1)
+    shift = (F.substring("_zone", 2, 2).try_cast("int") * 3600 + F.coalesce(F.substring("_zone", 4, 2).try_cast("int"), F.lit(0)) * 60) * F.when(F.col("_zone").startswith("-"), -1).otherwise(1)
     at = F.when(F.col("_zone") == "Z", F.col("_local")).when(F.col("_zone") != "", F.col("_local") - shift).otherwise(F.col("_zoned"))
     df = df.withColumn("own", at * 1000 + F.coalesce(F.rpad(F.get("_iso", F.lit(6)), 3, "0").try_cast("int"), F.lit(0)))
     month = F.floor((F.position(F.get("_sys", F.lit(0)), F.lit(MONTHS)) + 2) / 3).cast("int")
     for year, out in ((here.year, "_this"), (here.year - 1, "_before")):
         civil = _epoch_s(F.lit(year), F.greatest(month, F.lit(1)), *[num("_sys", i) for i in range(1, 5)])
         df = with_zone(df.withColumn("_local", F.when(F.col("_sys").isNotNull(), civil)), "_local", out)
-    syslog = F.when(F.col("_this") * 1000 > int(now.timestamp() * 1000), F.col("_before")).otherwise(F.col("_this")) * 1000
+    fraction = F.coalesce(F.rpad(F.get("_sys", F.lit(5)), 3, "0").try_cast("int"), F.lit(0))
+    syslog = F.when(F.col("_this") * 1000 > int(now.timestamp() * 1000), F.col("_before")).otherwise(F.col("_this")) * 1000 + fraction
     df = df.withColumn("own", F.coalesce("own", syslog))
     return df.drop("_iso", "_sys", "_local", "_near", "_zoned", "_zone", "_this", "_before")
 

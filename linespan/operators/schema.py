@@ -18,7 +18,8 @@ from ..config import InputError
 from ..functions.text import fold_space, missing_tokens, norm_key
 from .checks import KEY, clip, resolve_names
 
-HINT = re.compile(r"^(string|number|integer|boolean|date|datetime|time)\b\s*(?:[—–-]\s*(.*))?$", re.S)
+# Fixed value: a type and what it is, as the leaves of a schema are written.
+HINT = re.compile(r"^\s*(string|number|integer|boolean|date|datetime|time)\s*(?:(?:[—–]|\s-\s)\s*(.*))?$", re.I | re.S)
 REF = r"^\(?\s*(?:(.+?):)?L(\d+)(?:\s*[-–]\s*L?(\d+))?\s*(?:\(.*\))?\s*\)?$"
 MAX_LEAVES, MAX_DEPTH, MAX_KEY, MAX_TEXT = 60, 4, 200, 1000
 
@@ -34,7 +35,7 @@ def leaves(schema: dict) -> list[tuple[str, str, str]]:
             m = HINT.match(node.strip())
             if not m or len(node) > MAX_TEXT:
                 raise InputError(f'{path}: a leaf is "type — description"')
-            out.append((path, m[1], m[2] or ""))
+            out.append((path, m[1].lower(), m[2] or ""))
         elif isinstance(node, list) and len(node) == 1:
             walk(node[0], path + "[]", depth + 1)
         elif isinstance(node, dict) and node:
