@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks import shared_dir
+
+DAY_MS = 86_400_000
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -27,36 +29,44 @@ def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def ledger(events: DataFrame, daily_cents: int, delay: str = "1 day") -> DataFrame:
-    """Each user's spending against a daily budget: what a job may still spend when it comes.
+    """Each user's spending against a daily budget: whether a job is granted when it comes, and
+    what the day has cost so far.
 
-    State is one row a user: the day and what it has cost so far; a new day starts at nothing.
+    State is one number for a user's day, as a day starts at nothing, and goes once the watermark
+    has passed the day.  Of a micro-batch a task holds one user's one day, nothing wider.
     """
 
     def settle(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        day, spent = state.get if state.exists else ("", 0)
+        columns = ["user_id", "event_id", "day", "granted", "spent"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        spent = int(state.get[0]) if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for e in rows.itertuples():
-            today = f"{e.ts:%Y-%m-%d}"
-            day, spent = (day, spent) if today <= day else (today, 0)
-            granted = today == day and spent + e.cents <= daily_cents
-            spent += e.cents if granted else 0
-            out.append((key[0], e.event_id, today, granted, spent))
-        state.update((day, int(spent)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "day", "granted", "spent"])
+        granted, so_far = [], []
+        for cents in rows["cents"].tolist():
+            ok = spent + cents <= daily_cents
+            spent += cents if ok else 0
+            granted.append(ok)
+            so_far.append(spent)
+        state.update((spent,))
+        over = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + DAY_MS
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(dict(zip(columns, (key[0], rows["event_id"], key[1], granted, so_far), strict=True)))
 
     cents = F.round(F.col("value") * 100).cast("long")
-    df = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", cents.alias("cents"))
-    return df.groupBy("user_id").applyInPandasWithState(
-        settle, "user_id bigint, event_id bigint, day string, granted boolean, spent bigint", "day string, spent bigint", "append", "NoTimeout"
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    df = events.withWatermark("ts", delay).select("user_id", day, "event_id", "ts", cents.alias("cents"))
+    return df.groupBy("user_id", "day").applyInPandasWithState(
+        settle, "user_id bigint, event_id bigint, day string, granted boolean, spent bigint", "spent bigint", "append", "EventTimeTimeout"
     )
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that is there now, through the stream, written to the shared folder and read back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-linespan-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

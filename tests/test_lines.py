@@ -105,3 +105,62 @@ def test_urls(spark):
     u = "https://me:pw@example.com/a/b?x=1&y=2#top"
     r = spark.range(1).select(L.url_name(F.lit(u)).alias("n"), L.masked_url(F.lit(u)).alias("m")).first()
     assert (r["n"], r["m"]) == ("example.com/a/b", "https://example.com/a/b?x=***&y=***")
+
+
+def test_ledger_by_hand(spark):
+    """Granted jobs and a day's spending against a loop over the events in order."""
+    from linespan.streaming import usage as U
+
+    sf = "/root/testdata/sf0.001"
+    for cents in (20_000, 3_000):
+        spent, want = {}, set()
+        for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("ts", "event_id").collect():
+            key, cost = (r["user_id"], f"{r['ts']:%Y-%m-%d}"), round(r["value"] * 100)
+            ok = spent.get(key, 0) + cost <= cents
+            spent[key] = spent.get(key, 0) + cost * ok
+            want.add((r["user_id"], r["event_id"], key[1], ok, spent[key]))
+        got = U.run_once(U.ledger(U.read_events(spark, sf), cents)).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_stamps_as_fixed(spark):
+    """Offsets of two digits, fractions and the guards of the fixed patterns."""
+    from datetime import UTC, datetime
+
+    from linespan.operators import filters as X
+
+    at = lambda *a: int(datetime(*a, tzinfo=UTC).timestamp() * 1000)
+    rows = [
+        ("2026-09-26 13:00:00+03 x", at(2026, 9, 26, 10)), ("[2026-09-26T13:00Z", at(2026, 9, 26, 13)), ("  2026-09-26 13:00:00", None), ("2026-09-26 13:00:00:5", None),
+        ("2026-09-26 13:00:00.25", at(2026, 9, 26, 13) + 250), ("Dec 31 23:00:00.5 a", at(2025, 12, 31, 23) + 500), ("Dec 31 23:00:001", None), ("Dec  1 23:00:00 a", at(2025, 12, 1, 23)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "n int, text string")
+    got = {r["n"]: r["own"] for r in X.stamped(df, now=datetime(2026, 1, 2, tzinfo=UTC)).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+
+
+def test_sent_lines_keep_blocks_that_begin_outside(spark):
+    from linespan.operators import jobs as J
+
+    lines = ["password: |", "  hunter2", "  more", "plain", "-----BEGIN RSA PRIVATE KEY-----", "abc", "-----END RSA PRIVATE KEY-----"]
+    df = spark.createDataFrame([(1, lines), (2, None), (3, [])], "file_id long, lines array<string>")
+    sent = J.sent_lines(df, "token|key", 0, first=2)
+    assert [(r["n"], r["text"]) for r in sent.orderBy("n").collect()] == [(2, "  [token]"), (3, "  [token]"), (6, "[key]")]
+    assert {(r["rule"], r["count"]) for r in J.mask_tally(sent).collect()} == {("kv_secret", 1), ("pem", 1)}
+
+
+def test_edits_and_exports_odd_cases(spark):
+    from linespan import sinks
+    from linespan.operators import jobs as J
+
+    said = [["[1,", "2]"], ["[1] x"], ['{"a":1}, {"b":2}'], ["", "NOT IN INPUT"], ["null"], []]
+    df = spark.createDataFrame(list(enumerate(said)), "answer_id int, lines array<string>")
+    got = {}
+    for r in J.parse_edits(df).orderBy("answer_id", "pos").collect():
+        got.setdefault(r["answer_id"], []).append(r["value"] if r["error"] is None else "error")
+    assert got == {0: ["1", "2"], 1: ["error"], 2: ["error"], 4: ["null"]}
+    targets = spark.createDataFrame([("relative.md", "r"), ("/else/a.md", "r"), ("/out/a.md", "r")], "path string, result_id string")
+    there, none = spark.createDataFrame([("/out/a.md", "link")], "path string, kind string"), spark.createDataFrame([], sinks.MANIFEST)
+    plan = {r["path"]: r["refused"] for r in sinks.plan_export(targets, there, none, ["/out"]).collect()}
+    assert plan == {"relative.md": "not absolute", "/else/a.md": "outside the roots", "/out/a.md": "a symlink"}
+    assert {r["refused"] for r in sinks.plan_export(targets, there, none, []).collect()} == {"export is off"}
