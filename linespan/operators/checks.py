@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,6 +151,11 @@ _EXEMPT = re.compile(r"^(?:#{1,6}\s.*|```.*|[\s|:-]+|(?:\*\s*){3,}|)$")
 _NOT_IN_INPUT = re.compile(NOT_IN_INPUT)
 
 
+@lru_cache(maxsize=256)
+def _refs(names: tuple[str, ...]) -> Refs:
+    return Refs(list(names))
+
+
 def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | None, list[str], int, int]:
     """Status, issues and numbers of good and bad references of one line of prose."""
     text = line.strip()
@@ -167,7 +173,7 @@ def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | No
         like = [x for x in names if x.endswith("/" + name)]
         return (like[0], "") if len(like) == 1 else (None, "ambiguous" if like else "unknown")
 
-    refs, rest = Refs(names).parse(line)
+    refs, rest = _refs(tuple(names)).parse(line)
     issues, soft, good, bad, cited = [], [], 0, 0, []
     if not refs:
         issues.append("no ref")
@@ -199,18 +205,27 @@ def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | No
 def check_draft(answers: DataFrame, carried: DataFrame) -> DataFrame:
     """Lines of prose (job, chunk, pos, raw) with status, issues, refs_ok and refs_bad; exempt lines go.
 
-    A chunk's lines are within its budget, so they come as one array to its answer.
+    A chunk's lines are within its budget and its answer within the model's, so both come as one
+    array each, in one row a chunk: the lines are looked up by name and number once for all of
+    the answer, and travel once.
     """
+    rest = [c for c in answers.columns if c not in KEY]
     have = carried.groupBy(*KEY).agg(F.collect_list(F.struct("name", "n", "text")).alias("lines"))
-
-    @F.pandas_udf(DRAFT)
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for raw, lines in batches:
-            rows = [judge_line(r, {(x["name"], x["n"]): x["text"] for x in c} if c is not None else {}) for r, c in zip(raw, lines, strict=True)]
-            yield pd.DataFrame(rows, columns=["status", "issues", "refs_ok", "refs_bad"])
-
-    df = answers.join(have, list(KEY), "left").withColumn("d", judge("raw", "lines"))
-    return df.drop("lines").select("*", "d.*").drop("d").where("status is not null")
+    said = answers.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("said"))
+
+    @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in DRAFT.split(', '))}>>")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names = ("status", "issues", "refs_ok", "refs_bad")
+        for said, lines in batches:
+            out = []
+            for raws, chunk in zip(said, lines, strict=True):
+                known = {(x["name"], x["n"]): x["text"] for x in chunk} if chunk is not None else {}
+                out.append([dict(zip(names, judge_line(r, known), strict=True)) for r in raws])
+            yield pd.Series(out)
+
+    df = said.join(have, list(KEY), "left").withColumn("d", judge(F.transform("said", lambda x: x["raw"]), "lines"))
+    df = df.select(*KEY, F.explode(F.arrays_zip("said", "d")).alias("x"))
+    return df.select(*KEY, *[F.col(f"x.said.{c}").alias(c) for c in rest], "x.d.*").where("status is not null").select(*answers.columns, "status", "issues", "refs_ok", "refs_bad")
 
 
 def draft_summary(items: DataFrame, *by: str) -> DataFrame:

@@ -65,6 +65,23 @@ def test_extra_patterns(spark):
     assert M.Masker(("ab+c",)).line("x abbbc") == ("x [token]", {"extra_1": 1})
 
 
+def test_speed_as_asked_of_others():
+    """Four plain lines of 2 MiB in a second, five hostile ones in two; allowed here is three times
+    that, for the slower machines that tests run on."""
+    import bench
+
+    rate = bench.masking()
+    assert 8 / rate["plain"] < 3 and 10 / rate["hostile"] < 6
+
+
+def test_needs_are_needed():
+    """Every rule finds its own examples although lines without what it needs are passed over."""
+    every = " ".join(line for line, want in VECTORS if line != want)
+    assert set(M.Masker().line(every)[1]) >= {"uuid", "hex32", "mixed_alnum", "bearer", "url_userinfo", "sk_key"}
+    for line in ("vless://ss://abcDEF@h?pbk=abc&sid=def", "ghp_" + "a1" * 12, "github_pat_" + "a1" * 12, "12345678:" + "a" * 35, "eyJabcdef.abcdef.abcdef"):
+        assert M.Masker().line(line)[1], line
+
+
 def test_speed_on_long_lines():
     import time
 
