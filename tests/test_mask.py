@@ -76,8 +76,7 @@ def test_speed_as_asked_of_others():
 
 def test_needs_are_needed():
     """Every rule finds its own examples although lines without what it needs are passed over."""
-    every = " ".join(line for line, want in VECTORS if line != want)
-    assert set(M.Masker().line(every)[1]) >= {"uuid", "hex32", "mixed_alnum", "bearer", "url_userinfo", "sk_key"}
+    assert {rule for line, _ in VECTORS for rule in M.Masker().line(line)[1]} >= {"uuid", "hex32", "mixed_alnum", "bearer", "url_userinfo", "sk_key"}
     for line in ("vless://ss://abcDEF@h?pbk=abc&sid=def", "ghp_" + "a1" * 12, "github_pat_" + "a1" * 12, "12345678:" + "a" * 35, "eyJabcdef.abcdef.abcdef"):
         assert M.Masker().line(line)[1], line
 
