@@ -199,6 +199,7 @@ def near_vectors(table: DataFrame, scratch: Scratch, cosine: float = COSINE, pro
     found = balls.select("vec_id", "ball").join(size.select("ball", "members"), "ball").join(by_ball, "ball", "left").join(comps, "ball", "left").join(by_vector, "vec_id", "left")
     links = F.col("members") - 1 + F.coalesce("of_balls", F.lit(0)) + F.coalesce("of_members", F.lit(0))
     found = scratch.keep(found.select("vec_id", links.alias("n_links"), F.coalesce("comp", "ball").alias("component_id")), "found")
+    scratch.drop_all_but("found")
     out = rows.select("vec_id").join(found, "vec_id", "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), F.col("vec_id").eqNullSafe(comp).alias("kept"))

@@ -313,6 +313,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, with_text: bool = False)
     )
     repeated = windows.join(first, ["h", "g"]).where("_id > first")
     marks = scratch.keep(repeated.groupBy("_id", "_sig").agg(F.collect_set("at").alias("marks")), "marks")
+    scratch.drop_all_but("marks")
     return removed(named.join(marks, ["_id", "_sig"], "left").select("doc_id", "text", "marks"), with_text)
 
 
