@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jobs import price_text
+
+# Variants of a model that are refused, wherever in its id they stand.
+REFUSED_SUFFIXES = ("online", "nitro", "floor", "exacto", "thinking", "extended")
+
 USAGE = (
     "ts string, tool string, mode string, alias string, primary string, models_used array<string>, chunks int, chunks_done int, tokens_in bigint, "
     "tokens_out bigint, cost double, cost_estimated boolean, failed_attempts int, ms bigint, truncated int, status string, "
@@ -33,6 +38,18 @@ def usage_scopes(records: DataFrame, today: str) -> DataFrame:
     return scoped.groupingSets([["scope"], ["scope", "alias"]], "scope", "alias").agg(*_totals(), F.grouping("alias").cast("int").alias("is_total"))
 
 
+def usage_report(records: DataFrame, today: str, tool: str = "run") -> DataFrame:
+    """(scope, kind, alias, jobs, failed, cost, tokens_in, tokens_out, estimated, is_total): jobs altogether
+    and by alias, probes altogether; dry runs and other tools count nowhere."""
+    kept = records.where(~F.coalesce("dry_run", F.lit(False)) & F.col("tool").isin(tool, "probe"))
+    kept = kept.withColumn("kind", F.when(F.col("tool") == "probe", "probe").otherwise("job"))
+    kept = kept.withColumn("alias", F.when(F.col("mode") == "grep", "(grep, no model)").otherwise(F.coalesce("alias", F.lit("(raw id)"))))
+    scoped = kept.withColumn("scope", F.explode(F.when(F.col("ts").startswith(today), F.array(F.lit("all"), F.lit("today"))).otherwise(F.array(F.lit("all")))))
+    groups = scoped.groupingSets([["scope", "kind"], ["scope", "kind", "alias"]], "scope", "kind", "alias")
+    out = groups.agg(*_totals(), F.count_if("cost_estimated").alias("estimated"), F.grouping("alias").cast("int").alias("is_total"))
+    return out.where("kind = 'job' or is_total = 1")
+
+
 def usage_by_model(records: DataFrame) -> DataFrame:
     """A job's whole cost goes to each model that it used."""
     return records.withColumn("model", F.explode("models_used")).groupBy("model").agg(*_totals())
@@ -66,18 +83,33 @@ def cheapest_fitting(endpoints: DataFrame, cap_in: float, cap_out: float) -> Dat
     return best.select("model_id", F.col("b.price_in").alias("fit_in"), F.col("b.price_out").alias("fit_out"))
 
 
-def screen(facts: DataFrame, fitting: DataFrame, blocked: DataFrame, cap_in: float) -> DataFrame:
-    """facts with `reason`, the first thing that speaks against a model, else null."""
-    df = facts.join(fitting, "model_id", "left").join(blocked.select("model_id").distinct().withColumn("blocked", F.lit(True)), "model_id", "left")
-    suffix = F.element_at(F.split("model_id", ":"), -1)
-    reason = (
-        F.when((F.size(F.split("model_id", ":")) > 1) & suffix.isin("free", "online", "batch"), F.concat(F.lit("suffix :"), suffix))
-        .when(F.col("blocked"), "blocked")
-        .when(F.col("context").isNull(), "no context")
-        .when(F.col("fit_in").isNull() & F.col("min_in").isin(float("inf")), "price unknown")
-        .when(F.col("fit_in").isNull(), F.concat(F.lit("over the cap of "), F.lit(str(cap_in))))
-    )
-    return df.withColumn("reason", reason).drop("blocked")
+def refused(model_id: Column) -> Column:
+    """Whether an id (`vendor/model:free:nitro`) has a refused variant in any place."""
+    parts = F.split(F.lower(model_id), ":")
+    return F.arrays_overlap(F.slice(parts, 2, F.size(parts)), F.array(*map(F.lit, REFUSED_SUFFIXES)))
+
+
+def screen(ids: DataFrame, facts: DataFrame, fitting: DataFrame, account: DataFrame | None = None, cap: tuple[float, float] | None = None) -> DataFrame:
+    """ids (model_id) with what is known of each and `reason`, the first thing that speaks against it, else null.
+
+    `account` has the ids that may be used.  With a cap one endpoint must be within both prices
+    (`fitting`); without one every endpoint needs a price."""
+    df = ids.join(facts, "model_id", "left").join(fitting, "model_id", "left")
+    reason = F.when(refused(F.col("model_id")), "refused variant suffix").when(F.col("endpoints").isNull(), "no ZDR endpoint")
+    if account is not None:
+        df = df.join(account.select("model_id").distinct().withColumn("usable", F.lit(True)), "model_id", "left")
+        reason = reason.when(F.col("usable").isNull(), "blocked by account")
+    reason = reason.when(F.col("context").isNull(), "no context length in the ZDR list")
+    if cap is None:
+        endless = F.lit(float("inf"))
+        reason = reason.when((F.col("max_in") == endless) | (F.col("max_out_price") == endless), "price unknown")
+    else:
+        most = [price_text(F.lit(c)) for c in cap]
+        apart = F.when((F.col("min_in") <= cap[0]) & (F.col("min_out") <= cap[1]), ", on different endpoints").otherwise("")
+        lowest = [F.lit("; lowest in "), price_text(F.col("min_in")), F.lit(" / out "), price_text(F.col("min_out")), apart, F.lit(")")]
+        over = F.concat(F.lit("over price cap (no ZDR endpoint within in "), most[0], F.lit(" / out "), most[1], F.lit(" per 1M"), *lowest)
+        reason = reason.when(F.col("fit_in").isNull(), over)
+    return df.withColumn("reason", reason).drop("usable")
 
 
 def candidates(screened: DataFrame, top: int = 10) -> DataFrame:
@@ -98,6 +130,21 @@ def score_extract(items: DataFrame, required: DataFrame, allowed: DataFrame, *by
     return out.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hit", "need", "answered", "in_allowed")])
 
 
+def extract_misses(items: DataFrame, required: DataFrame, allowed: DataFrame, *by: str) -> DataFrame:
+    """(by, line, what): required lines that no item has are missing, lines neither required nor allowed are extra."""
+    on = [*by, "line"]
+    need, got = required.select(*on).distinct(), items.where("line is not null").select(*on).distinct()
+    missing = need.join(got, on, "left_anti").withColumn("what", F.lit("missing"))
+    extra = got.join(need.unionByName(allowed.select(*on)), on, "left_anti").withColumn("what", F.lit("extra"))
+    return missing.unionByName(extra)
+
+
+def bench_runs(cases: DataFrame, models: list[str], reps: int) -> DataFrame:
+    """cases (case_id, mode) by model and repetition; a grep case calls no model and has a run of `(grep)` each time."""
+    used = F.when(F.col("mode") == "grep", F.array(F.lit("(grep)"))).otherwise(F.array(*map(F.lit, models)))
+    return cases.withColumn("model", F.explode(used)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+
+
 def bench_summary(scores: DataFrame) -> DataFrame:
     """Recall and precision by model and by provider, of sums; failed runs count in cost alone."""
     done = [F.sum(F.when(~F.col("failed"), F.col(c))).alias(c) for c in ("hit", "need", "answered", "in_allowed")]

@@ -57,14 +57,21 @@ def items(kept: Column, total: Column) -> Column:
 
 def ranges(ns: Column) -> Column:
     """Runs of consecutive numbers of an ascending array, as (a, b)."""
-    heads = F.filter(ns, lambda x: ~F.array_contains(ns, x - 1))
-    tails = F.filter(ns, lambda x: ~F.array_contains(ns, x + 1))
+    none, size = F.array(F.lit(None).cast("int")), F.size(ns)
+    before, behind = F.concat(none, F.slice(ns, 1, F.greatest(size - 1, F.lit(0)))), F.concat(F.slice(ns, 2, F.greatest(size, F.lit(0))), none)
+    heads = F.array_compact(F.zip_with(ns, before, lambda x, p: F.when(p.isNull() | (x != p + 1), x)))
+    tails = F.array_compact(F.zip_with(ns, behind, lambda x, q: F.when(q.isNull() | (q != x + 1), x)))
     return F.arrays_zip(heads.alias("a"), tails.alias("b"))
 
 
+def label_text(label: Column) -> Column:
+    """A section's label as its marker shows it."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f-\x9f]+", " "), " {2,}", " ")), 1, 120)
+
+
 def place_of(section: Column) -> Column:
     """What a section is called: p.3, slide 2, attachment: name, footnotes."""
-    label = F.substring(F.trim(F.regexp_replace(F.regexp_replace(section["label"], r"[\x00-\x1f\x7f-\x9f]+", " "), " {2,}", " ")), 1, 120)
+    label = label_text(section["label"])
     return (
         F.when(section["kind"] == "page", F.concat(F.lit("p."), section["num"].cast("string")))
         .when(section["kind"] == "attachment", F.concat(F.lit("attachment: "), F.coalesce(label, F.lit(""))))
@@ -83,6 +90,21 @@ def places(lines: DataFrame, sections: DataFrame, key: str = "file_id") -> DataF
     return df.groupBy(key, "n").agg(F.array_join(F.transform(chain, lambda s: s["place"]), ", ").alias("place"))
 
 
+def attachment_refs(refs: DataFrame, sections: DataFrame, *by: str) -> DataFrame:
+    """Refs (by, name, a, b) to lines a to b of an attachment, with `file`, the one file that has it
+    with both lines inside, or `problem`; sections are (by, file, kind, label, start, end)."""
+    parts = sections.where("kind = 'attachment'").select(*by, "file", "start", "end", label_text(F.col("label")).alias("_label"))
+    met = refs.withColumn("_label", F.trim("name")).join(parts, [*by, "_label"], "left").groupBy(*by, "name", "a", "b")
+    inside = lambda n: (F.col("start") <= n) & (n <= F.col("end"))
+    found = met.agg(
+        F.min("file").alias("file"), F.max("file").alias("_other"), F.bool_or(inside(F.col("a")) & inside(F.col("b")) & (F.col("start") <= F.col("b"))).alias("_both"),
+        F.bool_or(inside(F.col("a"))).alias("_first"),
+    )
+    outside = F.concat(F.lit("L"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")), F.lit(" is not inside attachment "), F.trim("name"))
+    problem = F.when(F.col("file").isNull(), "unknown").when(F.col("file") != F.col("_other"), "ambiguous").when(~F.col("_both"), outside)
+    return found.select(*by, "name", "a", "b", F.when(problem.isNull(), F.col("file")).alias("file"), problem.alias("problem"))
+
+
 def page_of(page_starts: Column, n: Column) -> Column:
     return F.size(F.filter(page_starts, lambda s: s <= n))
 

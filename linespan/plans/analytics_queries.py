@@ -50,6 +50,21 @@ def usage_aggregate(spark, sf_dir):
     return A.usage_scopes(_usage(spark, sf_dir), TODAY)
 
 
+@query(
+    f"""WITH {USAGE}, v AS (SELECT ts, status, cost, tokens_in, tokens_out, CASE WHEN mode = 'draft' THEN '(grep, no model)' ELSE coalesce(nullif(alias, 'view'), '(raw id)') END AS alias,
+CASE WHEN tokens_out % 11 = 3 THEN 'probe' ELSE 'job' END AS kind, tokens_out % 6 = 0 AS guess FROM u WHERE tokens_out % 13 <> 1 AND tokens_out % 11 <> 5),
+s AS (SELECT *, 'all' AS scope FROM v UNION ALL SELECT *, 'today' FROM v WHERE starts_with(ts, '{TODAY}'))
+SELECT scope, kind, alias, {TOTALS}, count(*) FILTER (guess) AS estimated, grouping(alias)::INT AS is_total FROM s
+GROUP BY GROUPING SETS ((scope, kind), (scope, kind, alias)) HAVING kind = 'job' OR grouping(alias) = 1"""
+)
+def usage_report(spark, sf_dir):
+    """Some records are of probes, of another tool, of dry runs or of no alias."""
+    n = F.col("tokens_out")
+    u = _usage(spark, sf_dir).withColumn("tool", F.when(n % 11 == 3, "probe").when(n % 11 == 5, "status").otherwise("run")).withColumn("dry_run", F.when(n % 13 == 1, True))
+    u = u.withColumn("mode", F.when(F.col("mode") == "draft", "grep").otherwise(F.col("mode"))).withColumn("alias", F.when(F.col("alias") != "view", F.col("alias")))
+    return A.usage_report(u.withColumn("cost_estimated", n % 6 == 0), TODAY)
+
+
 @query(f"WITH {USAGE}, m AS (SELECT *, unnest(models) AS model FROM u) SELECT model, {TOTALS} FROM m GROUP BY model")
 def usage_by_model(spark, sf_dir):
     return A.usage_by_model(_usage(spark, sf_dir))
@@ -87,8 +102,13 @@ f AS (SELECT model_id, count(*) AS endpoints, count(DISTINCT provider) AS provid
 min(coalesce(price_in, 'inf'::DOUBLE)) AS min_in, max(coalesce(price_in, 'inf'::DOUBLE)) AS max_in, min(coalesce(price_out, 'inf'::DOUBLE)) AS min_out,
 max(coalesce(price_out, 'inf'::DOUBLE)) AS max_out_price FROM e GROUP BY 1),
 c AS (SELECT model_id, min((price_in, price_out)) AS b FROM e WHERE price_in <= 0.15 AND price_out <= 2 GROUP BY 1),
-s AS (SELECT f.*, c.b[1] AS fit_in, c.b[2] AS fit_out, CASE WHEN f.model_id LIKE '%7' THEN 'blocked' WHEN c.b IS NULL AND min_in = 'inf'::DOUBLE THEN 'price unknown'
- WHEN c.b IS NULL THEN 'over the cap of 0.15' END AS reason FROM f LEFT JOIN c USING (model_id))"""
+ids AS (SELECT DISTINCT 'm/' || (l_partkey % 500) || CASE l_linenumber % 4 WHEN 1 THEN ':Nitro:free' WHEN 2 THEN ':free' ELSE '' END AS model_id FROM lineitem),
+t AS (SELECT model_id, CASE WHEN isinf(min_in) THEN '?' ELSE '$' || rtrim(rtrim(printf('%.3f', min_in), '0'), '.') END AS low_in,
+ CASE WHEN isinf(min_out) THEN '?' ELSE '$' || rtrim(rtrim(printf('%.3f', min_out), '0'), '.') END AS low_out FROM f),
+s AS (SELECT ids.model_id, c.b[1] AS fit_in, c.b[2] AS fit_out, CASE WHEN contains(lower(ids.model_id), ':nitro') THEN 'refused variant suffix' WHEN f.model_id IS NULL THEN 'no ZDR endpoint'
+ WHEN ids.model_id LIKE '%7' THEN 'blocked by account' WHEN c.b IS NULL THEN 'over price cap (no ZDR endpoint within in $0.15 / out $2 per 1M; lowest in ' || low_in || ' / out ' || low_out
+ || CASE WHEN min_in <= 0.15 AND min_out <= 2 THEN ', on different endpoints)' ELSE ')' END END AS reason
+ FROM ids LEFT JOIN f USING (model_id) LEFT JOIN c USING (model_id) LEFT JOIN t USING (model_id))"""
 
 
 @query(f"WITH {ENDPOINTS} SELECT * REPLACE (CASE WHEN isinf(max_in) THEN NULL ELSE max_in END AS max_in) FROM f")
@@ -105,7 +125,10 @@ def cheapest_fit(spark, sf_dir):
 def _screened(spark, sf_dir) -> DataFrame:
     e = _endpoints(spark, sf_dir)
     facts = A.model_facts(e)
-    return A.screen(facts, A.cheapest_fitting(e, 0.15, 2.0), facts.where(F.col("model_id").endswith("7")), 0.15)
+    variant = F.when(F.col("l_linenumber") % 4 == 1, ":Nitro:free").when(F.col("l_linenumber") % 4 == 2, ":free").otherwise("")
+    ids = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m/"), F.col("l_partkey") % 500, variant).alias("model_id")).distinct()
+    account = facts.where(~F.col("model_id").endswith("7"))
+    return A.screen(ids, facts, A.cheapest_fitting(e, 0.15, 2.0), account, (0.15, 2.0))
 
 
 @query(f"WITH {ENDPOINTS} SELECT model_id, reason FROM s")
@@ -144,6 +167,24 @@ def score_extract(spark, sf_dir):
     return A.score_extract(*_truth(spark, sf_dir), "source")
 
 
+@query(
+    f"""WITH {SCORES} SELECT DISTINCT source, line, 'missing' AS what FROM l WHERE quality = 1 AND NOT EXISTS (FROM i WHERE i.source = l.source AND i.line = l.line)
+UNION ALL SELECT DISTINCT source, line, 'extra' FROM i WHERE NOT EXISTS (FROM l WHERE l.source = i.source AND l.line = i.line AND (quality = 1 OR toxic = 1))"""
+)
+def score_extract_misses(spark, sf_dir):
+    return A.extract_misses(*_truth(spark, sf_dir), "source")
+
+
+@query(
+    """WITH c AS (SELECT item_id AS case_id, CASE item_id % 4 WHEN 0 THEN 'grep' ELSE 'extract' END AS mode FROM benchmark)
+SELECT case_id, mode, model, rep FROM c, unnest(CASE mode WHEN 'grep' THEN ['(grep)'] ELSE ['m/a', 'm/b'] END) AS m(model), unnest([1, 2, 3]) AS r(rep)"""
+)
+def bench_runs(spark, sf_dir):
+    """Items of the benchmark stand for cases."""
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 4 == 0, "grep").otherwise("extract").alias("mode"))
+    return A.bench_runs(cases, ["m/a", "m/b"], 3)
+
+
 @query(
     f"""WITH {SCORES}, b AS (SELECT 'm' || substr(source, 4)::INT % 3 AS model, 'p' || substr(source, 4)::INT % 2 AS provider, hit, need, answered, in_allowed,
 substr(source, 4)::INT % 7 = 0 AS failed, substr(source, 4)::INT AS cost FROM sc)

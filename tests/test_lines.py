@@ -164,3 +164,41 @@ def test_edits_and_exports_odd_cases(spark):
     plan = {r["path"]: r["refused"] for r in sinks.plan_export(targets, there, none, ["/out"]).collect()}
     assert plan == {"relative.md": "not absolute", "/else/a.md": "outside the roots", "/out/a.md": "a symlink"}
     assert {r["refused"] for r in sinks.plan_export(targets, there, none, []).collect()} == {"export is off"}
+
+
+def test_ranges_are_runs_of_consecutive_numbers(spark):
+    from linespan.operators.render import ranges
+
+    rows = [([1, 2, 3, 7, 9, 10],), ([5],), ([],), (None,)]
+    got = [r.r for r in spark.createDataFrame(rows, "ns array<int>").coalesce(1).select(ranges(F.col("ns")).alias("r")).collect()]
+    assert [[(x.a, x.b) for x in r] if r is not None else None for r in got] == [[(1, 3), (7, 7), (9, 10)], [(5, 5)], [], None]
+
+
+def test_screening_without_a_cap_asks_a_price_of_every_endpoint(spark):
+    from linespan.operators.analytics import cheapest_fitting, model_facts, screen
+
+    ends = [("a/x", 1, 1000, 10, 1.0, 2.0), ("a/x", 2, 1000, 10, None, 2.0), ("a/y", 1, None, 10, 1.0, 2.0), ("a/z", 1, 500, 10, 1.0, 2.0)]
+    e = spark.createDataFrame(ends, "model_id string, provider int, context int, max_out int, price_in double, price_out double")
+    ids = spark.createDataFrame([(x,) for x in ("a/x", "a/y", "a/z", "a/Z:Free:ONLINE", "a/z:free")], "model_id string")
+    facts, fits = model_facts(e), cheapest_fitting(e, 1.5, 2.5)
+    found = {r.model_id: r.reason for r in screen(ids, facts, fits).collect()}
+    assert found == {
+        "a/x": "price unknown", "a/y": "no context length in the ZDR list", "a/z": None,
+        "a/Z:Free:ONLINE": "refused variant suffix", "a/z:free": "no ZDR endpoint",
+    }
+    assert {r.model_id: r.reason for r in screen(ids, facts, fits, cap=(1.5, 2.5)).collect()}["a/x"] is None
+
+
+def test_attachment_refs_name_one_file_or_a_problem(spark):
+    from linespan.operators.render import attachment_refs
+
+    parts = [("f", "attachment", "a.pdf", 5, 9), ("g", "attachment", " b\t.pdf ", 2, 4), ("h", "attachment", "b .pdf", 2, 4), ("f", "page", "p", 1, 9)]
+    refs = [("a.pdf", 5, 9), (" a.pdf", 6, 12), ("a.pdf", 1, 6), ("b .pdf", 2, 3), ("p", 1, 1)]
+    got = attachment_refs(
+        spark.createDataFrame([(1, *r) for r in refs], "chunk int, name string, a int, b int"),
+        spark.createDataFrame([(1, *p) for p in parts], "chunk int, file string, kind string, label string, start int, end int"), "chunk",
+    ).collect()
+    assert {(r.name.strip(), r.a): r.file or r.problem for r in got} == {
+        ("a.pdf", 5): "f", ("a.pdf", 6): "L12 is not inside attachment a.pdf", ("a.pdf", 1): "L1 is not inside attachment a.pdf",
+        ("b .pdf", 2): "ambiguous", ("p", 1): "unknown",
+    }
