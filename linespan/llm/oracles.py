@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from .mixing import OP6_SQL
+from .search import OP13_SQL
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -51,4 +52,4 @@ SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 FROM w LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_lattice_near_vectors": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLE_SQL = {"op2_lattice_near_vectors": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_mix_sources": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op13_ranked_search": OP13_SQL}

@@ -92,11 +92,12 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 class Words:
     """The words of some texts: `start`, `end` (bytes), `row` and `hash` of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, gaps: np.ndarray = _SPACE):
+        """gaps: which bytes are no part of a word."""
         self.rows = len(offsets) - 1
         word = np.empty(len(data) + 2, bool)
         word[0] = word[-1] = False
-        np.logical_not(_SPACE[data], out=word[1:-1])
+        np.logical_not(gaps[data], out=word[1:-1])
         body, edge = word[1:-1], np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(body & (~word[:-2] | edge[:-1]))
