@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import InputError
+from .ordered import last_at
 
 # What a line may start with to carry a time.
 _PREFIX = r"^(?:\x1b\[[0-9;]*m)*\[?"
@@ -98,13 +99,34 @@ def stamped(lines: DataFrame, text: str = "text", tz: str = "UTC", now: datetime
 
 
 def carry_stamp(lines: DataFrame, key: str = "file_id", tz: str = "UTC", now: datetime | None = None) -> DataFrame:
-    """Lines with `own` (their stamp) and `stamp`, the last at or above them in their file."""
-    above = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return stamped(lines, "text", tz, now).withColumn("stamp", F.last("own", ignorenulls=True).over(above))
+    """Lines with `own` (their stamp) and `stamp`, the last at or above them in their file.
+
+    A segmented scan: ranges of lines take over the last stamp of the ranges before, so a file may lie in many tasks.
+    Only numbers and stamps are scanned, and met by the lines again where these have more columns.
+    """
+    read = stamped(lines, "text", tz, now)
+    marks = last_at(read.select(key, "n", "own"), [key], ["n"], {"stamp": F.col("own")})
+    rest = [c for c in lines.columns if c not in (key, "n")]
+    return lines.join(marks, [key, "n"]).select(*lines.columns, "own", "stamp") if rest else marks
+
+
+def unstamped(lines: DataFrame, key: str = "file_id", tz: str = "UTC", now: datetime | None = None) -> DataFrame:
+    """(key, reason) of files in which no line carries a time: a time filter refuses them."""
+    none = stamped(lines, "text", tz, now).groupBy(key).agg(F.count("own").alias("n")).where("n = 0")
+    return none.select(key, F.lit("no recognised timestamp").alias("reason"))
+
+
+def beyond_end(files: DataFrame, first: Column, total: Column, key: str = "file_id") -> DataFrame:
+    """(key, reason) of files whose range starts after their last line."""
+    reason = F.concat(F.lit("range starts after the end ("), total.cast("string"), F.lit(" lines)"))
+    return files.where(first > total).select(key, reason.alias("reason"))
 
 
 def time_window(lines: DataFrame, since_ms: int | None, until_ms: int | None, key: str = "file_id", tz: str = "UTC", now: datetime | None = None) -> DataFrame:
-    """Lines whose stamp lies in the window, both ends included; lines before the first stamp go."""
+    """Lines whose stamp lies in the window, both ends included; lines before the first stamp go.
+    Files without any stamp have no lines here; `unstamped` names them."""
+    if since_ms is None and until_ms is None:
+        raise InputError("give since, until or both")
     if since_ms is not None and until_ms is not None and since_ms > until_ms:
         raise InputError("since is later than until")
     df = carry_stamp(lines, key, tz, now).where("stamp is not null")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sinks import shared_dir
+from ..session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:

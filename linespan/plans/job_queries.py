@@ -12,7 +12,7 @@ from .. import sinks as K
 from ..operators import analytics as A
 from ..operators import jobs as J
 from ..operators import render as R
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import lines as L
 from .line_queries import LINES
 
@@ -266,7 +266,7 @@ def request_bodies(spark, sf_dir):
 
 
 def _place(spark, what: str) -> str:
-    return f"{K.shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
 @query(

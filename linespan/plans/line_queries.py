@@ -11,6 +11,7 @@ from ..functions import mask as M
 from ..operators import filters as X
 from ..operators import render as R
 from ..session import table
+from ..sources import ignores as I
 from ..sources import lines as L
 
 QUERIES, SQL = {}, {}
@@ -216,6 +217,22 @@ def time_window(spark, sf_dir):
     return X.time_window(_log(spark, sf_dir), *ms, now=NOW).select("file_id", "n", "stamp")
 
 
+@query(
+    rf"""WITH {LINES}, t AS (SELECT doc_id, bool_or(regexp_matches(text, '^\[?\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}')) AS stamped FROM rows_ GROUP BY doc_id)
+SELECT doc_id, 'no recognised timestamp' AS reason FROM t WHERE NOT stamped"""
+)
+def time_refused(spark, sf_dir):
+    """Documents that a time filter refuses, as none of their lines starts with a time."""
+    return X.unstamped(L.explode_lines(_docs(spark, sf_dir), "doc_id"), "doc_id", now=NOW)
+
+
+@query(f"WITH {LINES}, t AS (SELECT doc_id, max(n) AS total FROM rows_ GROUP BY doc_id) SELECT doc_id, 'range starts after the end (' || total || ' lines)' AS reason FROM t WHERE total < 3")
+def range_refused(spark, sf_dir):
+    """Documents that a range of lines from 3 on refuses."""
+    docs = _docs(spark, sf_dir).where(F.size("lines") > 0)
+    return X.beyond_end(docs, F.lit(3), F.size("lines"), "doc_id")
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN epoch_us(timezone('Europe/Berlin', ts)) // 1000 END AS berlin_ms,
 CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) // 1000 END AS utc_ms FROM events"""
@@ -324,6 +341,28 @@ def deny_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(p, r"[?#].*$", "").rlike(L.deny_pattern(["*.example.net"])).alias("denied"))
 
 
+@query(
+    r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[A-Za-z]+://', '/'), '/?([?#].*)?$', '') AS path FROM pages),
+p AS (SELECT page_id, path, string_split(path, '/') AS s FROM f),
+q AS (SELECT page_id, path, s[2] AS host, CASE WHEN len(s) > 3 THEN s[3] END AS lang, s[-1] AS leaf FROM p)
+SELECT page_id, path, coalesce(CASE
+  WHEN NOT regexp_matches(host, '\.(net|org)$') OR path = '/' || host THEN false
+  WHEN lang = 'de' THEN false
+  WHEN lang = 'en' AND regexp_matches(leaf, '^4.*\.html$') THEN false
+  WHEN lang = 'en' AND regexp_matches(leaf, '^9.0$') THEN true
+  ELSE leaf LIKE '%.html' OR (lang = 'fr' AND leaf LIKE '1%') END, false) AS ignored FROM q"""
+)
+def nested_ignores(spark, sf_dir):
+    """Pages as files below their hosts: hosts of net and org are repositories, with rules of their own and of some of their folders."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[A-Za-z]+://", "/"), r"/?([?#].*)?$", "")
+    files = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    hosts = files.select(F.concat(F.lit("/"), F.get(F.split("path", "/"), F.lit(1))).alias("dir")).distinct()
+    given = {"": ["# of a host", "*.html", "de/", "/fr/1*"], "/en": ["!4*.html", "9?0"], "/de": ["!*"]}
+    lines = F.array(*[F.struct(F.lit(d).alias("below"), F.lit(k).alias("no"), F.lit(x).alias("line")) for d, xs in given.items() for k, x in enumerate(xs)])
+    rules = hosts.select("dir", F.explode(lines).alias("r")).select(F.concat("dir", "r.below").alias("dir"), "r.no", "r.line")
+    return I.nested_ignores(files, rules, hosts.where(F.col("dir").rlike(r"\.(net|org)$"))).select("page_id", "path", "ignored")
+
+
 @query(
     """WITH p AS (SELECT c.* FROM conversations c)
 SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role FROM p GROUP BY conv_id"""

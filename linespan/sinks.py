@@ -6,8 +6,6 @@ makes a result visible at once or not at all.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +14,6 @@ from .operators.jobs import has_control_chars, has_dot_dot
 MANIFEST = "path string, size bigint, mtime_ms double, ts timestamp, result_id string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may lack it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (at or "file://" + tempfile.mkdtemp(prefix="spark-linespan-")).rstrip("/")
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Results (result_id, n, text), a partition each; writing an id again replaces that id alone.
     Rows of one result go to as many tasks as they need, not to one."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks import shared_dir
+from ..session import shared_dir
 
 DAY_MS = 86_400_000
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
