@@ -13,7 +13,7 @@ of their vectors' lengths (a range partitioning that is written) and searched in
    plus Cauchy-Schwarz on the rest of its length;
 3. what survives is scored anew from its own terms in 64-bit integers.
 
-The longest SEED vectors are searched first; their tenth best scores start every task, and vectors too short
+About the SEED longest vectors are searched first; their tenth best scores start every task, and vectors too short
 for all items aren't read (a filter on the length that reaches the Parquet scan).  A task keeps TOP documents an
 item, Spark ranks them.  Bounds are taken with a margin over rounding, so the result is exact; terms are equal
 by 64-bit hashes.
@@ -217,9 +217,12 @@ def _shard(docs: DataFrame, items: list, scratch: Scratch, name: str, top: int)
     vectors = scratch.keep(impacts(counted, weight, n_docs, length).repartitionByRange(longest).sortWithinPartitions(longest), f"{name}-vectors")
     scratch.drop(f"{name}-counted")
     least = np.zeros(len(items), np.int64)
-    first = search(vectors.orderBy(longest).limit(SEED).coalesce(1), queries, least, top).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-    for r in first.where(F.col("n") == top).collect():  # a row an item of the shard
-        least[r["query"]] = r["least"]
+    if n_docs:
+        long_from = vectors.agg(F.percentile_approx("norm", max(0.0, 1 - SEED / n_docs))).first()[0]
+        best = Window.partitionBy("query").orderBy(F.col("score").desc())
+        first = search(vectors.where(F.col("norm") >= F.lit(long_from)), queries, least, top).withColumn("no", F.row_number().over(best))
+        for r in first.where(F.col("no") == top).collect():  # a row an item of the shard
+            least[r["query"]] = r["score"]
     reach = float((least / np.sqrt([len(q) for q in queries])).min() / MARGIN)
     found = search(vectors.where(F.col("norm") >= F.lit(reach)), queries, least, top)
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
