@@ -214,7 +214,7 @@ def _shard(docs: DataFrame, items: list, scratch: Scratch, name: str, top: int)
     counted = scratch.keep(frequencies(docs, vocabulary), f"{name}-counted")
     weight, n_docs, length = weights(counted, len(vocabulary))
     longest = F.col("norm").desc()
-    vectors = scratch.keep(impacts(counted, weight, n_docs, length).repartitionByRange(longest).sortWithinPartitions(longest), f"{name}-vectors")
+    vectors = scratch.keep(impacts(counted, weight, n_docs, length).repartitionByRange(longest, "doc_id").sortWithinPartitions(longest), f"{name}-vectors")
     scratch.drop(f"{name}-counted")
     least = np.zeros(len(items), np.int64)
     if n_docs:
