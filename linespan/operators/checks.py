@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Refs, fold_space, hard_tokens
+from .render import label_text
 
 KEY = ("job", "chunk")
 NOT_IN_INPUT = r"(?i)^\W*NOT IN INPUT\W*$"
@@ -156,8 +157,13 @@ def _refs(names: tuple[str, ...]) -> Refs:
     return Refs(list(names))
 
 
-def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | None, list[str], int, int]:
-    """Status, issues and numbers of good and bad references of one line of prose."""
+Parts = dict[str, dict[str, list[tuple[int, int]]]]
+
+
+def judge_line(line: str, carried: dict[tuple[str, int], str], attachments: Parts | None = None) -> tuple[str | None, list[str], int, int]:
+    """Status, issues and numbers of good and bad references of one line of prose.
+
+    attachments: name of an attachment -> file -> its spans of lines; a name that no file has may be meant for one."""
     text = line.strip()
     if _NOT_IN_INPUT.match(text):
         return "not_in_input", [], 0, 0
@@ -165,23 +171,32 @@ def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | No
         return None, [], 0, 0
     names = sorted({k[0] for k in carried})
 
-    def found(name: str | None) -> tuple[str | None, str]:
+    def found(name: str | None, *lines: int) -> tuple[str | None, str]:
         if name is None:
             return (names[0], "") if len(names) == 1 else (None, "unknown")
         if name in names:
             return name, ""
         like = [x for x in names if x.endswith("/" + name)]
-        return (like[0], "") if len(like) == 1 else (None, "ambiguous" if like else "unknown")
+        if like:
+            return (like[0], "") if len(like) == 1 else (None, "ambiguous")
+        inside = {f: spans for f, spans in (attachments or {}).get(name.strip(), {}).items() if f in names}
+        if len(inside) != 1:
+            return None, "ambiguous" if inside else "unknown"
+        ((file, spans),) = inside.items()
+        if any(a <= lines[0] and lines[-1] <= b for a, b in spans):
+            return file, ""
+        n = lines[-1] if any(a <= lines[0] <= b for a, b in spans) else lines[0]
+        return None, f"L{n} is not inside attachment {name.strip()}"
 
     refs, rest = _refs(tuple(names)).parse(line)
     issues, soft, good, bad, cited = [], [], 0, 0, []
     if not refs:
         issues.append("no ref")
     for r in refs:
-        name, why = found(r["name"])
-        end = found(r["end_name"])[0] if r["end_name"] else name
+        name, why = found(r["name"], r["from"], r["to"])
+        end = found(r["end_name"], r["to"])[0] if r["end_name"] else name
         if name is None or end != name:
-            fault = f"ambiguous file name in ref: {r['name']}" if why == "ambiguous" else f"ref to an unknown file: {r['raw']}"
+            fault = f"ambiguous file name in ref: {r['name']}" if why == "ambiguous" else why if "inside" in why else f"ref to an unknown file: {r['raw']}"
         elif r["to"] < r["from"]:
             fault = f"bad ref range: {r['raw']}"
         elif (name, r["from"]) not in carried or (name, r["to"]) not in carried:  # the ends only
@@ -202,8 +217,9 @@ def judge_line(line: str, carried: dict[tuple[str, int], str]) -> tuple[str | No
     return "bad" if issues else "flag" if soft else "ok", issues + soft, good, bad
 
 
-def check_draft(answers: DataFrame, carried: DataFrame) -> DataFrame:
+def check_draft(answers: DataFrame, carried: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """Lines of prose (job, chunk, pos, raw) with status, issues, refs_ok and refs_bad; exempt lines go.
+    sections (job, name, kind, label, start, end): attachments may be named in place of their files.
 
     A chunk's lines are within its budget and its answer within the model's, so both come as one
     array each, in one row a chunk: the lines are looked up by name and number once for all of
@@ -214,16 +230,27 @@ def check_draft(answers: DataFrame, carried: DataFrame) -> DataFrame:
     said = answers.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("said"))
 
     @F.pandas_udf(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in DRAFT.split(', '))}>>")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         names = ("status", "issues", "refs_ok", "refs_bad")
-        for said, lines in batches:
+        for said, lines, parts in batches:
             out = []
-            for raws, chunk in zip(said, lines, strict=True):
+            for raws, chunk, own in zip(said, lines, parts, strict=True):
                 known = {(x["name"], x["n"]): x["text"] for x in chunk} if chunk is not None else {}
-                out.append([dict(zip(names, judge_line(r, known), strict=True)) for r in raws])
+                attachments: Parts = {}
+                for x in own if own is not None else ():
+                    attachments.setdefault(x["label"], {}).setdefault(x["name"], []).append((x["start"], x["end"]))
+                out.append([dict(zip(names, judge_line(r, known, attachments), strict=True)) for r in raws])
             yield pd.Series(out)
 
-    df = said.join(have, list(KEY), "left").withColumn("d", judge(F.transform("said", lambda x: x["raw"]), "lines"))
+    df = said.join(have, list(KEY), "left")
+    if sections is None:
+        df = df.withColumn("parts", F.lit(None).cast("array<struct<label:string,name:string,start:int,end:int>>"))
+    else:
+        files = carried.select(*KEY, "name").distinct()
+        own = sections.where("kind = 'attachment'").select("job", "name", label_text(F.col("label")).alias("label"), "start", "end")
+        own = files.join(own, ["job", "name"])  # a chunk's files and their attachments
+        df = df.join(own.groupBy(*KEY).agg(F.collect_list(F.struct("label", "name", "start", "end")).alias("parts")), list(KEY), "left")
+    df = df.withColumn("d", judge(F.transform("said", lambda x: x["raw"]), "lines", "parts"))
     df = df.select(*KEY, F.explode(F.arrays_zip("said", "d")).alias("x"))
     return df.select(*KEY, *[F.col(f"x.said.{c}").alias(c) for c in rest], "x.d.*").where("status is not null").select(*answers.columns, "status", "issues", "refs_ok", "refs_bad")
 

@@ -92,3 +92,37 @@ def test_budget():
     assert chunk_budget(32_000, None, 800) == 12_000
     with pytest.raises(InputError):
         chunk_budget(1_000, None, 300)
+
+
+@pytest.mark.parametrize(
+    ("line", "names", "refs", "rest"),
+    [
+        ("Uplink (L2) and more (a.md:L5, b.md:L7–L9) end", [], [(None, 2, 2), ("a.md", 5, 5), ("b.md", 7, 9)], "Uplink  and more  end"),
+        ("a note (see below)", [], [], "a note (see below)"),
+        ("- old (my notes (old).md:L5) and more", ["my notes (old).md", "notes (old).md"], [("my notes (old).md", 5, 5)], "- old  and more"),
+        ("(a b.md:L3-L7)", ["b.md", "a b.md"], [("a b.md", 3, 7)], ""),
+        ("(b.md:L2, a b.md:L4; x#1.md:L1–L3)", ["b.md", "a b.md", "x#1.md"], [("b.md", 2, 2), ("a b.md", 4, 4), ("x#1.md", 1, 3)], ""),
+        ("see (the (L5) one) (L6", [], [(None, 5, 5)], "see (the  one) (L6"),
+        ("(a, b.md:L5)", ["a, b.md"], [("a, b.md", 5, 5)], ""),
+        ("(L1, nope) (L2;)", [], [(None, 2, 2)], "(L1, nope) "),
+        ("(a.md:L1-b (x).md:L3)", ["a.md", "b (x).md"], [("a.md", 1, 3)], ""),
+        ("(gone (x).md:L3) (C:\\y.md:L4)", [], [("C:\\y.md", 4, 4)], "(gone (x).md:L3) "),
+        ("(" + "x" * 500 + ":L1)", [], [], "(" + "x" * 500 + ":L1)"),
+    ],
+)
+def test_references(line, names, refs, rest):
+    from linespan.functions.text import Refs
+
+    found, left = Refs(names).parse(line)
+    assert [(r["name"], r["from"], r["to"]) for r in found] == refs and left == rest
+
+
+def test_attachments_named_in_drafts():
+    from linespan.operators.checks import judge_line
+
+    lines = {("mail.eml", n): f"text {n}" for n in range(1, 21)} | {("other.eml", n): "x" for n in range(1, 4)}
+    parts = {"spec.pdf": {"mail.eml": [(5, 10)]}, "twice.pdf": {"mail.eml": [(11, 12)], "other.eml": [(1, 2)]}, "far.pdf": {"not carried.eml": [(1, 2)]}}
+    judge = lambda ref: judge_line(f"A claim ({ref})", lines, parts)
+    assert judge("spec.pdf:L6-L8") == ("ok", [], 1, 0)
+    assert judge("spec.pdf:L9-L12")[1] == ["L12 is not inside attachment spec.pdf"] and judge("spec.pdf:L2")[1] == ["L2 is not inside attachment spec.pdf"]
+    assert judge("twice.pdf:L1")[1] == ["ambiguous file name in ref: twice.pdf"] and judge("far.pdf:L1")[1] == ["ref to an unknown file: far.pdf:L1"]
