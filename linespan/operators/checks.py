@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Refs, fold_space, hard_tokens
+from .quotes import named_quotes
 from .render import label_text
 
 KEY = ("job", "chunk")
 NOT_IN_INPUT = r"(?i)^\W*NOT IN INPUT\W*$"
-QUOTE = r"^\s*(?:(.+?):)?L(\d+)(?: \([^\n]*?\))?\|\s?(.*)$"
 MASK = r"\[[a-z_]+\]|<[A-Z][A-Z_]*>"
 WIDE = 30
 
@@ -59,9 +59,7 @@ def resolve_names(refs: DataFrame, carried: DataFrame) -> DataFrame:
 def check_extract(answers: DataFrame, carried: DataFrame) -> DataFrame:
     """Answer lines (job, chunk, pos, raw) with name, n, status and reason."""
     lines = answers.where(F.trim("raw") != "")
-    part = [F.regexp_extract("raw", QUOTE, i) for i in (1, 2, 3)]
-    lines = lines.withColumn("written", F.when(part[0] != "", part[0])).withColumn("n", part[1].try_cast("int")).withColumn("said", part[2])
-    lines = resolve_names(lines, carried)
+    lines = resolve_names(named_quotes(lines, carried), carried)
     source = carried.select(*KEY, "name", "n", F.col("text").alias("source"))
     df = lines.join(source, [*KEY, "name", "n"], "left")
     said, source = F.col("said"), F.col("source")

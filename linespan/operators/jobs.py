@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mask import mask_lines
+from ..functions.text import strip_fence
 from . import filters as X
+from .checks import NOT_IN_INPUT, clip
 
 # The frames around text that isn't to be obeyed.
 FRAMES = ("--- untrusted model output ---", "--- end ---", "--- source text (masked) ---", "--- end of source text ---")
@@ -73,10 +75,11 @@ def request_body(model: Column, params: Column, system: Column, user: Column, ma
     own = F.struct(
         model.alias("model"),
         F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content"))).alias("messages"),
+        F.struct(F.lit(True).alias("zdr"), F.lit("deny").alias("data_collection"), F.when(cap_in.isNotNull(), F.struct(cap_in.alias("prompt"), cap_out.alias("completion"))).alias("max_price")).alias("provider"),
+        F.array(F.struct(F.lit("context-compression").alias("id"), F.lit(False).alias("enabled"))).alias("plugins"),
         max_tokens.alias("max_completion_tokens"),
-        F.when(cap_in.isNotNull(), F.struct(cap_in.alias("prompt"), cap_out.alias("completion"))).alias("max_price"),
     )
-    left = F.map_filter(params, lambda k, _: ~k.isin("model", "messages", "max_completion_tokens", "max_price"))
+    left = F.map_filter(params, lambda k, _: ~k.isin("model", "messages", "max_completion_tokens", "provider", "plugins"))
     body = F.to_json(own)
     return F.when(F.size(left) > 0, F.concat(F.regexp_replace(F.to_json(left), r"\}$", ","), F.substring(body, 2, 2**31 - 1))).otherwise(body)
 
@@ -91,16 +94,19 @@ def _one_json(text: Column) -> Column:
 
 
 def parse_edits(answers: DataFrame, key: str = "answer_id") -> DataFrame:
-    """(key, pos, value, error) of answers (key, lines): the elements of one JSON array, or one
+    """(key, pos, value, error) of answers (key, lines), taken out of their fence: the elements of one JSON array, or one
     JSON value a line with a comma allowed behind it; a line that is neither is an error."""
-    whole = F.trim(F.array_join("lines", "\n"))
-    df = answers.withColumn("_all", F.when(whole.startswith("["), F.try_variant_get(_one_json(whole), "$", "array<variant>")))
-    listed = df.where("_all is not null").select(key, F.posexplode("_all").alias("pos", "v")).select(key, "pos", F.to_json("v").alias("value"), F.lit(None).cast("string").alias("error"))
-    lines = df.where("_all is null").select(key, F.posexplode("lines").alias("pos", "t")).withColumn("t", F.regexp_replace(F.trim("t"), ",$", ""))
-    lines = lines.where(~F.col("t").isin("", "[", "]") & ~F.col("t").rlike(r"(?i)^\W*not[ _-]in[ _-]input\W*$"))
-    value = F.to_json(_one_json(F.col("t")))
-    lines = lines.select(key, "pos", value.alias("value"), F.when(value.isNull(), F.concat(F.lit("not JSON: "), F.substring("t", 1, 120))).alias("error"))
-    return listed.unionByName(lines)
+    kind = "array<struct<pos:int,value:string,error:string>>"
+    whole = F.trim(F.array_join("_lines", "\n"))
+    listed = F.transform("_all", lambda v, i: F.struct(i.alias("pos"), F.to_json(v).alias("value"), F.lit(None).cast("string").alias("error"))).cast(kind)
+    read = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), F.regexp_replace(F.trim(x), ",$", "").alias("t")))
+    read = F.filter(read, lambda x: ~x["t"].isin("", "[", "]") & ~x["t"].rlike(NOT_IN_INPUT))
+    read = F.transform(read, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), F.to_json(_one_json(x["t"])).alias("value")))
+    fault = lambda x: F.when(x["value"].isNull(), F.concat(F.lit("not JSON: "), clip(x["raw"])))
+    lines = F.transform(read, lambda x: F.struct(x["pos"].alias("pos"), x["value"].alias("value"), fault(x).alias("error"))).cast(kind)
+    df = answers.select(key, strip_fence(F.col("lines")).alias("_lines"))
+    df = df.withColumn("_all", F.when(whole.startswith("["), F.try_variant_get(_one_json(whole), "$", "array<variant>")))
+    return df.select(key, F.inline(F.when(F.col("_all").isNotNull(), listed).otherwise(lines)))
 
 
 # --- what it costs -------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import InputError
 from ..functions.text import fold_space, missing_tokens, norm_key
 from .checks import KEY, clip, resolve_names
+from .quotes import find_quotes
 
 # Fixed value: a type and what it is, as the leaves of a schema are written.
 HINT = re.compile(r"^\s*(string|number|integer|boolean|date|datetime|time)\s*(?:(?:[—–]|\s-\s)\s*(.*))?$", re.I | re.S)
@@ -110,7 +111,8 @@ def leaf_values(answers: DataFrame, schema: dict) -> DataFrame:
 def check_values(values: DataFrame, carried: DataFrame) -> DataFrame:
     """values (job, chunk, path, seq, value, ref, quote) with status and note.
 
-    Precedence: bad_ref, no quote, quote_mismatch, value_not_in_quote; else ok or ok~.
+    Precedence: bad_ref, no quote, quote_mismatch, value_not_in_quote; else ok or ok~.  Where carried has `at`, the
+    lines' order in their chunk, a note says which carried line holds a quote that its own lines lack.
     """
 
     @F.pandas_udf("array<string>")
@@ -147,7 +149,13 @@ def check_values(values: DataFrame, carried: DataFrame) -> DataFrame:
         .when((F.col("status") == "bad_ref") & F.col("name").isNull(), F.col("problem"))
         .when(F.col("status") == "bad_ref", F.concat(F.lit("ref outside this chunk's input: "), F.col("ref")))
     )
-    return df.withColumn("status", status).withColumn("note", note).drop("_id", "written", "problem", "cited", "missing", "a", "b", "name")
+    df = df.withColumn("status", status).withColumn("note", note)
+    if "at" in carried.columns:  # where quotes that missed their lines stand instead
+        missed = df.where((F.col("status") == "quote_mismatch") & (F.trim("quote") != "")).select(*KEY, "quote").distinct()
+        df = df.join(find_quotes(missed, carried), [*KEY, "quote"], "left")
+        elsewhere = (F.col("status") == "quote_mismatch") & F.col("found").isNotNull()
+        df = df.withColumn("note", F.when(elsewhere, F.concat(F.lit("quote found at "), "found")).otherwise(F.col("note"))).select(*values.columns, "status", "note")
+    return df.drop("_id", "written", "problem", "cited", "missing", "a", "b", "name")
 
 
 def with_norm(values: DataFrame) -> DataFrame:

@@ -99,14 +99,14 @@ def source_copy(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT o_orderkey AS answer_id, o_orderkey % 3 AS kind, '{"find":"' || o_orderstatus || '","n":' || o_custkey || '}' AS one FROM orders)
+    """WITH a AS (SELECT o_orderkey AS answer_id, o_orderkey % 3 AS kind, o_orderkey % 2 AS fenced, '{"find":"' || o_orderstatus || '","n":' || o_custkey || '}' AS one FROM orders)
 SELECT answer_id, 0 AS pos, one AS value, NULL::VARCHAR AS error FROM a WHERE kind < 2
 UNION ALL SELECT answer_id, 1, '[1,2]', NULL FROM a WHERE kind = 0
 UNION ALL SELECT answer_id, 2, NULL, 'not JSON: and ' || one FROM a WHERE kind = 1
 UNION ALL SELECT answer_id, 2, one, NULL FROM a WHERE kind = 2"""
 )
 def edits_parse(spark, sf_dir):
-    """Edits out of answers that are one array, lines with commas and prose, or lines in brackets."""
+    """Edits out of answers that are one array, lines with commas and prose, or lines in brackets; half of them in a fence."""
     one = F.concat(F.lit('{"find":"'), "o_orderstatus", F.lit('","n":'), F.col("o_custkey").cast("string"), F.lit("}"))
     kind = F.col("o_orderkey") % 3
     lines = (
@@ -114,6 +114,8 @@ def edits_parse(spark, sf_dir):
         .when(kind == 1, F.array(F.concat(one, F.lit(",")), F.lit("Not in input."), F.concat(F.lit("and "), one)))
         .otherwise(F.array(F.lit("["), F.lit(""), one, F.lit("],")))
     )
+    fenced = F.concat(F.array(F.lit(" "), F.lit("```json")), lines, F.array(F.lit("``` "), F.lit("")))
+    lines = F.when(F.col("o_orderkey") % 2 == 1, fenced).otherwise(lines)
     return J.parse_edits(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer_id"), lines.alias("lines")), "answer_id")
 
 
@@ -251,7 +253,7 @@ def report_texts(spark, sf_dir):
 
 @query(
     r"""SELECT conv_id, turn, '{' || CASE WHEN turn % 2 = 0 THEN '"effort":"low",' ELSE '' END || '"model":"m/' || (conv_id % 3) || '","messages":[{"role":"system","content":"s"},{"role":"user","content":"turn ' || turn ||
-'"}],"max_completion_tokens":' || (turn + 100) || CASE WHEN conv_id % 2 = 0 THEN ',"max_price":{"prompt":1.0,"completion":4.0}' ELSE '' END || '}' AS body FROM conversations"""
+'"}],"provider":{"zdr":true,"data_collection":"deny"' || CASE WHEN conv_id % 2 = 0 THEN ',"max_price":{"prompt":1.0,"completion":4.0}' ELSE '' END || '},"plugins":[{"id":"context-compression","enabled":false}],"max_completion_tokens":' || (turn + 100) || '}' AS body FROM conversations"""
 )
 def request_bodies(spark, sf_dir):
     """Calls as JSON; what the job says wins over the parameters."""
