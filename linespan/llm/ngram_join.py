@@ -49,10 +49,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .langid import free_name
 from .scratch import Scratch
 from .words import Words, mix, pieces, texts
 
@@ -413,27 +414,36 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op3"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row.  Nulls don't enter Spark's hash, so which columns are null is hashed too;
+    maps and variants, which it refuses, are hashed as JSON."""
+    at = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    plain = [F.to_json(F.struct(at[c]), {"ignoreNullFields": "false"}) if "map<" in kind or "variant" in kind else at[c] for c, kind in docs.dtypes]
+    return F.xxhash64(*plain, *[x.isNull() for x in at.values()])
+
+
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, that of the least id (a row without one comes last), and
-    all rows without words.  Rows that share an id are told apart by a hash of all columns."""
+    all rows without words.  Rows that share an id are told apart by a hash of all columns; columns of any
+    type and name pass through, and an empty table stays empty."""
     scratch = Scratch(spark, "pipeline-join")
-    # Nulls don't enter the hash, so which columns are null is hashed too.
-    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    row = row_hash(docs)
     join = Join(docs.select("doc_id", "text", row.alias("row")), scratch)
     judged = scratch.keep(join.judge().where("n > 0").groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("c")), "judged")
     one = judged.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "c")).alias("one"))
-    kept = scratch.keep(one.select(F.col("one.doc_id").alias("_id"), F.col("one.row").alias("_row"), F.col("one.c").alias("_c")), "kept")
+    kept = scratch.keep(one.select(F.col("one.doc_id").alias("id"), F.col("one.row").alias("row"), F.col("one.c").alias("c")), "kept")
     scratch.drop_all_but("kept")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    known = docs.where(has_words).withColumn("_row", row)
+    own, id_, of, c = (free_name(docs, n) for n in ("_row", "_id", "_of", "_c"))
+    known = docs.where(has_words).withColumn(own, row)
 
     def chosen(which: str) -> DataFrame:
-        of = kept.where(which).withColumnRenamed("_row", "_of")
-        same = (F.col("_row") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        return known.join(of, same, "left_semi").select(*docs.columns)
+        least = kept.where(which).select(F.col("id").alias(id_), F.col("row").alias(of), F.col("c").alias(c))
+        same = (F.col(own) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+        return known.join(least, same, "left_semi")
 
-    out = docs.where(~has_words).unionByName(chosen("_c = 1"))
+    out = docs.where(~has_words).unionByName(chosen("c = 1").drop(own))
     # Rows that repeat in all columns are rare: one of each is taken only where there are any.
-    if kept.where("_c > 1").limit(1).count():
-        out = out.unionByName(chosen("_c > 1").distinct())
-    return out.select(*docs.columns)
+    if kept.where("c > 1").limit(1).count():
+        out = out.unionByName(chosen("c > 1").dropDuplicates([own, "doc_id"]).drop(own))
+    return out
