@@ -4,15 +4,17 @@ Each language has a zstandard raw-content dictionary made of a bounded sample of
 its labelled documents: the one with the smallest hash in each of `SLOTS` hash
 slots, found by an aggregation that Spark combines before it shuffles, and of each
 `SLICES` slices spread over the whole text, DICT_BYTES / SLOTS characters together.
-The MAX_LANGS languages with most labelled documents are learnt.  A text
+Every labelled language is learnt; where all dictionaries together would pass
+TOTAL_BYTES, each is made smaller, so what is gathered and broadcast is bounded.  A text
 is compressed with every dictionary, in segments short enough for the
 dictionary to matter, over its whole length; the smallest sum wins.  The score
 is the saving against the runner-up, and texts whose score is under
 `MIN_MARGIN`, or that have no letter, are rejected.
 
 Labels are read only of documents whose crc32(doc_id as text) mod 4 is not 2.
-Only the slices go to the driver: at most MAX_LANGS x SLOTS texts of DICT_BYTES / SLOTS
-characters, cut by Spark before they are gathered.  Predictions read whole texts.
+Only the slices go to the driver: SLOTS of each language, TOTAL_BYTES characters together (or a
+few of each slot), cut by Spark before they are gathered.  Sampled texts that the other half of the
+sample takes for another language are left out; Spark compresses them.  Predictions read whole texts.
 A letter is a character of Unicode's category L.
 
 Defined cases: null text, empty text and text without a letter give ``und``,
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, SLICES, DICT_BYTES, SEGMENT, LEVEL, MIN_MARGIN, MAX_LANGS = 96, 3, 131_072, 4_096, 6, 0.001, 256
+SLOTS, SLICES, DICT_BYTES, SEGMENT, LEVEL, MIN_MARGIN, TOTAL_BYTES = 96, 3, 131_072, 4_096, 6, 0.001, 64 << 20
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -47,11 +49,10 @@ def slices(text: Column, most: int, parts: int = SLICES) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *cut))
 
 
-def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Language -> dictionary, from at most `slots` labelled documents a language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    labelled = labelled.where(F.col("lang").isin(langs))
+    dict_bytes = min(dict_bytes, total_bytes // max(1, labelled.select("lang").distinct().count()))
     h = F.xxhash64("doc_id")
     chosen = (
         labelled.groupBy("lang", F.pmod(h, F.lit(slots)).alias("slot"))
@@ -67,7 +68,7 @@ def learn(docs: DataFrame, slots: int = SLOTS, dict_bytes: int = DICT_BYTES, max
         if r["text"]:
             by_lang.setdefault(r["lang"], []).append((r["doc_id"], _fold(r["text"])))
     sample = {k: [t for _, t in sorted(v)] for k, v in sorted(by_lang.items())}
-    return _dictionaries(_unmixed(sample, dict_bytes), dict_bytes)
+    return _dictionaries(_unmixed(docs.sparkSession, sample, dict_bytes), dict_bytes)
 
 
 def _fold(text: str) -> bytes:
@@ -79,13 +80,23 @@ def _dictionaries(sample: dict[str, list[bytes]], size: int) -> dict[str, bytes]
     return {k: b"\n".join(t[: max(1, size // len(v))] for t in sorted(v, key=len))[-size:] for k, v in sample.items()}
 
 
-def _unmixed(sample: dict[str, list[bytes]], size: int) -> dict[str, list[bytes]]:
+def _unmixed(spark, sample: dict[str, list[bytes]], size: int) -> dict[str, list[bytes]]:
     """Without sampled texts that the other half of the sample takes for another language."""
     if len(sample) < 2 or min(map(len, sample.values())) < 4:
         return sample
-    halves = [_Sizes(_dictionaries({k: v[i::2] for k, v in sample.items()}, size)) for i in (0, 1)]
-    kept = {k: [t for j, t in enumerate(v) if halves[1 - j % 2](t)[0][1] == k] for k, v in sample.items()}
-    return {k: kept[k] or sample[k] for k in sample}
+    halves = spark.sparkContext.broadcast([_dictionaries({k: v[i::2] for k, v in sample.items()}, size) for i in (0, 1)])
+    rows = spark.createDataFrame([(k, j, t) for k, v in sample.items() for j, t in enumerate(v)], "lang string, j int, data binary")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = [_Sizes(d) for d in halves.value]
+        for b in batches:
+            mine = [sizes[1 - j % 2](bytes(x))[0][1] == k for k, j, x in zip(b["lang"], b["j"], b["data"], strict=True)]
+            yield b[mine][["lang", "j"]]
+
+    kept: dict[str, set[int]] = {}
+    for r in rows.repartition(spark.sparkContext.defaultParallelism).mapInPandas(judge, "lang string, j int").collect():
+        kept.setdefault(r["lang"], set()).add(r["j"])
+    return {k: [t for j, t in enumerate(v) if j in kept[k]] if k in kept else v for k, v in sample.items()}
 
 
 class _Sizes:
