@@ -12,10 +12,12 @@ for all passages of a batch, the others go through block-max WAND.  What is foun
 has no column for it) must both be there, in the shares Q_SHARE and A_SHARE.
 
 The index is broadcast in shards of about SHARD_WORDS words (an item is in one shard),
-one scan of the documents for each; postings, their block maxima and their range maxima
-are sparse, some 60 bytes a word at most, so a shard has a bound in bytes however many
-items there are.  Counts of chunks and terms are of all items, so scores don't depend
-on the sharding.  Only hashes of an item's words go to the driver, a shard at a time.
+one scan of the documents for each, a job at a time: what a shard finds is written (the leaks, or for
+the stage the hashes of the texts that leak) before the next one's index is made, so the driver and
+a task hold one index however many there are.  Postings, their block maxima and their range maxima
+are sparse, some 60 bytes a word at most, so a shard has a bound in bytes.  Counts of chunks and
+terms are of all items and counted once, so scores don't depend on the sharding.  Only hashes of an
+item's words go to the driver, a shard at a time.
 
 Defined cases: null, empty and blank texts and items match nothing; items of
 fewer than 3 words are verified by single words; an item that repeats is
@@ -35,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .langid import free_name
+from .scratch import Scratch
 from .words import Words, mix, pieces, span_hash, texts
 
 CHUNK, THRESHOLD, Q_SHARE, A_SHARE, GRAM = 48, 0.5, 0.6, 0.5, 3
@@ -263,43 +267,60 @@ def _term_counts(hashed: DataFrame) -> DataFrame:
     return hashed.mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _indexes(items: DataFrame, shard_words: int | None = None) -> Iterator[Index]:
-    """The index in shards of about `shard_words` words."""
-    hashed, shard_words = _hashed(items), shard_words or SHARD_WORDS
+def _indexes(items: DataFrame, scratch: Scratch, shard_words: int | None = None) -> tuple[int, Iterator[Index]]:
+    """The number of shards of about `shard_words` words, and their indexes, made one at a time."""
+    hashed, shard_words = scratch.keep(_hashed(items), "items"), shard_words or SHARD_WORDS
     per_item = F.ceil(F.col("words") / F.lit(CHUNK))
     chunks, words = hashed.agg(F.sum(per_item), F.sum("words")).first()
     shards = max(1, math.ceil((words or 0) / shard_words))
-    for k in range(shards):
-        part = hashed.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(shards)) == k) if shards > 1 else hashed
-        counts = None
-        if shards > 1:
-            counts = {r["term"]: r["df"] for r in _term_counts(hashed).join(_term_counts(part).select("term"), "term", "left_semi").collect()}, chunks, words / chunks
-        rows = [(r["item_id"], np.frombuffer(r["h"], np.uint64)) for r in part.collect()]  # about shard_words hashes
-        yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())), counts)
 
+    def each() -> Iterator[Index]:
+        every = scratch.keep(_term_counts(hashed), "terms") if shards > 1 else None
+        for k in range(shards):
+            part = hashed.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(shards)) == k) if shards > 1 else hashed
+            counts = None
+            if every is not None:
+                counts = {r["term"]: r["df"] for r in every.join(_term_counts(part).select("term"), "term", "left_semi").collect()}, chunks, words / chunks
+            rows = [(r["item_id"], np.frombuffer(r["h"], np.uint64)) for r in part.collect()]  # about shard_words hashes
+            yield Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())), counts)
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return shards, each()
+
+
+_NAMES = ["doc_id", "item_id", "score", "question_share", "answer_share"]
+
+
+def _scan(docs: DataFrame, shared, key: str, kind: str) -> DataFrame:
+    """(key, item_id, score, question_share, answer_share) of every verified leak of one index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column("text"))
+            for a, b in pieces(offsets):
+                w = plain_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                got = leaks(w, shared.value)
+                rows = batch.column(key).take(pa.array([a + r[0] for r in got], pa.int64()))
+                ids = pa.array([shared.value.ids[r[1]] for r in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, ids, *[pa.array([r[k] for r in got], pa.float64()) for k in (2, 3, 4)]], [key, *_NAMES[1:]])
+
+    return docs.mapInArrow(run, f"{key} {kind}, item_id bigint, score double, question_share double, answer_share double")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_share, answer_share) of every verified leak."""
-    out = None
-    for index in _indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "item_id", "score", "question_share", "answer_share"]
-            for batch in batches:
-                data, offsets = texts(batch.column("text"))
-                for a, b in pieces(offsets):
-                    w = plain_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    got = leaks(w, shared.value)
-                    rows = batch.column("doc_id").take(pa.array([a + r[0] for r in got], pa.int64()))
-                    ids = pa.array([shared.value.ids[r[1]] for r in got], pa.int64())
-                    yield pa.RecordBatch.from_arrays([rows, ids, *[pa.array([r[k] for r in got], pa.float64()) for k in (2, 3, 4)]], names)
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            run, "doc_id bigint, item_id bigint, score double, question_share double, answer_share double"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession, "op10")
+    shards, indexes = _indexes(items, scratch)
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = []
+    for k, index in enumerate(indexes):
+        shared = spark.sparkContext.broadcast(index)
+        found = _scan(texts_, shared, "doc_id", "bigint")
+        if shards == 1:
+            return found
+        parts.append(f"leaks-{k}")
+        scratch.keep(found, parts[-1])
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(*map(scratch.path, parts))
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -307,20 +328,34 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leak: the scan that finds leaks drops their rows itself.  Null and
-    empty texts stay, rows are judged one by one whatever their id, an empty table stays empty."""
-    columns = docs.columns
-    for index in _indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
+    """Documents without a leak.  Of one shard, the scan that finds leaks drops their rows itself; of several, the md5 of
+    the texts that leak are gathered in a table and their rows go by an anti-join.  Null and empty texts stay,
+    rows are judged one by one whatever their id, columns pass through, an empty table stays empty."""
+    scratch = Scratch(spark, "pipeline-leaks")
+    shards, indexes = _indexes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
+    hashed = docs.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "text")
+    parts = []
+    for k, index in enumerate(indexes):
         shared = spark.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = texts(batch.column("text"))
-                keep = np.ones(batch.num_rows, bool)
-                for a, b in pieces(offsets):
-                    w = plain_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    keep[[a + r[0] for r in leaks(w, shared.value)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs.select(*columns)
+        if shards == 1:
+            return _clean(docs, shared)
+        parts.append(f"leaks-{k}")
+        scratch.keep(_scan(hashed, shared, "text_md5", "string").select("text_md5").distinct(), parts[-1])
+        shared.destroy()
+    own = free_name(docs, "_md5")
+    gone = spark.read.schema("text_md5 string").parquet(*map(scratch.path, parts)).distinct().withColumnRenamed("text_md5", own + "_of")
+    known = docs.withColumn(own, F.md5(F.col("text").cast("binary")))
+    return known.join(gone, F.col(own) == F.col(own + "_of"), "left_anti").drop(own)
+
+
+def _clean(docs: DataFrame, shared) -> DataFrame:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column("text"))
+            keep = np.ones(batch.num_rows, bool)
+            for a, b in pieces(offsets):
+                w = plain_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keep[[a + r[0] for r in leaks(w, shared.value)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)

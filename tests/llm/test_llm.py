@@ -186,6 +186,21 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert len(got) == 1 and got[0]["doc_id"] is None
 
 
+def test_near_duplicates_keep_columns_of_any_name_and_type(spark):
+    r = random.Random(9)
+    a, b = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "ab")
+    schema = "doc_id long, text string, _row string, _id long, _of map<string,int>, _c array<map<int,string>>, `a.b` double"
+    rows = [(1, a, "keep me", 9, {"x": 1, "y": None}, [{1: "z"}], 0.5), (2, a + " tail", "gone", 1, {}, None, None), (3, b, None, None, None, [], 1.0)]
+    rows += [(4, "same words here", "r", 1, {"k": 2}, None, 2.0)] * 2 + [(5, None, "n", 0, None, None, None), (6, " ", None, 0, {"q": 0}, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    got = ngram_join.stage_near_duplicates(spark, docs.repartition(3), "")
+    assert got.schema == docs.schema
+    want = [rows[0], rows[2], rows[3], rows[5], rows[6]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    empty = ngram_join.stage_near_duplicates(spark, docs.where("false"), "")
+    assert empty.schema == docs.schema and empty.collect() == []
+
+
 def test_op8_null_and_repeated_ids(spark, monkeypatch):
     r = random.Random(3)
     passage, other = ([f"{k}{r.randrange(10**6)}" for _ in range(70)] for k in "po")
@@ -377,7 +392,21 @@ def test_op7_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, long + chr(97 + i % 3) * 9, f"l{i % 7}") for i in range(60)], "doc_id long, text string, lang string")
     got = df.select(langid.slices(F.col("text"), 1_365).alias("s"), "text").collect()
     assert all(len(r["s"]) <= 1_365 + 2 and r["s"][:455] == r["text"][:455] and r["s"][-455:] == r["text"][-455:] for r in got)
-    assert len(langid.learn(df, max_langs=3)) == 3 and all(len(v) <= langid.DICT_BYTES for v in langid.learn(df).values())
+    assert len(langid.learn(df)) == 7 and all(len(v) <= langid.DICT_BYTES for v in langid.learn(df).values())
+    assert sum(map(len, langid.learn(df, total_bytes=7_000).values())) <= 7_000
+
+
+def test_op7_learns_every_language(spark):
+    """300 languages: also the rarest can be predicted, and what is learnt keeps its bound."""
+    word = lambda k, i: f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i % 26)}{k * 7 + i % 5}"
+    rows = [(k * 10 + i, " ".join(word(k, i * 31 + j) for j in range(40)), f"l{k:03}") for k in range(300) for i in range(2 if k % 3 else 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r["lang"] for r in df.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    learnt = langid.learn(df)
+    assert set(learnt) == known and len(known) > 290 and sum(map(len, learnt.values())) <= langid.TOTAL_BYTES
+    assert set(langid.learn(df, total_bytes=300_000)) == known
+    got = langid.identify(df.where(F.col("doc_id") % 97 == 0), learnt).collect()
+    assert len(got) > 5 and sum(r["_lang"]["lang_pred"] == r["lang"] for r in got if r["lang"] in known) >= 0.9 * len(got)
 
 
 def test_op7_by_compressing_one_at_a_time(spark, docs, rows):
@@ -617,6 +646,25 @@ def test_op10_end_to_end(spark, shard_words, monkeypatch):
     assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_op10_stage_over_many_shards(spark, tmp_path, monkeypatch):
+    """The stage drops the same rows in one shard and in many, in a plan of one scan at most, and keeps all columns."""
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(40)] + [(40, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(i % 50, " ".join([r.choice(vocab) for _ in range(80)] + (items[i % 40][1].split() if i % 4 == 0 else [])), {"k": i}, f"m{i}") for i in range(100)]
+    docs += [docs[0], docs[1], (None, docs[4][1], {}, None), (None, None, None, None), (7, "", {}, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, tags map<string,int>, _md5 string").repartition(3)
+    out = {}
+    for words in (2_000_000, 100):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        got = decontaminate.stage_decontaminate(spark, df, str(tmp_path))
+        assert got.schema == df.schema and got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+        out[words] = sorted(map(repr, map(tuple, got.collect())))
+        assert decontaminate.stage_decontaminate(spark, df.where("false"), str(tmp_path)).collect() == []
+    assert out[2_000_000] == out[100] and sorted(map(repr, [d for d in docs if d[1] is None or not any(x[1] and x[1] in d[1] for x in items)])) == out[100]
+
+
 def test_op10_index_size():
     """100,000 items in a stated number of bytes."""
     import pickle
