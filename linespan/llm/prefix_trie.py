@@ -42,6 +42,7 @@ from .scratch import Scratch
 
 GROUP, HEADS, FEW, IN_MEMORY, PIECE = 100, 6, 50_000, 1_000_000, 1 << 20
 KEY = ["depth", "ha", "hb"]
+NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 
 
 def running(rows: DataFrame, order: list, values: dict[str, Column], fold: Callable, both: Callable, scratch: Scratch, name: str) -> DataFrame:
@@ -312,10 +313,13 @@ def trie(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     turnless = convs.where("length = 0").select("conv_id", *[c.alias(n) for n, c in zero.items()])
     digests = end_digests(paths.where("last").select(*KEY, "conv_id").unionByName(turnless))
     # The root is every conversation's; the nodes of depth 1 hang from it.
-    all_ = convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-    below = sums.where("depth = 1").agg(F.count(F.lit(1)).alias("n_children"), F.coalesce(F.sum("n_leaves"), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens"))
-    root = all_.withColumn("one", F.lit(1)).join(F.broadcast(below.withColumn("one", F.lit(1))), "one").drop("one").withColumns({**zero, "p_conv": F.lit(None).cast("long")})
-    low = F.when(F.col("depth") == 1, F.lit(convs.agg(F.min("conv_id")).first()[0]).cast("long")).otherwise(F.col("p_conv"))
+    smallest, n_convs = convs.agg(F.min("conv_id"), F.count(F.lit(1))).first()
+    if not n_convs:
+        return linked.sparkSession.createDataFrame([], NODE)
+    n_children, n_leaves, saved_tokens = sums.where("depth = 1").agg(F.count(F.lit(1)), F.sum("n_leaves"), F.sum("saved_tokens")).first()
+    one = (smallest, 0, 0, 0, None, n_convs, n_children, n_leaves or 1, saved_tokens or 0)
+    root = linked.sparkSession.createDataFrame([one], "conv_id long, depth long, ha long, hb long, p_conv long, n_convs long, n_children long, n_leaves long, saved_tokens long")
+    low = F.when(F.col("depth") == 1, F.lit(smallest).cast("long")).otherwise(F.col("p_conv"))
     every = linked.join(sums, ["conv_id", "depth"]).withColumn("p_conv", low).drop("size").unionByName(root)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return every.join(digests, KEY, "left").select(
