@@ -62,6 +62,15 @@ def refused_jobs(rows: DataFrame, budget: int) -> DataFrame:
     return found.groupBy("job").agg(F.min_by(F.struct("place", "tokens"), "g").alias("x")).select("job", "x.*")
 
 
+def oversized_jobs(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """(job, reason) of jobs whose items and headers together are larger than `max_bytes`."""
+    size = lambda text: F.octet_length(text).cast("long") + 1
+    own = F.aggregate("pre", size(F.col("text")), lambda a, m: a + size(m["text"])) + F.coalesce(size(F.col("post")), F.lit(0))
+    own = own + F.when(F.col("opens") & (F.col("head") > 0), size(header(F.col("name")))).otherwise(0)
+    total = rows.groupBy("job").agg(F.sum(own).alias("bytes")).where(F.col("bytes") > max_bytes)
+    return total.select("job", F.format_string(f"job too large after filtering: %d bytes > max_job_bytes {max_bytes}", "bytes").alias("reason"))
+
+
 class Items:
     """The items of some consecutive rows of a job, and the chunks that begin at them."""
 

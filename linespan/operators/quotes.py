@@ -72,3 +72,25 @@ def named_quotes(lines: DataFrame, carried: DataFrame, raw: str = "raw") -> Data
         F.when(F.col("_behind").isNotNull(), F.regexp_extract("_behind", TAIL, 1)).otherwise(got(2)).try_cast("int").alias("n"),
         F.when(F.col("_behind").isNotNull(), F.regexp_extract("_behind", TAIL, 2)).otherwise(got(3)).alias("said"),
     )
+
+
+def texts_holding(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of every document (doc_id, text) that holds an item's quote (item_id, quote) whole.
+
+    The longest word inside a quote is an anchor that both must have, so candidates come from a join on equality.
+    Quotes of one or two words have no word inside; their anchor is three letters of their middle (or all, of
+    shorter ones), which only then are taken from the documents."""
+    words = F.split("quote", r"\s+")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = items.where("quote <> ''").select("item_id", "quote", longest.alias("anchor"))
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
+    hit = by_word.join(asked.where("anchor is not null"), "anchor").select("item_id", "doc_id", "quote")
+    short = asked.where("anchor is null").withColumn("size", F.least(F.length("quote"), F.lit(3)))
+    short = short.withColumn("anchor", F.substr(F.col("quote"), F.floor((F.length("quote") - F.col("size")) / 2).cast("int") + 1, F.col("size")))
+    for size in sorted(r["size"] for r in short.select("size").distinct().collect()):  # of 1, 2 and 3
+        starts = F.sequence(F.lit(1), F.length("text") - size + 1)
+        letters = F.when(F.length("text") >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(size)))))
+        by_letters = docs.select("doc_id", F.explode(letters).alias("anchor"))
+        hit = hit.unionByName(by_letters.join(short.where(F.col("size") == size), "anchor").select("item_id", "doc_id", "quote"))
+    return hit.join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")

@@ -6,14 +6,17 @@ chunk k + 1.  Names hold brackets, commas and what looks like a reference.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import sinks as K
 from ..operators import assembly as A
 from ..operators import checks as C
 from ..operators import jobs as J
 from ..operators import quotes as Q
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import lines as L
 from .line_queries import LINES
 
@@ -192,3 +195,36 @@ def result_pages(spark, sf_dir):
     rows = L.explode_lines(L.with_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("result_id"), "text")), "result_id")
     page = A.result_pages(rows.withColumnRenamed("n", "at").withColumn("extra", F.lit(False)), 3, 40)
     return page.select("result_id", F.col("line").cast("int").alias("line"), "text")
+
+
+@query(
+    f"""WITH {LINES}, d AS (SELECT doc_id, doc_id // 10 AS result_id, coalesce(text, '') AS text, ['text', 'pdf', 'docx'][doc_id % 3 + 1] AS format, CASE WHEN doc_id % 5 = 0 THEN 'url' ELSE 'file' END AS kind FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY doc_id) AS n FROM d WHERE kind = 'url' OR format <> 'text' OR result_id % 4 = 0),
+c AS (SELECT k.result_id, k.n, r.n AS spot, 0 AS side, 'L' || r.n || '| ' || r.text AS line FROM k JOIN rows_ r USING (doc_id)
+  UNION ALL SELECT k.result_id, k.n, r.n, 1, '--- after ' || r.n || ' ---' FROM k JOIN rows_ r USING (doc_id) WHERE r.n % 7 = 0),
+g AS (SELECT result_id, n, md5(string_agg(line, chr(10) ORDER BY spot, side)) AS copy_md5 FROM c GROUP BY result_id, n)
+SELECT k.result_id, k.n, k.kind, k.format, strlen(k.text) AS bytes, sha256(k.text) AS sha256, coalesce((SELECT max(n) FROM rows_ r WHERE r.doc_id = k.doc_id), 0)::BIGINT AS lines, g.copy_md5
+FROM k LEFT JOIN g USING (result_id, n)"""
+)
+def sources_kept(spark, sf_dir):
+    """Sources that results keep, with their markers, written and read back with their index."""
+    docs = L.with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    kinds = F.element_at(F.array(F.lit("text"), F.lit("pdf"), F.lit("docx")), (d % 3 + 1).cast("int"))
+    files = docs.select(
+        F.floor(d / 10).cast("long").alias("result_id"), d.alias("at"), d.cast("string").alias("name"), F.when(d % 5 == 0, "url").otherwise("file").alias("kind"), F.concat(F.lit("/d/"), d.cast("string")).alias("path"),
+        kinds.alias("format"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"), F.size("lines").cast("long").alias("lines"), F.col("lines").alias("all"),
+    )
+    kept = K.sources_to_keep(files, F.when(F.col("result_id") % 4 == 0, "schema").otherwise("extract"))
+    index = K.source_index(kept.drop("all"))
+    place = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex[:12]}"
+    rows = kept.join(index.select("result_id", "name", "n"), ["result_id", "name"]).select(F.concat_ws(":", "result_id", "n").alias("file_id"), F.posexplode("all").alias("p", "text"))
+    rows = rows.select("file_id", (F.col("p") + 1).alias("n"), "text")
+    marks = rows.where("n % 7 = 0").select("file_id", F.col("n").alias("at"), F.concat(F.lit("--- after "), F.col("n").cast("string"), F.lit(" ---")).alias("text"))
+    copies = J.with_markers(rows, marks).withColumn("f", F.split("file_id", ":"))
+    K.write_sources(copies.select(F.col("f")[0].cast("long").alias("result_id"), F.col("f")[1].cast("long").alias("n"), "at", "side", "text"), index, place)
+    back = spark.read.parquet(f"{place}/copies")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "side", "text"))), lambda x: x["text"]), "\n")  # one document's lines
+    digests = back.groupBy(F.col("result_id").cast("long").alias("result_id"), "n").agg(F.md5(whole.cast("binary")).alias("copy_md5"))
+    read = K.read_sources_index(spark, place).withColumn("result_id", F.col("result_id").cast("long"))
+    return read.join(digests, ["result_id", "n"], "left").select("result_id", "n", "kind", "format", "bytes", "sha256", "lines", "copy_md5")

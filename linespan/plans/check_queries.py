@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import quotes as Q
 from ..operators import schema as S
 from ..session import table
 from ..sources import lines as L
@@ -248,22 +249,9 @@ def parse_answers(spark, sf_dir):
     """WITH w AS (SELECT item_id, text FROM benchmark) SELECT item_id, doc_id FROM w JOIN documents d ON contains(d.text, w.text)"""
 )
 def quote_containment(spark, sf_dir):
-    """Which documents hold a text whole.  The longest word inside the text is an anchor that
-    both must have, so candidates come from a join on equality, not of all with all."""
+    """Which documents hold a text whole."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.split("quote", r"\s+")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<string>"))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = items.withColumn("anchor", longest)
-    hit = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor")).join(anchored.where("anchor is not null"), "anchor")
-    found = hit.select("item_id", "doc_id", "quote").join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    # Texts of one or two words have no word inside: they are few, and are looked up as a list in each document.
-    few = [(r["item_id"], r["quote"]) for r in anchored.where("anchor is null and quote is not null").select("item_id", "quote").collect()]
-    if few:
-        some = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in few]), lambda x: F.contains("text", x["q"]))
-        found = found.unionByName(docs.select("doc_id", F.explode(some).alias("x")).select(F.col("x.i").alias("item_id"), "doc_id"))
-    return found
+    return Q.texts_holding(items, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(

@@ -146,3 +146,19 @@ def job_chunks_marked(spark, sf_dir):
     marked = S.with_sections(_job_lines(spark, sf_dir), _sectioned(docs), ["doc_id"])
     df = C.chunk_jobs(C.job_rows(marked), BUDGET)
     return df.select("job", "chunk", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lines")
+
+
+@query(
+    f"""WITH {JOBS}, s AS (SELECT job, sum(strlen(text) + 1 + CASE WHEN n = 1 THEN strlen('=== file: ' || name || ' ===') + 1 ELSE 0 END)::BIGINT AS bytes FROM i GROUP BY job)
+SELECT job, 'job too large after filtering: ' || bytes || ' bytes > max_job_bytes 100000' AS reason FROM s WHERE bytes > 100000"""
+)
+def jobs_too_large(spark, sf_dir):
+    """Jobs whose lines and headers are larger than a job may be."""
+    return C.oversized_jobs(_plain(spark, sf_dir), 100_000)
+
+
+@query("""WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source) SELECT source, 'too many files: more than max_files 40' AS reason FROM c WHERE n > 40""")
+def jobs_of_too_many_files(spark, sf_dir):
+    """Sources with more documents than a job may have files."""
+    files = table(spark, sf_dir, "documents").where("source is not null").select("source", F.col("doc_id").cast("string").alias("path"))
+    return L.too_many_files(files, "source", 40)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..streaming import stamps as T
 from ..streaming import usage as U
+from .line_queries import NOW
 
 QUERIES, SQL = {}, {}
 
@@ -17,7 +21,18 @@ def stream_ledger(spark, sf_dir):
     return U.run_once(U.ledger(U.read_events(spark, sf_dir), 20_000))
 
 
-QUERIES |= {f.__name__: f for f in (stream_daily_usage, stream_ledger)}
+def stream_stamps(spark, sf_dir):
+    """The events as lines of logs, one a user, that are told their times once the watermark has passed them."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  at "), "event_type")).otherwise(F.concat_ws(" ", stamp, "event_type"))
+    lines = U.read_events(spark, sf_dir).select(F.col("user_id").alias("file_id"), F.col("event_id").alias("n"), text.alias("text"), "ts")
+    return U.run_once(T.tell_stamps(lines, now=NOW)).select("file_id", "n", "stamp", "late")
+
+
+QUERIES |= {f.__name__: f for f in (stream_daily_usage, stream_ledger, stream_stamps)}
+SQL["stream_stamps"] = """WITH m AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM events),
+e AS (SELECT user_id AS file_id, event_id AS n, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_us(ts) // 1000 END AS own FROM events, m WHERE epoch_ms(ts) < mark)
+SELECT file_id, n, last_value(own IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS stamp, false AS late FROM e"""
 SQL["stream_daily_usage"] = """WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS jobs, sum(round(value * 100)::BIGINT)::BIGINT AS cost
 FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL"""

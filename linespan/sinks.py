@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.jobs import has_control_chars, has_dot_dot
+from .operators.ordered import before
 
 MANIFEST = "path string, size bigint, mtime_ms double, ts timestamp, result_id string"
 
@@ -31,16 +32,31 @@ def sources_to_keep(files: DataFrame, mode: Column) -> DataFrame:
     return files.where((F.col("kind") == "url") | (F.col("format") != "text") | (mode == "schema"))
 
 
-def write_sources(lines: DataFrame, path: str) -> None:
-    """Numbered copies (result_id, source, n, text) of kept sources."""
-    lines.write.mode("overwrite").partitionBy("result_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+def source_index(files: DataFrame) -> DataFrame:
+    """Kept files (result_id, at, name, kind, path, format, bytes, sha256, lines) with `n`, their number in the result
+    from 1 in the order of at; sha256 is that of the file's bytes, lines the number of its lines."""
+    numbered = before(files, ["result_id"], ["at"], {"n": F.lit(1).cast("long")})
+    return numbered.select("result_id", (F.col("n") + 1).alias("n"), "name", "kind", "path", "format", "bytes", "sha256", "lines")
 
 
-def source_index(lines: DataFrame) -> DataFrame:
-    """(result_id, source, lines, sha256): the index of written copies; the hash is of each line's hash in
-    order, so no source is put together in one row."""
-    one = F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("text", F.lit(""))), 256)
-    return lines.groupBy("result_id", "source").agg(F.count(F.lit(1)).alias("lines"), F.bit_xor(F.xxhash64(one)).alias("digest"))
+def write_sources(copies: DataFrame, index: DataFrame, path: str) -> None:
+    """Numbered copies (result_id, n, at, side, text) of kept sources with their markers, and their index, under a folder;
+    writing a result again replaces that result alone."""
+    for rows, name in ((copies, "copies"), (index, "index")):
+        writer = rows.write.mode("overwrite").partitionBy("result_id").option("partitionOverwriteMode", "dynamic")
+        writer.parquet(f"{path}/{name}")
+
+
+def read_sources_index(spark: SparkSession, path: str, result_id: str | int | None = None) -> DataFrame:
+    """The index of one result's kept sources, or of all."""
+    index = spark.read.parquet(f"{path}/index")
+    return index if result_id is None else index.where(F.col("result_id") == result_id)
+
+
+def read_source(spark: SparkSession, path: str, result_id: str | int, n: int, first: int = 1, last: int = 2**31 - 1) -> DataFrame:
+    """Lines first to last of one kept source, markers with the line ahead of which they stand; only its result is read."""
+    rows = spark.read.parquet(f"{path}/copies").where((F.col("result_id") == result_id) & (F.col("n") == n))
+    return rows.where(F.col("at").between(first, last) | ((F.col("side") == 1) & F.col("at").between(first - 1, last - 1)))
 
 
 def append_usage(records: DataFrame, path: str) -> None:

@@ -93,6 +93,12 @@ def first_of_each(files: DataFrame, key: str, order: str) -> DataFrame:
     return files.groupBy(key).agg(F.min_by(F.struct(order, *rest), order).alias("s")).select(key, "s.*")
 
 
+def too_many_files(files: DataFrame, job: str, max_files: int) -> DataFrame:
+    """(job, reason) of jobs that name more than `max_files` files, each path counted once."""
+    many = files.groupBy(job, "path").agg(F.lit(1).alias("one")).groupBy(job).agg(F.count("one").alias("n")).where(F.col("n") > max_files)
+    return many.select(job, F.lit(f"too many files: more than max_files {max_files}").alias("reason"))
+
+
 # --- pages -------------------------------------------------------------------
 
 

@@ -88,3 +88,10 @@ def test_fences(spark):
     answers = [("array", ["```json", '[{"a": 1},', "2]", "```"]), ("lines", ["```", '{"a": 1},', "NOT IN INPUT", "not_in_input", "```"])]
     got = J.parse_edits(spark.createDataFrame(answers, "answer_id string, lines array<string>")).orderBy("answer_id", "pos").collect()
     assert [(r["value"], r["error"]) for r in got] == [('{"a":1}', None), ("2", None), ('{"a":1}', None), (None, "not JSON: not_in_input")]
+
+
+def test_documents_that_hold_texts(spark):
+    docs = {1: "one two three four", 2: "xone two threex", 3: "a b", 4: "", 5: None, 6: "one  two three", 7: "abc"}
+    items = {1: "one two three", 2: "two", 3: "b", 4: " ", 5: "e two", 6: None, 7: "", 8: "zz zz zz", 9: "a b", 10: "bc"}
+    got = Q.texts_holding(spark.createDataFrame(list(items.items()), "item_id long, quote string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, q in items.items() for d, t in docs.items() if q and t and q in t)
