@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from linespan.config import InputError, chunk_budget
 from linespan.functions import text as T
@@ -12,9 +13,15 @@ def test_numbers():
     assert {k: T.number_readings(k) for k in cases} == cases
 
 
-def test_values():
-    assert T.value_matches(12.5, "12,500") and not T.value_matches("ООО Ромашка", "ООО") and not T.value_matches("да", "Вода")
-    assert T.value_matches("Москва", "г. Москва") and T.value_matches("2026-11-27", "27 ноября 2026 года") and T.value_matches("February 17, 2026", "17.02.2026")
+def test_values(spark):
+    cases = [
+        (12.5, "12,500", True), ("ООО Ромашка", "ООО", False), ("да", "Вода", False), ("Москва", "г. Москва", True), ("2026-11-27", "27 ноября 2026 года", True), ("February 17, 2026", "17.02.2026", True),
+        (True, "True", True), (True, "it is true", False), (True, 1, False), (False, False, True), (5, True, False), ("5", "5 units", True), (5, "6 units", False), ("1,500", 1500, True), ("1,500", 1.5, False),
+        ("2026-11-27 10:00", "27.11.2026 11:00", False), ("2026-11-27 10:00", "2026-11-27", True), ("x", "", False), ("", "x", False), ("a\\Eb", "the a\\Eb.", True), ("«A» — b", "a - B", True), ("ab", "xabx", False),
+    ]
+    rows = spark.createDataFrame([(k, T.reading(w), T.reading(g)) for k, (w, g, _) in enumerate(cases)], f"k int, w {T.READING}, g {T.READING}")
+    got = {r["k"]: r["x"] for r in rows.select("k", T.values_agree(F.col("w"), F.col("g")).alias("x")).collect()}
+    assert [(w, g, got[k]) for k, (w, g, _) in enumerate(cases)] == cases
     assert T.norm_text("«Анадырь».") == "Анадырь"
 
 

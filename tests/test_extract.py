@@ -1,7 +1,10 @@
 import io
+import json
 import zipfile
 
-from linespan.operators.scoring import score
+from pyspark.sql import functions as F
+
+from linespan.operators.scoring import score_schema
 from linespan.sources import extract as E
 
 
@@ -89,7 +92,20 @@ def test_books_and_texts_with_notes():
     assert _shown("a.odt", _files({"content.xml": odt})) == (["H", "ab", "1 | 2", "foot"], ["footnotes"], [("footnotes", None, 4, 4)])
 
 
-def test_scores():
-    c = score({"a": 12.5, "b": None, "c": {"any": ["x", "y"]}, "d": {"conflict": ["1", "2"]}, "l": [{"k": "p"}, {"k": "q"}]},
-              {"a": {"value": "12,500"}, "b": "new", "c": "Y", "d": {"value": ["1", "2"], "conflict": True}, "l": [{"k": "q"}, {"k": "z"}]})
+def _score(spark, want, got):
+    df = spark.createDataFrame([(json.dumps(want), json.dumps(got) if got is not None else None)], "w string, g string")
+    return df.select(score_schema(F.col("w"), F.col("g")).alias("s")).first()["s"].asDict()
+
+
+def test_scores(spark):
+    c = _score(spark, {"a": 12.5, "b": None, "c": {"any": ["x", "y"]}, "d": {"conflict": ["1", "2"]}, "l": [{"k": "p"}, {"k": "q"}]},
+               {"a": {"value": "12,500"}, "b": "new", "c": "Y", "d": {"value": ["1", "2"], "conflict": True}, "l": [{"k": "q"}, {"k": "z"}]})
     assert (c["correct"], c["invented"], c["conflicts_caught"], c["list_matched"], c["list_answered"]) == (2, 1, 1, 1, 2)
+    assert (c["fields"], c["wrong"], c["answered_values"], c["right_values"]) == (4, 0, 4, 3)
+    want = {"l": [{"k": "a", "n": {"v": None}}, {"k": {"any": ["b", "a"]}, "n": {"v": 5}}, "plain"], "x": {"y": "z", "q": {"conflict": ["1", "2"]}}, "e": None, "m": "gone"}
+    got = {"l": [{"k": "a", "n": {"v": {"value": 5}}}, {"k": "A."}, {"value": "plain"}, 7], "x": {"y": ["q", "z"], "q": {"value": ["1", "3"], "conflict": True}}, "m": {"value": None}}
+    c = _score(spark, want, got)
+    assert (c["list_expected"], c["list_answered"], c["list_matched"]) == (3, 4, 3)
+    assert {k: v for k, v in c.items() if v and not k.startswith("list")} == {"fields": 4, "correct": 1, "wrong": 1, "missed": 1, "null_expected": 1, "null_ok": 1, "conflicts_expected": 1, "answered_values": 3, "right_values": 1}
+    c = _score(spark, want, None)
+    assert (c["missed"], c["null_ok"], c["list_matched"], c["answered_values"]) == (3, 1, 0, 0)
