@@ -228,7 +228,9 @@ def span_text(name: Column, n: Column, end_name: Column, end_n: Column) -> Colum
 
 def price_text(price: Column) -> Column:
     """$0.25; two figures below a cent; - if unknown and ? if endless."""
-    small = F.call_function("format_number", price, (F.lit(1) - F.floor(F.log10(price))).cast("int"))
+    figures = lambda x: (F.lit(1) - F.floor(F.log10(x) + 1e-9)).cast("int")
+    rounded = F.call_function("format_number", price, figures(price)).cast("double")  # 0.00996 gets a figure less by rounding
+    small = F.call_function("format_number", price, figures(rounded))
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", price), r"0+$", ""), r"\.$", "")
     shown = F.when((price > 0) & (price < 0.01), small).otherwise(plain)
     return F.when(price.isNull(), "-").when(F.isnan(price) | (F.abs(price) == float("inf")), "?").otherwise(F.concat(F.lit("$"), shown))

@@ -65,8 +65,9 @@ def ranges(ns: Column) -> Column:
 
 
 def label_text(label: Column) -> Column:
-    """A section's label as its marker shows it."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(label, r"[\x00-\x1f\x7f-\x9f]+", " "), " {2,}", " ")), 1, 120)
+    """A section's label as its marker shows it: line breaks and tabs as blanks, no other control characters."""
+    shown = F.regexp_replace(F.regexp_replace(label, r"[\r\n\t]+", " "), r"[\x00-\x1f\x7f-\x9f]", "")
+    return F.substring(F.trim(F.regexp_replace(shown, " {2,}", " ")), 1, 120)
 
 
 def place_of(section: Column) -> Column:
@@ -80,16 +81,6 @@ def place_of(section: Column) -> Column:
     )
 
 
-def places(lines: DataFrame, sections: DataFrame, key: str = "file_id") -> DataFrame:
-    """(key, n, place) of lines in sections (key, kind, num, label, start, end), outermost first.
-
-    The join is on the file, with the interval as a condition of it.
-    """
-    df = lines.select(key, "n").join(sections, key).where("n between start and end")
-    chain = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("width"), place_of(F.struct("kind", "num", "label")).alias("place"))))
-    return df.groupBy(key, "n").agg(F.array_join(F.transform(chain, lambda s: s["place"]), ", ").alias("place"))
-
-
 def attachment_refs(refs: DataFrame, sections: DataFrame, *by: str) -> DataFrame:
     """Refs (by, name, a, b) to lines a to b of an attachment, with `file`, the one file that has it
     with both lines inside, or `problem`; sections are (by, file, kind, label, start, end)."""

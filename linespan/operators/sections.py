@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import last_at
-from .render import gap_text
+from .render import gap_text, place_of
 
 _LINK = "struct<ref:int,text:string>"
 _SPAN = f"struct<start:int,chain:array<{_LINK}>>"
@@ -75,3 +75,15 @@ def shown_lines(kept: Column) -> Column:
         kept,
         lambda x, i: F.struct(x["n"].alias("n"), F.when(i > 0, F.get(kept, i - 1)["n"]).otherwise(F.lit(0)).alias("prev"), (i == F.size(kept) - 1).alias("last"), x["text"].alias("text")),
     )
+
+
+def places(lines: DataFrame, sections: DataFrame, key: str = "file_id") -> DataFrame:
+    """(key, n, place) of lines in sections (key, kind, num, label, start, end), outermost first; other lines have none.
+
+    A file's sections become spans by the same sweep, and lines take the last span at or above them."""
+    one = F.struct(F.col("start").cast("int").alias("start"), (-F.col("end")).cast("int").alias("width"), F.col("end").cast("int").alias("end"), place_of(F.struct("kind", "num", "label")).alias("text"))
+    packed = sections.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("sections"))
+    spans = packed.select(key, F.inline(chain_spans(F.col("sections"), F.transform("sections", lambda s: F.struct((s["start"] - 1).alias("at"), s["text"].alias("text"))))))
+    rows = lines.select(key, "n").withColumn("_side", F.lit(1)).unionByName(spans.select(key, F.col("start").alias("n"), F.col("chain").alias("_chain"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    met = last_at(rows, [key], [F.col("n"), F.col("_side")], {"chain": F.col("_chain")}).where((F.col("_side") == 1) & (F.size("chain") > 0))
+    return met.select(key, "n", F.array_join(F.transform("chain", lambda s: s["text"]), ", ").alias("place"))

@@ -341,7 +341,7 @@ def export_prune(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT conv_id, 'f' || (turn % 2) AS file, trim(regexp_replace('att' || chr(9) || (turn % 3), '[\\x00-\\x1f]+', ' ', 'g')) AS label, turn * 10 + 1 AS lo, turn * 10 + 8 AS hi FROM conversations),
+    """WITH s AS (SELECT conv_id, 'f' || (turn % 2) AS file, trim(regexp_replace(regexp_replace('a' || chr(1) || 'tt' || chr(9) || (turn % 3), '[\\r\\n\\t]+', ' ', 'g'), '[\\x00-\\x1f]', '', 'g')) AS label, turn * 10 + 1 AS lo, turn * 10 + 8 AS hi FROM conversations),
 r AS (SELECT DISTINCT conv_id, ' att ' || (turn % 4) AS name, turn * 10 + 2 AS a, turn * 10 + 2 + turn % 9 AS b FROM conversations),
 g AS (SELECT r.conv_id, name, a, b, min(file) AS lo_file, max(file) AS hi_file, bool_or(lo <= a AND b <= hi) AS both_in, bool_or(a BETWEEN lo AND hi) AS a_in
  FROM r LEFT JOIN s ON s.conv_id = r.conv_id AND s.label = trim(r.name) GROUP BY ALL),
@@ -352,7 +352,7 @@ SELECT conv_id, name, a, b, CASE WHEN problem IS NULL THEN lo_file END AS file,
 def attachment_refs(spark, sf_dir):
     """Turns stand for attachments of two files, and for references to them."""
     c, t = table(spark, sf_dir, "conversations"), F.col("turn")
-    label = F.concat(F.lit("att\t"), (t % 3).cast("string"))
+    label = F.concat(F.lit("a\x01tt\t"), (t % 3).cast("string"))
     sections = c.select("conv_id", F.concat(F.lit("f"), (t % 2).cast("string")).alias("file"), F.lit("attachment").alias("kind"), label.alias("label"), (t * 10 + 1).alias("start"), (t * 10 + 8).alias("end"))
     refs = c.select("conv_id", F.concat(F.lit(" att "), (t % 4).cast("string")).alias("name"), (t * 10 + 2).alias("a"), (t * 10 + 2 + t % 9).alias("b"))
     return R.attachment_refs(refs, sections, "conv_id")

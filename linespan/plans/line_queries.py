@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import mask as M
 from ..operators import filters as X
 from ..operators import render as R
+from ..operators import sections as S
 from ..session import table
 from ..sources import ignores as I
 from ..sources import lines as L
@@ -317,7 +318,7 @@ def interval_places(spark, sf_dir):
         return df.select("doc_id", F.lit(kind).alias("kind"), "num", label.alias("label"), start.alias("start"), (start + size - 1).alias("end"))
 
     both = sections(5, "page", F.lit(None).cast("string")).unionByName(sections(20, "attachment", F.concat(F.lit("part "), F.col("num"))))
-    return R.places(L.explode_lines(docs, "doc_id"), both, "doc_id")
+    return S.places(L.explode_lines(docs, "doc_id"), both, "doc_id")
 
 
 @query(

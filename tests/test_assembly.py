@@ -95,3 +95,8 @@ def test_documents_that_hold_texts(spark):
     items = {1: "one two three", 2: "two", 3: "b", 4: " ", 5: "e two", 6: None, 7: "", 8: "zz zz zz", 9: "a b", 10: "bc"}
     got = Q.texts_holding(spark.createDataFrame(list(items.items()), "item_id long, quote string"), spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, q in items.items() for d, t in docs.items() if q and t and q in t)
+
+
+def test_prices_of_two_figures(spark):
+    df = spark.createDataFrame([(0.00996,), (0.0099,), (0.001,), (0.25,), (0.0,), (None,)], "p double")
+    assert [r[0] for r in df.select(J.price_text(F.col("p"))).collect()] == ["$0.010", "$0.0099", "$0.0010", "$0.25", "$0", "-"]
