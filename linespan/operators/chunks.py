@@ -16,7 +16,7 @@ No job's lines are in one row, task or group; a piece has a bounded number of li
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,6 +92,11 @@ class Items:
     def place(self, i: int) -> tuple[int, int]:
         return self.rows[self.item[i][0]]["g"], self.item[i][1]
 
+    def item_from(self, r: int) -> int:
+        """The first item of row r, or the number of items."""
+        r = max(0, r)
+        return self.line_at[r] - len(self.rows[r]["pre"]) if r < len(self.rows) else len(self.item)
+
     def _carried(self, r: int) -> int:
         """How many lines of row r's file are ahead of it, up to the overlap."""
         k = 0
@@ -218,8 +223,8 @@ def _rows(frame: pd.DataFrame) -> list[dict]:
     return out
 
 
-def _exits(items: Items, low: int, high: int, entries: list[int]) -> Iterator[tuple[int, int, int | None, int | None, int]]:
-    """(place of entry, place where the chunks leave rows low to high, number of chunks); equal neighbours once."""
+def _exits(items: Items, high: int, entries: Iterable[int]) -> Iterator[tuple[int, int, int | None, int | None, int]]:
+    """(place of entry, place where the chunks reach row `high`, number of chunks ahead of it); equal neighbours once."""
     known: dict[int, tuple[int | None, int | None, int]] = {}
     said = None
     for i in entries:
@@ -276,7 +281,7 @@ def chunk_jobs(rows: DataFrame, budget: int, overlap: int = OVERLAP, piece: int
     """The chunks (see CHUNK) of jobs whose rows are those of `job_rows`; refused jobs have none.
 
     An item costs a token at least, so a chunk has at most `budget` lines beyond its first."""
-    size = max(piece, 2 * budget + 2 * overlap)
+    size = max(piece, 8 * budget + 2 * overlap)  # a piece tries `budget` places of entry, an eighth of its own at most
     rows = rows.join(refused_jobs(rows, budget).select("job"), "job", "left_anti")
     own = F.floor(F.col("g") / size)
     place = F.col("g") % size
@@ -292,9 +297,9 @@ def chunk_jobs(rows: DataFrame, budget: int, overlap: int = OVERLAP, piece: int
     def leave(frame: pd.DataFrame) -> pd.DataFrame:
         job, k, items = of(frame)
         low, high = k * size, (k + 1) * size
-        entries = [i for i in range(len(items.item)) if low <= items.place(i)[0] <= low + budget + 1] if k else [0]
-        inside = [i for i in entries if items.place(i)[0] < high]
-        found = [(job, k, *x) for x in _exits(items, low, high, inside)]
+        at = lambda g: items.item_from(g - items.rows[0]["g"])
+        entries = range(at(low), at(low + budget + 2)) if k else [0]
+        found = [(job, k, *x) for x in _exits(items, high, entries)]
         return pd.DataFrame(found, columns=["job", "piece", "g", "sub", "to_g", "to_g_sub", "chunks"]).astype({"to_g": "Int64", "to_g_sub": "Int32"})
 
     def build(frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +307,7 @@ def chunk_jobs(rows: DataFrame, budget: int, overlap: int = OVERLAP, piece: int
         if len(frame) and len(entry):
             job, k, items = of(frame)
             start, number = (int(entry["g"].iloc[0]), int(entry["sub"].iloc[0])), int(entry["chunks"].iloc[0])
-            i = next(i for i in range(len(items.item)) if items.place(i) == start)
+            i = items.item_from(start[0] - items.rows[0]["g"]) + start[1]
             while i is not None and i < len(items.item) and items.place(i)[0] < (k + 1) * size:
                 made = items.built(i)
                 if made is None:
