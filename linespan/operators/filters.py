@@ -28,10 +28,18 @@ def line_range(lines: Column, first: int, last: int) -> Column:
 
 
 def context(hits: Column, k: int) -> Column:
-    """Of an array of (n, hit) in order: the numbers within k of a hit's number."""
+    """Of an array of (n, hit) in order: the numbers within k of a hit's number.
+
+    Each hit adds what the hit before it doesn't reach, so numbers come once and in order."""
     at = F.transform(F.filter(hits, lambda x: x["hit"]), lambda x: x["n"])
-    near = F.array_distinct(F.flatten(F.transform(at, lambda n: F.sequence(n - k, n + k))))
-    return F.array_intersect(F.transform(hits, lambda x: x["n"]), near)
+    first, last = F.get(hits, F.lit(0))["n"], F.element_at(hits, -1)["n"]
+
+    def around(n: Column, i: Column) -> Column:
+        start = F.greatest(n - k, first, F.get(at, i - 1) + k + 1)
+        end = F.least(n + k, last)
+        return F.when(start <= end, F.sequence(start, F.greatest(start, end))).otherwise(F.array().cast("array<int>"))
+
+    return F.array_intersect(F.transform(hits, lambda x: x["n"]), F.flatten(F.transform(at, around)))
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -22,6 +22,8 @@ from .quotes import find_quotes
 # Fixed value: a type and what it is, as the leaves of a schema are written.
 HINT = re.compile(r"^\s*(string|number|integer|boolean|date|datetime|time)\s*(?:(?:[—–]|\s-\s)\s*(.*))?$", re.I | re.S)
 REF = r"^\(?\s*(?:(.+?):)?L(\d+)(?:\s*[-–]\s*L?(\d+))?\s*(?:\(.*\))?\s*\)?$"
+#: What a number or a hard token has at least one of: other values can't miss any, and their texts don't go to Python.
+TOKENS = r"[\p{Nd}`./\\:]"
 MAX_LEAVES, MAX_DEPTH, MAX_KEY, MAX_TEXT = 60, 4, 200, 1000
 
 
@@ -128,7 +130,7 @@ def check_values(values: DataFrame, carried: DataFrame) -> DataFrame:
     cited = wanted.withColumn("n", F.explode(F.sequence("a", "b"))).join(carried.select(*KEY, "name", "n", "text"), [*KEY, "name", "n"])
     lines = F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
     cited = cited.groupBy(*KEY, "name", "a", "b").agg(lines.alias("cited"))
-    df = df.join(cited, [*KEY, "name", "a", "b"], "left").withColumn("missing", missing("value", "quote"))
+    df = df.join(cited, [*KEY, "name", "a", "b"], "left").withColumn("missing", missing(*[F.when(F.col("value").rlike(TOKENS), F.col(c)) for c in ("value", "quote")]))
     whole = (F.size("cited") == F.col("b") - F.col("a") + 1) & F.col("cited").isNotNull()
     spaced = F.array_join("cited", " ")
     exact = F.contains(F.array_join("cited", "\n"), F.col("quote")) | F.contains(spaced, F.col("quote"))

@@ -71,7 +71,7 @@ def _near(spark, sf_dir, k: int = 2) -> DataFrame:
     df = _docs(spark, sf_dir)
     df = df.withColumn("hits", F.transform("lines", lambda x, i: F.struct((i + 1).alias("n"), X.matches(x, LICENCE).alias("hit"))))
     df = df.where(F.exists("hits", lambda h: h["hit"])).withColumn("near", X.context(F.col("hits"), k))
-    return df.withColumn("kept", F.filter(L.numbered(F.col("lines")), lambda x: F.array_contains("near", x["n"])))
+    return df.withColumn("kept", F.transform("near", lambda n: F.struct(n.alias("n"), F.get("lines", n - 1).alias("text"))))
 
 
 @query(f"WITH {LINES} {NEAR} SELECT doc_id, n, text, hit FROM k")
