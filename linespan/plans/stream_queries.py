@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import budget as B
 from ..streaming import stamps as T
 from ..streaming import usage as U
 from .line_queries import NOW
@@ -29,7 +30,17 @@ def stream_stamps(spark, sf_dir):
     return U.run_once(T.tell_stamps(lines, now=NOW)).select("file_id", "n", "stamp", "late")
 
 
-QUERIES |= {f.__name__: f for f in (stream_daily_usage, stream_ledger, stream_stamps)}
+def stream_reservations(spark, sf_dir):
+    """Events as calls: each reserves its value and is settled to four fifths of it an hour later; every eleventh is never settled."""
+    events = U.read_events(spark, sf_dir)
+    cents = F.round(F.col("value") * 100).cast("long")
+    both = F.array(F.struct(F.lit(False).alias("settles"), cents.alias("cents"), F.lit(0).alias("h")), F.struct(F.lit(True).alias("settles"), F.floor(cents * 4 / 5).alias("cents"), F.lit(1).alias("h")))
+    rows = events.select("user_id", F.col("event_id").alias("job"), "ts", F.explode(both).alias("a")).where("not (a.settles and job % 11 = 0)")
+    actions = rows.select("user_id", (F.col("job") * 2 + F.col("a.h")).alias("seq"), "job", "a.settles", "a.cents", F.timestamp_micros(F.unix_micros("ts") + F.col("a.h") * 3_600_000_000).alias("ts"))
+    return U.run_once(B.reservations(actions, 20_000))
+
+
+QUERIES |= {f.__name__: f for f in (stream_daily_usage, stream_ledger, stream_stamps, stream_reservations)}
 SQL["stream_stamps"] = """WITH m AS (SELECT epoch_ms(max(ts)) - 86400000 AS mark FROM events),
 e AS (SELECT user_id AS file_id, event_id AS n, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_us(ts) // 1000 END AS own FROM events, m WHERE epoch_ms(ts) < mark)
 SELECT file_id, n, last_value(own IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS stamp, false AS late FROM e"""

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from linespan.operators import filters as X
+from linespan.streaming import budget as B
 from linespan.streaming import stamps as T
 from linespan.streaming import usage as U
 
@@ -46,3 +47,39 @@ def test_a_line_behind_told_ones_is_marked(spark, tmp_path):
     got = {(x["file_id"], x["n"]): x for x in _streamed(spark, tmp_path, [early, [day(0)], [day(1), rows[4], behind], [day(2)], [day(3)]], "10 minutes")}
     assert got[1, 3]["late"] and got[1, 3]["stamp"] == got[1, 3]["own"] and not got[1, 39]["late"]
     assert len([k for k in got if k[0] == 1]) == 39 and (1, 4) not in got
+
+
+def test_reservations_in_any_order_of_arrival(spark, tmp_path):
+    """Against a plain walk in the order of time: grants, settlements, unreadable costs, days, open reservations."""
+    r, hour = random.Random(6), timedelta(hours=1)
+    start, rows = datetime(2024, 1, 1), []
+    for user in (1, 2):
+        for job in range(60):
+            at = start + r.random() * 60 * hour
+            rows.append((user, len(rows), job, False, r.choice([10, 40, 90, None, -1]), at))
+            for _ in range(r.choice([0, 1, 1, 1, 2])):
+                rows.append((user, len(rows), job, True, r.choice([5, 30, None, -3]), at + r.random() * 20 * hour))
+    want, day_of = [], lambda t: (t - start).days
+    for user in (1, 2):
+        spent, day, held = 0, 0, {}
+        for _, seq, job, settles, cents, at in sorted((x for x in rows if x[0] == user), key=lambda x: (x[5], x[1])):
+            if day_of(at) != day:
+                day, spent = day_of(at), 0
+            granted = None
+            if not settles:
+                granted = cents is not None and cents >= 0 and job not in held and spent + sum(c for c, _ in held.values()) + cents <= 200
+                if granted:
+                    held[job] = (cents, day)
+            elif job in held:
+                amount, when = held.pop(job)
+                if when == day:
+                    spent += cents if cents is not None and cents >= 0 else amount
+            want.append((user, seq, granted, spent, sum(c for c, _ in held.values())))
+    r.shuffle(rows)
+    schema = "user_id long, seq long, job long, settles boolean, cents long, ts timestamp"
+    for k in range(0, len(rows), 60):
+        spark.createDataFrame(rows[k : k + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(9, 0, 0, False, 1, datetime(2024, 1, 30))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    got = U.run_once(B.reservations(stream, 200, "5 days")).where("user_id < 9").collect()
+    assert sorted((x["user_id"], x["seq"], x["granted"], x["spent"], x["reserved"]) for x in got) == sorted(want) and {x[2] for x in want} == {True, False, None}
