@@ -67,12 +67,19 @@ def usage_by_alias(records: DataFrame) -> DataFrame:
 
 
 def model_facts(endpoints: DataFrame) -> DataFrame:
-    """Per model of endpoints (model_id, provider, context, max_out, price_in, price_out): what holds for all of them."""
+    """Per model of endpoints (model_id, provider, context, max_out, price_in, price_out): what holds for all of them.
+    A price that is missing is unknown and so endless.  Where endpoints have max_prompt and price_request, the
+    smallest prompt limit above 0 and the highest price a request, a missing one being none."""
     inf = F.lit(float("inf"))
+    more = []
+    if "max_prompt" in endpoints.columns:
+        more.append(F.min(F.when(F.col("max_prompt") > 0, F.col("max_prompt"))).alias("max_prompt"))
+    if "price_request" in endpoints.columns:
+        more.append(F.max(F.greatest(F.coalesce("price_request", F.lit(0.0)), F.lit(0.0))).alias("price_request"))
     return endpoints.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("endpoints"), F.countDistinct("provider").alias("providers"), F.min("context").alias("context"), F.min("max_out").alias("max_out"),
         F.min(F.coalesce("price_in", inf)).alias("min_in"), F.max(F.coalesce("price_in", inf)).alias("max_in"),
-        F.min(F.coalesce("price_out", inf)).alias("min_out"), F.max(F.coalesce("price_out", inf)).alias("max_out_price"),
+        F.min(F.coalesce("price_out", inf)).alias("min_out"), F.max(F.coalesce("price_out", inf)).alias("max_out_price"), *more,
     )
 
 

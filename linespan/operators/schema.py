@@ -202,5 +202,15 @@ def schema_summary(items: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def schema_report(items: DataFrame, answers: DataFrame, fields: int, *by: str) -> DataFrame:
+    """`schema_summary` with the number of the schema's leaves, and of chunks whose answer (job, chunk, json, repaired)
+    could not be read or was repaired; also of jobs in which no answer gave a value."""
+    failed, fixed = F.count_if(F.col("json").isNull()), F.count_if(F.coalesce("repaired", F.lit(False)))
+    chunks = answers.groupBy(*by).agg(failed.alias("failed_chunks"), fixed.alias("repaired_chunks"))
+    met = chunks.join(schema_summary(items, *by), list(by), "left").withColumn("fields", F.lit(fields))
+    counts = [c for c, kind in met.dtypes if kind in ("bigint", "int") and c not in by]
+    return met.select(*by, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], "pass_rate")
+
+
 def item_text(value: Column) -> Column:
     return clip(value)

@@ -93,14 +93,16 @@ def _endpoints(spark, sf_dir) -> DataFrame:
     return li.select(
         F.concat(F.lit("m/"), F.col("l_partkey") % 500).alias("model_id"), F.col("l_suppkey").alias("provider"), (F.col("l_quantity") * 1000).cast("long").alias("context"),
         (F.col("l_orderkey") % 9000 + 1000).alias("max_out"), price.alias("price_in"), (F.col("l_tax") * 100).alias("price_out"),
+        F.when(F.col("l_linenumber") != 3, (F.col("l_quantity") - 2).cast("long") * 500).alias("max_prompt"), F.when(F.col("l_linenumber") > 4, F.col("l_discount")).alias("price_request"),
     )
 
 
 ENDPOINTS = """e AS (SELECT 'm/' || (l_partkey % 500) AS model_id, l_suppkey AS provider, (l_quantity * 1000)::BIGINT AS context, l_orderkey % 9000 + 1000 AS max_out,
-CASE WHEN l_linenumber <> 7 THEN l_discount * 20 END AS price_in, l_tax * 100 AS price_out FROM lineitem),
+CASE WHEN l_linenumber <> 7 THEN l_discount * 20 END AS price_in, l_tax * 100 AS price_out,
+CASE WHEN l_linenumber <> 3 THEN (l_quantity - 2)::BIGINT * 500 END AS max_prompt, CASE WHEN l_linenumber > 4 THEN l_discount END AS price_request FROM lineitem),
 f AS (SELECT model_id, count(*) AS endpoints, count(DISTINCT provider) AS providers, min(context) AS context, min(max_out) AS max_out,
 min(coalesce(price_in, 'inf'::DOUBLE)) AS min_in, max(coalesce(price_in, 'inf'::DOUBLE)) AS max_in, min(coalesce(price_out, 'inf'::DOUBLE)) AS min_out,
-max(coalesce(price_out, 'inf'::DOUBLE)) AS max_out_price FROM e GROUP BY 1),
+max(coalesce(price_out, 'inf'::DOUBLE)) AS max_out_price, min(max_prompt) FILTER (max_prompt > 0) AS max_prompt, greatest(max(coalesce(price_request, 0)), 0)::DOUBLE AS price_request FROM e GROUP BY 1),
 c AS (SELECT model_id, min((price_in, price_out)) AS b FROM e WHERE price_in <= 0.15 AND price_out <= 2 GROUP BY 1),
 ids AS (SELECT DISTINCT 'm/' || (l_partkey % 500) || CASE l_linenumber % 4 WHEN 1 THEN ':Nitro:free' WHEN 2 THEN ':free' ELSE '' END AS model_id FROM lineitem),
 t AS (SELECT model_id, CASE WHEN isinf(min_in) THEN '?' ELSE '$' || rtrim(rtrim(printf('%.3f', min_in), '0'), '.') END AS low_in,

@@ -133,3 +133,11 @@ def test_attachments_named_in_drafts():
     assert judge("spec.pdf:L6-L8") == ("ok", [], 1, 0)
     assert judge("spec.pdf:L9-L12")[1] == ["L12 is not inside attachment spec.pdf"] and judge("spec.pdf:L2")[1] == ["L2 is not inside attachment spec.pdf"]
     assert judge("twice.pdf:L1")[1] == ["ambiguous file name in ref: twice.pdf"] and judge("far.pdf:L1")[1] == ["ref to an unknown file: far.pdf:L1"]
+
+
+def test_schema_report_counts_chunks(spark):
+    items = spark.createDataFrame([(1, "ok"), (1, "ok~"), (1, "bad_ref"), (1, "null"), (2, "quote_mismatch")], "job long, status string")
+    answers = spark.createDataFrame([(1, 1, "{}", False), (1, 2, None, False), (1, 3, "{}", True), (2, 1, "{}", None), (3, 1, None, None)], "job long, chunk int, json string, repaired boolean")
+    got = {r["job"]: r.asDict() for r in S.schema_report(items, answers, 7, "job").collect()}
+    pick = lambda j: tuple(got[j][c] for c in ("fields", "values", "ok", "ok_folded", "bad_ref", "nulls", "failed_chunks", "repaired_chunks", "refs_ok", "refs_bad", "pass_rate"))
+    assert pick(1) == (7, 3, 1, 1, 1, 1, 1, 1, 2, 1, 2 / 3) and pick(2) == (7, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0.0) and pick(3) == (7, 0, 0, 0, 0, 0, 1, 0, 0, 0, None)
