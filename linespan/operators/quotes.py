@@ -32,15 +32,13 @@ def find_quotes(quotes: DataFrame, carried: DataFrame) -> DataFrame:
     # A quote's rarest letters can't be known here: its middle ones, as good as any.
     letters = F.when(F.length("_q") >= 3, F.substr(F.col("_q"), F.floor((F.length("_q") - 1) / 2).cast("int"), F.lit(3)))
     asked = asked.withColumn("_key", F.coalesce(F.concat(F.lit("w"), word), F.concat(F.lit("g"), letters), F.lit("")))
-    wants = asked.groupBy(*KEY).agg(F.bool_or(F.col("_key").startswith("w")).alias("_w"), F.bool_or(F.col("_key").startswith("g")).alias("_g"), F.bool_or(F.col("_key") == "").alias("_e"))
+    wants = asked.groupBy(*KEY).agg(F.collect_set("_key").alias("_asked"))  # as many as a chunk's answer has quotes
     at = F.col("at") if "at" in carried.columns else F.struct("name", "n")
     lines = carried.select(*KEY, "name", "n", at.alias("at"), fold_space(F.col("text")).alias("_t")).join(wants, list(KEY))
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.when(F.col("_w"), F.transform(F.array_distinct(F.split("_t", " ")), lambda w: F.concat(F.lit("w"), w))).otherwise(none),
-        F.when(F.col("_g"), F.transform(F.array_distinct(grams(F.col("_t"))), lambda g: F.concat(F.lit("g"), g))).otherwise(none),
-        F.when(F.col("_e"), F.array(F.lit(""))).otherwise(none),
-    )
+    by_letters = F.exists("_asked", lambda k: k.startswith("g"))
+    words = F.transform(F.split("_t", " "), lambda w: F.concat(F.lit("w"), w))
+    letters = F.when(by_letters, F.transform(grams(F.col("_t")), lambda g: F.concat(F.lit("g"), g))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_intersect(F.concat(words, letters, F.array(F.lit(""))), "_asked")  # of a line, only what is asked for leaves its row
     index = lines.select(*KEY, "name", "n", "at", "_t", F.explode(keys).alias("_key"))
     met = asked.join(index, [*KEY, "_key"]).where(F.contains("_t", F.col("_q")))
     first = met.groupBy(*KEY, "quote").agg(F.min_by(F.concat("name", F.lit(":L"), F.col("n").cast("string")), "at").alias("found"))
