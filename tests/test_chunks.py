@@ -183,3 +183,18 @@ def test_a_job_of_a_million_lines(spark):
         want.append((len(want) + 1, start, last - 1, total))
         first = last
     assert [tuple(r) for r in got] == want
+
+
+def test_documents_in_one_row_are_cut_as_jobs_are(spark):
+    """`chunk_documents`, which has a document in one row, against the cutting of whole jobs."""
+    from linespan.operators.render import chunk_documents
+
+    r = random.Random(11)
+    files = [(f"f{k}", ["w" * r.choice([0, 3, 30, 70]) for _ in range(r.choice([1, 9, 120]))]) for k in range(6)]
+    rows = _rows(spark, files, True).withColumn("job", F.col("name"))
+    # A job a file: the numbers of its rows begin at 0 again.
+    rows = rows.join(rows.groupBy("name").agg(F.min("g").alias("_least")), "name").withColumn("g", F.col("g") - F.col("_least")).drop("_least")
+    jobs = [(x["job"], x["chunk"], x["text"], x["tokens"], x["first_n"], x["last_n"]) for x in C.chunk_jobs(rows, 90).collect()]
+    docs = spark.createDataFrame([(n, n, [(i, f"L{i}| {x}") for i, x in enumerate(lines, 1)]) for n, lines in files], "file_id string, name string, items array<struct<n:int,text:string>>")
+    whole = [(x["file_id"], x["chunk"], x["text"], x["tokens"], x["first"], x["last"]) for x in chunk_documents(docs, 90).collect()]
+    assert sorted(jobs) == sorted(whole) and len(jobs) > 20
