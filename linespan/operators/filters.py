@@ -32,14 +32,14 @@ def context(hits: Column, k: int) -> Column:
 
     Each hit adds what the hit before it doesn't reach, so numbers come once and in order."""
     at = F.transform(F.filter(hits, lambda x: x["hit"]), lambda x: x["n"])
-    first, last = F.get(hits, F.lit(0))["n"], F.element_at(hits, -1)["n"]
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))))
 
-    def around(n: Column, i: Column) -> Column:
-        start = F.greatest(n - k, first, F.get(at, i - 1) + k + 1)
-        end = F.least(n + k, last)
-        return F.when(start <= end, F.sequence(start, F.greatest(start, end))).otherwise(F.array().cast("array<int>"))
+    def around(n: Column, prev: Column) -> Column:
+        start = F.greatest(n - k, prev + k + 1)
+        return F.when(start <= n + k, F.sequence(start, F.greatest(start, n + k)))
 
-    return F.array_intersect(F.transform(hits, lambda x: x["n"]), F.flatten(F.transform(at, around)))
+    near = F.flatten(F.array_compact(F.zip_with(at, before, around)))
+    return F.array_intersect(F.transform(hits, lambda x: x["n"]), near)
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -27,14 +27,16 @@ def paired(sections: Column, markers: Column) -> Column:
 
 def chain_spans(sections: Column, markers: Column) -> Column:
     """(start, chain) of every stretch of lines inside the same sections, from line 1."""
-    opens = F.transform(sections, lambda s, i: F.struct(s["start"].cast("int").alias("at"), F.lit(1).alias("opens"), i.alias("ref")))
-    closes = F.transform(sections, lambda s, i: F.struct((s["end"] + 1).cast("int").alias("at"), F.lit(0).alias("opens"), i.alias("ref")))
+    both = F.arrays_zip(sections.alias("s"), markers.alias("m"))
+    event = lambda at, kind, i, text: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("opens"), i.alias("ref"), text.alias("text"))
+    opens = F.transform(both, lambda x, i: event(x["s"]["start"], 1, i, x["m"]["text"]))
+    closes = F.transform(both, lambda x, i: event(x["s"]["end"] + 1, 0, i, F.lit(None).cast("string")))
     state = f"struct<stack:array<{_LINK}>,spans:array<{_SPAN}>>"
     empty = F.array().cast(f"array<{_LINK}>")
     zero = F.struct(empty.alias("stack"), F.array(F.struct(F.lit(1).alias("start"), empty.alias("chain"))).alias("spans")).cast(state)
 
     def step(a: Column, e: Column) -> Column:
-        link = F.struct(e["ref"].alias("ref"), F.get(markers, e["ref"])["text"].alias("text"))
+        link = F.struct(e["ref"].alias("ref"), e["text"].alias("text"))
         stack = F.when(e["opens"] == 1, F.concat(a["stack"], F.array(link))).otherwise(F.filter(a["stack"], lambda x: x["ref"] != e["ref"]))
         again = F.element_at(a["spans"], -1)["start"] == e["at"]
         behind = F.when(again, F.slice(a["spans"], F.lit(1), F.size(a["spans"]) - 1)).otherwise(a["spans"])
@@ -70,11 +72,12 @@ def with_sections(lines: DataFrame, documents: DataFrame, keys: list[str]) -> Da
 
 
 def shown_lines(kept: Column) -> Column:
-    """(n, prev, last, text) of an array of kept (n, text)."""
-    return F.transform(
-        kept,
-        lambda x, i: F.struct(x["n"].alias("n"), F.when(i > 0, F.get(kept, i - 1)["n"]).otherwise(F.lit(0)).alias("prev"), (i == F.size(kept) - 1).alias("last"), x["text"].alias("text")),
-    )
+    """(n, prev, last, text) of an array of kept (n, text); neighbours are zipped, so each line is looked at once."""
+    ns, size = F.transform(kept, lambda x: x["n"]), F.size(kept)
+    prev = F.concat(F.array(F.lit(0)), F.slice(ns, F.lit(1), F.greatest(size - 1, F.lit(0))))
+    more = F.concat(F.transform(F.slice(ns, F.lit(2), F.greatest(size, F.lit(0))), lambda _: F.lit(False)), F.array(F.lit(True)))
+    rows = F.zip_with(kept, F.arrays_zip(prev.alias("prev"), more.alias("last")), lambda x, y: F.struct(x["n"].alias("n"), y["prev"].alias("prev"), y["last"].alias("last"), x["text"].alias("text")))
+    return F.filter(rows, lambda r: r["n"].isNotNull())  # an array without lines is zipped with one neighbour
 
 
 def places(lines: DataFrame, sections: DataFrame, key: str = "file_id") -> DataFrame:
