@@ -1,16 +1,18 @@
 """Operator 12: quality rules by a hashed n-gram log-likelihood ratio.
 
 Two multinomials of hashed word 1- and 2-grams are counted: one of the raw corpus, over all
-documents, and one of the trusted target, over a bounded sample of the documents labelled of
-quality 1 and not toxic (the smallest hash in each of SLOTS slots).  Raw counts are scaled to the
-target's size, then one is added to both, so a gram that is rare in either says little and one that
-is frequent in the raw corpus and missing in the target says much.  A document's score is the sum of
-log p_target - log p_raw over its grams, divided by their number.  The verdict is one threshold for
-all documents: the QUANTILE of the scores of other trusted documents, which the model has not
-counted, so about that share of clean documents is lost.  Documents that fail a base rule (fewer
-than 50 words, or more than half of the words repeated in runs of three) are not kept either way.
-
-What the driver gets is bounded: BUCKETS counts, and the scores of at most SLOTS documents.
+documents, and one of the trusted target.  Trusted are all documents labelled of quality 1 and not
+toxic, and each has one part: by a hash of its id the target counts it (about three of four), or
+its score goes into the threshold.  Raw counts are scaled to the target's size, then one is added to
+both, so a gram that is rare in either says little and one that is frequent in the raw corpus and
+missing in the target says much.  A document's score is the sum of log p_target - log p_raw over its
+grams, divided by their number.  The verdict is one threshold for all documents: the QUANTILE of the
+scores of all trusted documents that the model has not counted, so about that share of clean
+documents is lost.  Documents that fail a base rule (fewer than 50 words, or more than half of the
+words repeated in runs of three) are not kept either way.
+
+Ids of trusted documents stay in Spark: the target's texts are found by a join, and the quantile by
+counting scores in bins.  What the driver gets is bounded: BUCKETS counts, and the few scores of the last bin.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and score 0;
 a document is trusted if it has labels of quality, all of them 1, and no label says toxic (nulls say nothing);
@@ -28,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quality import _narrowed
 from .scratch import Scratch
 from .words import Words, pieces, span_hash, texts
 
-BUCKETS, SLOTS, QUANTILE, MIN_WORDS, MOST_REPEATED, WINDOW = 1 << 18, 4_096, 0.01, 50, 50, 3
+BUCKETS, QUANTILE, MIN_WORDS, MOST_REPEATED, WINDOW = 1 << 18, 0.01, 50, 50, 3
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _OUT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, score double"
@@ -89,38 +92,36 @@ def base(d: np.ndarray, o: np.ndarray, w: Words) -> dict[str, np.ndarray]:
     return out
 
 
-def trusted(labels: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id and `fits` of at most `slots` trusted documents: those that the model counts, and those of the threshold."""
-    h = F.xxhash64("doc_id")
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id and `fits` of all trusted documents: whether the model counts them, or they are for the threshold."""
     worst = [F.min((F.col("quality") == 1).cast("int")).alias("quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")]
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(*worst).where("quality = 1 and coalesce(toxic, 0) = 0")
-    slot = F.pmod(h, F.lit(slots))
-    return good.groupBy(slot.alias("s")).agg(F.min(F.struct(h.alias("h"), "doc_id"))["doc_id"].alias("doc_id")).select("doc_id", (F.col("s") % 4 != 0).alias("fits"))
+    return good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0).alias("fits"))
 
 
-def model(docs: DataFrame, fits: np.ndarray) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; fits: the sorted ids of the target's documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(fits)
+def model(docs: DataFrame, fits: DataFrame, scratch: Scratch) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; fits: doc_id of the target's documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id")
-            chosen = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), shared.value) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for a, b, _, _, w in _texts(batch):
-                row, bucket = _grams(w)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[chosen[a:b][row]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket bigint, raw bigint, target bigint")
-    rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # at most BUCKETS rows
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+            for *_, w in _texts(batch):
+                n += np.bincount(_grams(w)[1], minlength=BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    def counted(texts: DataFrame, name: str) -> np.ndarray:
+        by_task = texts.select("text").mapInArrow(count, "bucket bigint, n bigint")
+        out = np.zeros(BUCKETS)
+        for r in scratch.keep(by_task.groupBy("bucket").agg(F.sum("n").alias("n")), name).collect():  # at most BUCKETS rows
+            out[r["bucket"]] = r["n"]
+        return out
+
+    # The hint keeps the ids from being broadcast, however many they are, and the texts from being sorted.
+    target = counted(docs.join(fits.hint("shuffle_hash"), "doc_id", "left_semi"), "target")
     if not target.sum():
         return np.zeros(BUCKETS)
+    raw = counted(docs, "raw")
     return np.log(target + 1) - np.log(raw * (target.sum() / raw.sum()) + 1)
 
 
@@ -141,20 +142,26 @@ def measure(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OUT)
 
 
-def threshold(measured: DataFrame, held: list[int], quantile: float = QUANTILE) -> float | None:
-    """The score at `quantile` of trusted documents that the model hasn't counted."""
-    ids = measured.sparkSession.createDataFrame([(i,) for i in held], "doc_id long")  # at most SLOTS rows
-    rows = measured.where("not base_failed").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("score").alias("score")).collect()
-    scores = sorted(r["score"] for r in rows)
-    return scores[int(quantile * len(scores))] if scores else None
+def threshold(measured: DataFrame, held: DataFrame, scratch: Scratch, quantile: float = QUANTILE) -> float | None:
+    """The score at `quantile` of trusted documents that the model hasn't counted; held: their doc_id."""
+    least = measured.where("not base_failed").groupBy("doc_id").agg(F.min("score").alias("score"))
+    scores = scratch.keep(least.join(held.hint("shuffle_hash"), "doc_id", "left_semi").select("score"), "held")
+    n = scores.count()
+    if not n:
+        return None
+    near, left = _narrowed(scores, "score", n - int(quantile * n))
+    for r in near.groupBy("score").count().orderBy(F.desc("score")).collect():  # one value, or those of one bin
+        left -= r["count"]
+        if left <= 0:
+            return r["score"]
 
 
 def rules(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE) -> DataFrame:
     """The base measures, base_failed, score and kept of every document."""
-    sample = trusted(labels).collect()  # at most SLOTS rows
-    fits = np.array(sorted(r["doc_id"] for r in sample if r["fits"]), np.int64)
-    measured = scratch.keep(measure(docs, model(docs, fits)), "measured")
-    least = threshold(measured, [r["doc_id"] for r in sample if not r["fits"]], quantile) if len(fits) else None
+    sure = scratch.keep(trusted(labels), "trusted")
+    measured = scratch.keep(measure(docs, model(docs, sure.where("fits"), scratch)), "measured")
+    least = threshold(measured, sure.where("not fits"), scratch, quantile)
+    scratch.drop_all_but("measured")
     return measured.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if least is None else F.col("score") >= F.lit(least)))
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linespan.llm import prefix_trie, rules, search
+from linespan.llm import prefix_trie, quality, rules, search
 from linespan.llm.scratch import Scratch
 
 TURN = "conv_id long, turn long, role string, text string, depth long, range string"
@@ -168,6 +168,43 @@ def test_op12_without_labels_or_rows(spark):
     assert rules.rules(spark.createDataFrame([], DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Scratch(spark, "t")).collect() == []
 
 
+def test_op12_counts_every_trusted_document(spark, monkeypatch):
+    """Three times as many trusted documents as hash slots of 4,096 held: none is left out of the model or of the threshold."""
+    monkeypatch.setattr(quality, "FEW", 50)  # the threshold is found in bins of bins
+    n, marks = 12_288, "doc_id long, quality int, toxic int"
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(words[: 300 if i % 2 else 150], k=52)), "en", "s", 0, 1.0, "k") for i in range(n + 500)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)] + [(n + 1, 0, 0), (n + 2, 1, 1)], marks)
+    part = {x["doc_id"]: x["fits"] for x in rules.trusted(labels).collect()}
+    assert set(part) == set(range(n)) and 0.7 < sum(part.values()) / n < 0.8
+    got = rules.rules(spark.createDataFrame(rows, DOC).repartition(3), labels, Scratch(spark, "t")).collect()
+
+    def counts(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        return sum(np.bincount(rules._grams(w)[1], minlength=rules.BUCKETS) for *_, w in rules._texts(batch))
+
+    raw, target = counts([x[1] for x in rows]), counts([x[1] for x in rows if part.get(x[0])])
+    ratio = np.log(target + 1) - np.log(raw * (target.sum() / raw.sum()) + 1)
+    texts = {x[0]: x[1] for x in rows}
+    for x in got[:: len(got) // 50]:
+        c = counts([texts[x["doc_id"]]])
+        assert x["score"] == pytest.approx((c * ratio).sum() / c.sum(), abs=1e-9)
+    held = sorted(x["score"] for x in got if part.get(x["doc_id"]) is False and not x["base_failed"])
+    assert len(held) > 2_500 and all(x["kept"] == (x["score"] >= held[len(held) // 100]) for x in got if not x["base_failed"])
+
+
+@pytest.mark.parametrize("few", [1, 10_000])
+def test_op12_threshold_of_equal_scores(spark, monkeypatch, few):
+    monkeypatch.setattr(quality, "FEW", few)
+    scores = [0.5] * 40 + [0.25, -1.0, -1.0, 2.0]
+    measured = spark.createDataFrame([(i, False, s) for i, s in enumerate(scores)] + [(0, False, 7.0), (99, True, -5.0), (None, False, -9.0)], "doc_id long, base_failed boolean, score double")
+    held = spark.createDataFrame([(i,) for i in [*range(44), 99, 200]], "doc_id long")
+    for q in (0.0, 0.03, 0.05, 0.07, 0.5, 0.98):
+        assert rules.threshold(measured, held, Scratch(spark, "t"), q) == sorted(scores)[int(q * 44)]
+    assert rules.threshold(measured, held.where("doc_id > 50"), Scratch(spark, "t")) is None
+
+
 def test_op12_held_out_labels(spark):
     """On the given tables: trusted documents stay, those labelled of quality 0 go."""
     sf = "/root/testdata/sf0.01"
