@@ -223,8 +223,7 @@ def sources_kept(spark, sf_dir):
     marks = rows.where("n % 7 = 0").select("file_id", F.col("n").alias("at"), F.concat(F.lit("--- after "), F.col("n").cast("string"), F.lit(" ---")).alias("text"))
     copies = J.with_markers(rows, marks).withColumn("f", F.split("file_id", ":"))
     K.write_sources(copies.select(F.col("f")[0].cast("long").alias("result_id"), F.col("f")[1].cast("long").alias("n"), "at", "side", "text"), index, place)
-    back = spark.read.parquet(f"{place}/copies")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "side", "text"))), lambda x: x["text"]), "\n")  # one document's lines
-    digests = back.groupBy(F.col("result_id").cast("long").alias("result_id"), "n").agg(F.md5(whole.cast("binary")).alias("copy_md5"))
-    read = K.read_sources_index(spark, place).withColumn("result_id", F.col("result_id").cast("long"))
-    return read.join(digests, ["result_id", "n"], "left").select("result_id", "n", "kind", "format", "bytes", "sha256", "lines", "copy_md5")
+    digests = K.read_copies(spark, place).groupBy("result_id", "batch", "n").agg(F.md5(whole.cast("binary")).alias("copy_md5"))
+    read = K.read_sources_index(spark, place)
+    return read.join(digests, ["result_id", "batch", "n"], "left").select("result_id", "n", "kind", "format", "bytes", "sha256", "lines", "copy_md5")

@@ -1,11 +1,13 @@
 """What a job leaves behind: results, sources, usage records, exports; written by Spark.
 
 Every writer adds or replaces whole partitions or appends files, so Spark's commit
-makes a result visible at once or not at all.
+makes a result visible at once or not at all.  Many small results share their files.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,22 +42,34 @@ def source_index(files: DataFrame) -> DataFrame:
 
 
 def write_sources(copies: DataFrame, index: DataFrame, path: str) -> None:
-    """Numbered copies (result_id, n, at, side, text) of kept sources with their markers, and their index, under a folder;
-    writing a result again replaces that result alone."""
-    for rows, name in ((copies, "copies"), (index, "index")):
-        writer = rows.write.mode("overwrite").partitionBy("result_id").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(f"{path}/{name}")
+    """Numbered copies (result_id, n, at, side, text) of kept sources with their markers, and their index, under a folder.
+
+    Each call is a batch, a partition with as many files as there are tasks, however many results it has; in each file a
+    result's rows lie together.  The index comes last and names a result's batch: writing a result again replaces
+    that result alone, and a batch without its index counts for nothing."""
+    batch = F.lit(time.time_ns())
+    for rows, name, order in ((copies, "copies", ("result_id", "n", "at", "side")), (index, "index", ("result_id", "n"))):
+        rows.withColumn("batch", batch).sortWithinPartitions(*order).write.mode("append").partitionBy("batch").parquet(f"{path}/{name}")
 
 
 def read_sources_index(spark: SparkSession, path: str, result_id: str | int | None = None) -> DataFrame:
-    """The index of one result's kept sources, or of all."""
-    index = spark.read.parquet(f"{path}/index")
-    return index if result_id is None else index.where(F.col("result_id") == result_id)
+    """The index of one result's kept sources, or of all, with the batch that has each result's copies."""
+    index = spark.read.parquet(f"{path}/index").withColumn("batch", F.col("batch").cast("long"))
+    index = index if result_id is None else index.where(F.col("result_id") == result_id)
+    last = index.groupBy("result_id").agg(F.max("batch").alias("batch"))
+    return index.join(last, ["result_id", "batch"], "left_semi")
+
+
+def read_copies(spark: SparkSession, path: str) -> DataFrame:
+    """The copies of all batches; those of a result's batch in the index count."""
+    return spark.read.parquet(f"{path}/copies").withColumn("batch", F.col("batch").cast("long"))
 
 
 def read_source(spark: SparkSession, path: str, result_id: str | int, n: int, first: int = 1, last: int = 2**31 - 1) -> DataFrame:
-    """Lines first to last of one kept source, markers with the line ahead of which they stand; only its result is read."""
-    rows = spark.read.parquet(f"{path}/copies").where((F.col("result_id") == result_id) & (F.col("n") == n))
+    """Lines first to last of one kept source, markers with the line ahead of which they stand; by the files' statistics little else is read."""
+    rows = read_copies(spark, path).where((F.col("result_id") == result_id) & (F.col("n") == n))
+    batch = read_sources_index(spark, path, result_id).select("batch").distinct()
+    rows = rows.join(F.broadcast(batch), "batch", "left_semi")
     return rows.where(F.col("at").between(first, last) | ((F.col("side") == 1) & F.col("at").between(first - 1, last - 1)))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from linespan import sinks as K
 from linespan.functions.text import strip_fence
 from linespan.operators import assembly as A
 from linespan.operators import jobs as J
@@ -100,3 +101,16 @@ def test_documents_that_hold_texts(spark):
 def test_prices_of_two_figures(spark):
     df = spark.createDataFrame([(0.00996,), (0.0099,), (0.001,), (0.25,), (0.0,), (None,)], "p double")
     assert [r[0] for r in df.select(J.price_text(F.col("p"))).collect()] == ["$0.010", "$0.0099", "$0.0010", "$0.25", "$0", "-"]
+
+
+def test_sources_of_many_results_share_files(spark, tmp_path):
+    """Two hundred results are a few files; a result written again is replaced alone, also by fewer lines."""
+    copies = spark.range(200).select(F.col("id").alias("result_id"), F.lit(1).cast("long").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("at"), F.lit(0).alias("side"), F.lit("old").alias("text"))
+    index = spark.range(200).select(F.col("id").alias("result_id"), F.lit(1).cast("long").alias("n"), F.lit("a.md").alias("name"))
+    at = str(tmp_path / "sources")
+    K.write_sources(copies, index, at)
+    assert len(list((tmp_path / "sources").rglob("part-*"))) <= 40
+    K.write_sources(copies.where("result_id = 7 and at = 1").withColumn("text", F.lit("new")), index.where("result_id = 7"), at)
+    assert [r["text"] for r in K.read_source(spark, at, 7, 1).collect()] == ["new"]
+    assert [r["text"] for r in K.read_source(spark, at, 8, 1, 2, 2).collect()] == ["old"]
+    assert K.read_sources_index(spark, at).count() == 200 and K.read_sources_index(spark, at, 7).count() == 1
