@@ -83,3 +83,23 @@ def test_reservations_in_any_order_of_arrival(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     got = U.run_once(B.reservations(stream, 200, "5 days")).where("user_id < 9").collect()
     assert sorted((x["user_id"], x["seq"], x["granted"], x["spent"], x["reserved"]) for x in got) == sorted(want) and {x[2] for x in want} == {True, False, None}
+
+
+def test_ledger_keeps_a_row_of_state_a_shard(spark, tmp_path):
+    """Six hundred users over two days and three micro-batches against a plain walk; state has a row a shard's day, not a user's."""
+    r, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=k), r.choice([None, *range(600)]), "x", r.choice([0.1, 0.25, 0.4, None]), "") for k in range(2_400)]
+    for k in range(0, len(rows), 800):
+        spark.createDataFrame(rows[k : k + 800], U.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(U.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = U.ledger(stream, 60, shards=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spent, want = {}, set()
+    for event, ts, user, _, value, _ in rows:
+        key = user, f"{ts:%Y-%m-%d}"
+        ok = value is not None and spent.get(key, 0) + round(value * 100) <= 60
+        spent[key] = spent.get(key, 0) + (round(value * 100) if ok else 0)
+        want.add((user, event, key[1], ok, spent[key]))
+    got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= 2 * (4 + 1)
