@@ -9,7 +9,7 @@ parser (references in prose, hard tokens) is a function in a vectorised UDF.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Refs, fold_space, hard_tokens
-from .quotes import named_quotes
+from .quotes import beginnings, last_known, said_plainly, said_under
 from .render import label_text
 
 KEY = ("job", "chunk")
 NOT_IN_INPUT = r"(?i)^\W*NOT IN INPUT\W*$"
 MASK = r"\[[a-z_]+\]|<[A-Z][A-Z_]*>"
 WIDE = 30
+CUT = r"(?:…|\.\.\.)\s*$"
 
 
 def clip(text: Column, n: int = 200) -> Column:
@@ -56,21 +57,67 @@ def resolve_names(refs: DataFrame, carried: DataFrame) -> DataFrame:
     return df.withColumn("name", found).withColumn("problem", F.when(F.col("name").isNull(), problem)).drop("_files", "_only", "_near", "_same", "_like")
 
 
+def resolved(written: Column, names: Column) -> Column:
+    """(name, problem) of a written name among the names of its chunk, as `resolve_names` has them."""
+    like = F.filter(names, lambda x: F.endswith(x, F.concat(F.lit("/"), written)))
+    only = lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0)))
+    name = F.when(written.isNull(), only(names)).when(F.array_contains(names, written), written).otherwise(only(like))
+    problem = (
+        F.when(name.isNotNull(), F.lit(None).cast("string"))
+        .when(written.isNull(), "file name missing (several files)")
+        .when(F.size(like) > 1, F.concat(F.lit("ambiguous file name in ref: "), written))
+        .otherwise("unknown file name")
+    )
+    return F.struct(name.alias("name"), problem.alias("problem"))
+
+
+def with_sources(asked: DataFrame, carried: DataFrame, place: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """asked (job, chunk, ...) with the columns that `place` has for the names of a row's chunk, name and n among them, and
+    `source`, the carried line that these mean.
+
+    Both tables are dealt by chunk once and lie in one order there, so a chunk's names and a line's text reach what asks
+    for them without a further shuffle, and columns that nothing asks for travel nowhere."""
+    lines = carried.select(*KEY, F.lit(0).alias("_side"), F.col("name").alias("_name"), F.col("n").alias("_n"), F.col("text").alias("_source"))
+    rows = lines.unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    rows = rows.withColumn("_names", F.collect_set("_name").over(Window.partitionBy(*KEY)))
+    own, new = F.col("_side") == 0, place(F.col("_names"))
+    rows = rows.withColumns({f"_of_{c}": x for c, x in new.items()}).drop("_names")
+    rows = rows.withColumns({"_name": F.when(own, F.col("_name")).otherwise(F.col("_of_name")), "_n": F.when(own, F.col("_n")).otherwise(F.col("_of_n"))})
+    line = Window.partitionBy(*KEY, "_name", "_n").orderBy("_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_source", F.first("_source", ignorenulls=True).over(line)).where("_side = 1")
+    rest = [c for c in asked.columns if c not in new]
+    return rows.select(*rest, *[F.col(f"_of_{c}").alias(c) for c in new], F.col("_source").alias("source"))
+
+
+def _lean(q: Column) -> Column:
+    """A quote without its text, which may be as long as its line: digests of it and of its folded form, and its beginning if it was cut."""
+    digest = lambda text: F.unhex(F.md5(text.cast("binary")))
+    cut = F.when(q["said"].rlike(CUT), F.nullif(fold_space(F.regexp_replace(q["said"], CUT, "")), F.lit("")))
+    return F.struct(q["written"].alias("written"), q["n"].alias("n"), digest(q["said"]).alias("same"), digest(fold_space(q["said"])).alias("folded"), cut.alias("cut"))
+
+
 def check_extract(answers: DataFrame, carried: DataFrame) -> DataFrame:
-    """Answer lines (job, chunk, pos, raw) with name, n, status and reason."""
-    lines = answers.where(F.trim("raw") != "")
-    lines = resolve_names(named_quotes(lines, carried), carried)
-    source = carried.select(*KEY, "name", "n", F.col("text").alias("source"))
-    df = lines.join(source, [*KEY, "name", "n"], "left")
-    said, source = F.col("said"), F.col("source")
-    cut = fold_space(F.regexp_replace(said, r"(?:…|\.\.\.)\s*$", ""))
-    partial = said.rlike(r"(?:…|\.\.\.)\s*$") & (cut != "") & fold_space(source).startswith(cut)
+    """Answer lines (job, chunk, pos, raw) with name, n, status and reason.
+
+    A text is compared with its line by digests; only the beginnings of quotes that were cut are sent to their lines."""
+    text = F.ltrim("raw")
+    lines = answers.where(F.trim("raw") != "").withColumn("_nothing", F.col("raw").rlike(NOT_IN_INPUT)).withColumn("_plain", said_plainly(text))
+    lines = lines.withColumn("_plain", _lean(F.col("_plain"))).withColumn("_begun", F.transform(beginnings(text), lambda x: _lean(said_under(text, x))))
+
+    def place(names: Column) -> dict[str, Column]:
+        q = F.coalesce(last_known(F.col("_begun"), names), F.col("_plain"))
+        found = resolved(q["written"], names)
+        return {"name": found["name"], "n": q["n"], "problem": found["problem"], "quote": q}
+
+    df = with_sources(lines, carried, place)
+    source, q = F.col("source"), F.col("quote")
+    digest = lambda text: F.unhex(F.md5(text.cast("binary")))
     status = (
-        F.when(F.col("raw").rlike(NOT_IN_INPUT), "not_in_input")
+        F.when(F.col("_nothing"), "not_in_input")
         .when(F.col("n").isNull() | F.col("name").isNull() | source.isNull(), "bad")
-        .when(said == source, "ok")
-        .when(fold_space(said) == fold_space(source), "ok~")
-        .when(partial, "partial")
+        .when(q["same"] == digest(source), "ok")
+        .when(q["folded"] == digest(fold_space(source)), "ok~")
+        .when(F.startswith(fold_space(source), q["cut"]), "partial")
         .otherwise("bad")
     )
     reason = (
@@ -80,16 +127,15 @@ def check_extract(answers: DataFrame, carried: DataFrame) -> DataFrame:
         .when(source.isNull(), "line not in this chunk's input")
         .otherwise("text differs from the source line")
     )
-    return df.withColumn("status", status).withColumn("reason", reason).drop("written", "problem", "source")
+    return df.withColumn("status", status).withColumn("reason", reason).select(*answers.columns, "name", "n", "status", "reason")
 
 
 def dedupe_extract(items: DataFrame) -> DataFrame:
     """Of items of one line that aren't bad, the first by chunk and position; bad ones all stay."""
-    at = F.struct("chunk", "pos")
-    good = items.where("status != 'bad' and name is not null and n is not null")
-    first = good.groupBy("job", "name", "n").agg(F.min(at).alias("_first"))
-    kept = good.join(first, ["job", "name", "n"]).where(at == F.col("_first")).drop("_first")
-    return kept.unionByName(items.where("status = 'bad' or name is null or n is null"))
+    stays = (F.col("status") == "bad") | F.col("name").isNull() | F.col("n").isNull()
+    alone = [F.when(stays, F.col(c)) for c in ("chunk", "pos")]  # else all of a job's that name no line would meet
+    first = F.rank().over(Window.partitionBy("job", "name", "n", *alone).orderBy("chunk", "pos")) == 1
+    return items.withColumn("_first", first).where(stays | F.col("_first")).drop("_first")
 
 
 def extract_summary(items: DataFrame, *by: str) -> DataFrame:
@@ -269,6 +315,7 @@ def result_lines(items: DataFrame) -> DataFrame:
 
 def probe_verdict(items: DataFrame, expected: DataFrame) -> DataFrame:
     """Per job: whether its lines are exactly the expected (job, name, n) and all are ok."""
-    got = items.where("status != 'not_in_input'").groupBy("job", "name", "n").agg(F.min(F.col("status") == "ok").alias("ok"))
-    both = got.join(expected.select("job", "name", "n").distinct().withColumn("wanted", F.lit(True)), ["job", "name", "n"], "full")
+    got = items.where("status != 'not_in_input'").select("job", "name", "n", (F.col("status") == "ok").alias("ok"), F.lit(None).cast("boolean").alias("wanted"))
+    want = expected.select("job", "name", "n", F.lit(None).cast("boolean").alias("ok"), F.lit(True).alias("wanted"))
+    both = got.unionByName(want).groupBy("job", "name", "n").agg(F.min("ok").alias("ok"), F.max("wanted").alias("wanted"))
     return both.groupBy("job").agg(F.min(F.coalesce(F.col("ok") & F.col("wanted"), F.lit(False))).alias("passed"))

@@ -12,6 +12,7 @@ from ..functions.text import fold_space
 
 KEY = ("job", "chunk")
 TAIL = r"^L(\d+)(?: \([^\n]*?\))?\|\s?(.*)$"
+PLAIN = r"^(?:(.+?):)??L(\d+)(?: \([^\n]*?\))?\|\s?(.*)$"
 
 
 def _inner_words(folded: Column) -> Column:
@@ -45,31 +46,44 @@ def find_quotes(quotes: DataFrame, carried: DataFrame) -> DataFrame:
     return quotes.join(first, [*KEY, "quote"], "left")
 
 
+def said_under(text: Column, name: Column) -> Column:
+    """(written, n, said) of a line that begins with a name and `:L`."""
+    behind = F.substr(text, F.length(name) + 2)
+    return _quote(name, F.regexp_extract(behind, TAIL, 1), F.regexp_extract(behind, TAIL, 2))
+
+
+def said_plainly(text: Column) -> Column:
+    """(written, n, said) of a line in which no carried name is looked for: what stands ahead of its first place is the name."""
+    return _quote(F.nullif(F.regexp_extract(text, PLAIN, 1), F.lit("")), F.regexp_extract(text, PLAIN, 2), F.regexp_extract(text, PLAIN, 3))
+
+
+def _quote(written: Column, n: Column, said: Column) -> Column:
+    return F.struct(written.alias("written"), n.try_cast("int").alias("n"), said.alias("said"))
+
+
+def beginnings(text: Column) -> Column:
+    """What may be the name that a line begins with, in order of length: every beginning that a further `:L` and a place end.
+    A line with one `:L` has none."""
+    parts = F.split(text, ":L", -1)
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), ":L"))
+    return F.when(F.size(parts) > 2, F.filter(begins, lambda x: F.substr(text, F.length(x) + 2).rlike(TAIL)))
+
+
+def last_known(quotes: Column, names: Column) -> Column:
+    """The last of the quotes whose name is one of the names, or null."""
+    known = F.filter(quotes, lambda q: F.array_contains(names, q["written"]))
+    return F.get(known, F.size(known) - 1)
+
+
 def named_quotes(lines: DataFrame, carried: DataFrame, raw: str = "raw") -> DataFrame:
     """Answer lines (job, chunk, pos, raw) with `written`, `n` and `said` of `name:L12| text`.
 
-    A line that begins with a carried name and `:L` is of the longest such name; every beginning that a
-    further `:L` ends is looked up by a join on equality.  Lines with one `:L` need no look-up."""
+    A line that begins with a carried name and `:L` is of the longest such name."""
+    names = carried.groupBy(*KEY).agg(F.collect_set("name").alias("_names"))
     text = F.ltrim(raw)
-    parts = F.split(text, ":L", -1)
-    df = lines.withColumn("_text", text).withColumn("_parts", parts)
-    several = df.where(F.size("_parts") > 2).select(*KEY, "_text", "_parts").distinct()
-    begins = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda k: F.array_join(F.slice("_parts", F.lit(1), k), ":L"))
-    begins = several.select(*KEY, "_text", F.explode(begins).alias("name"))
-    begins = begins.where(F.substr("_text", F.length("name") + 2).rlike(TAIL))
-    known = begins.join(carried.select(*KEY, "name").distinct(), [*KEY, "name"])
-    longest = known.groupBy(*KEY, "_text").agg(F.max_by("name", F.length("name")).alias("_known"))
-    df = df.join(longest, [*KEY, "_text"], "left")
-    behind = F.when(F.col("_known").isNotNull(), F.substr("_text", F.length("_known") + 2)).when(F.col("_text").rlike(TAIL), F.col("_text"))
-    unknown = r"^(.+?):L(\d+)(?: \([^\n]*?\))?\|\s?(.*)$"
-    got = lambda i: F.regexp_extract(F.col("_text"), unknown, i)
-    df = df.withColumn("_behind", behind)
-    return df.select(
-        *lines.columns,
-        F.coalesce("_known", F.when(F.col("_behind").isNull() & (got(1) != ""), got(1))).alias("written"),
-        F.when(F.col("_behind").isNotNull(), F.regexp_extract("_behind", TAIL, 1)).otherwise(got(2)).try_cast("int").alias("n"),
-        F.when(F.col("_behind").isNotNull(), F.regexp_extract("_behind", TAIL, 2)).otherwise(got(3)).alias("said"),
-    )
+    df = lines.join(names, list(KEY), "left")
+    known = last_known(F.transform(beginnings(text), lambda x: said_under(text, x)), F.col("_names"))
+    return df.withColumn("_q", F.coalesce(known, said_plainly(text))).select(*lines.columns, "_q.written", "_q.n", "_q.said")
 
 
 def texts_holding(items: DataFrame, docs: DataFrame) -> DataFrame:

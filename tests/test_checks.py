@@ -141,3 +141,37 @@ def test_schema_report_counts_chunks(spark):
     got = {r["job"]: r.asDict() for r in S.schema_report(items, answers, 7, "job").collect()}
     pick = lambda j: tuple(got[j][c] for c in ("fields", "values", "ok", "ok_folded", "bad_ref", "nulls", "failed_chunks", "repaired_chunks", "refs_ok", "refs_bad", "pass_rate"))
     assert pick(1) == (7, 3, 1, 1, 1, 1, 1, 1, 2, 1, 2 / 3) and pick(2) == (7, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0.0) and pick(3) == (7, 0, 0, 0, 0, 0, 1, 0, 0, 0, None)
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange " in x]
+
+
+def test_extract_deals_texts_once(spark):
+    """Carried lines and answers meet in one shuffle; what is kept of overlaps and a probe's verdict add narrow ones only."""
+    lines = spark.range(40).select((F.col("id") % 4).alias("job"), F.lit(1).alias("chunk"), F.lit("a.md").alias("name"), F.col("id").cast("int").alias("n"), F.col("id").cast("string").alias("text"))
+    answers = lines.select("job", "chunk", F.col("n").alias("pos"), F.concat(F.lit("L"), "n", F.lit("| "), "text").alias("raw"))
+    items = C.check_extract(answers, lines).select("job", "chunk", "pos", "name", "n", "status")
+    assert len(_exchanges(items)) == 1
+    kept = C.dedupe_extract(items)
+    assert len(_exchanges(kept)) == 2 and kept.where("status = 'ok'").count() == 40
+    verdict = C.probe_verdict(kept, lines.select("job", "name", "n"))
+    assert len(_exchanges(verdict)) <= 4 and all(r["passed"] for r in verdict.collect())
+
+
+def test_names_with_places_and_cut_quotes(spark):
+    """The longest carried name is meant, a cut quote is compared with its line's beginning, overlaps stay once, bad items all."""
+    carried = spark.createDataFrame([(1, c, n, k, t) for c in (1, 2) for n, k, t in (("a", 1, "one  two three"), ("a:L1| x", 2, "four"), ("b/a.md", 3, "five"), ("c/a.md", 3, "six"))], "job int, chunk int, name string, n int, text string")
+    raw = ["a:L1| one two…", "a:L1| x:L2| four", "a.md:L3| five", "b/a.md:L3|five", "b/a.md:L3| …", "L3| five", "a:L1| two...", " NOT IN INPUT. "]
+    df = spark.createDataFrame([(1, c, i, t) for c in (1, 2, 3) for i, t in enumerate(raw)], "job int, chunk int, pos int, raw string")
+    items = C.check_extract(df, carried)
+    got = {(r["chunk"], r["pos"]): (r["name"], r["n"], r["status"], r["reason"]) for r in items.collect()}
+    want = [
+        ("a", 1, "partial", None), ("a:L1| x", 2, "ok", None), (None, 3, "bad", "ambiguous file name in ref: a.md"), ("b/a.md", 3, "ok", None), ("b/a.md", 3, "bad", "text differs from the source line"),
+        (None, 3, "bad", "file name missing (several files)"), ("a", 1, "bad", "text differs from the source line"), (None, None, "not_in_input", None),
+    ]
+    assert [got[1, k] for k in range(8)] == want and [got[2, k] for k in range(8)] == want
+    assert got[3, 0] == (None, 1, "bad", "unknown file name") and got[3, 5][3] == "file name missing (several files)"
+    kept = sorted((r["chunk"], r["pos"]) for r in C.dedupe_extract(items).where("chunk < 3").collect())
+    assert kept == [(1, k) for k in range(8)] + [(2, k) for k in (2, 4, 5, 6, 7)]
