@@ -25,13 +25,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _carried(spark, sf_dir) -> DataFrame:
-    """Documents as jobs of chunks of 8 lines; chunk k also carries the last line of chunk k - 1."""
-    rows = L.explode_lines(L.with_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job"), "text")), "job")
+def _carried(spark, sf_dir, total: bool = False) -> DataFrame:
+    """Documents as jobs of chunks of 8 lines; chunk k also carries the last line of chunk k - 1.  total: with the document's number of lines."""
+    docs = L.with_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job"), "text")).withColumn("total", F.size("lines"))
+    rows = L.explode_lines(docs, "job", "total")
     at = F.floor((F.col("n") - 1) / 8).cast("int") + 1
     chunks = F.when(F.col("n") % 8 == 0, F.array(at, at + 1)).otherwise(F.array(at))
     name = F.concat(F.lit("in/doc-"), F.col("job").cast("string"), F.lit(".txt"))
-    return rows.select("job", F.explode(chunks).alias("chunk"), name.alias("name"), "n", "text")
+    return rows.select("job", F.explode(chunks).alias("chunk"), name.alias("name"), "n", "text", *["total"] * total)
 
 
 CARRIED = f"""{LINES},
@@ -100,12 +101,11 @@ SELECT job, n % 2 = 0 AS passed FROM (SELECT doc_id AS job, count(*) AS n FROM r
 def probe_verdict(spark, sf_dir):
     """Jobs that quote all their lines pass; in jobs of an odd number of lines the last is left out."""
     c = _carried(spark, sf_dir)
-    total = c.groupBy("job").agg(F.max("n").alias("total"))
-    quoted = c.join(total, "job").where("total % 2 = 0 or n < total")
+    quoted = _carried(spark, sf_dir, total=True).where("total % 2 = 0 or n < total")
     raw = F.concat(F.lit("L"), F.col("n").cast("string"), F.lit("| "), "text")
     answers = quoted.select("job", "chunk", F.col("n").alias("pos"), raw.alias("raw"))
     items = C.dedupe_extract(C.check_extract(answers, c))
-    return C.probe_verdict(items, c.select("job", "name", "n").distinct())
+    return C.probe_verdict(items, c.select("job", "name", "n"))
 
 
 @query(
