@@ -1,24 +1,34 @@
 """Running values over rows in an order, where one key may have more rows than a task should hold.
 
 Rows are dealt into ranges of (key, order); each range works on its own rows and takes over what the ranges
-before have of the same key, which is one row a range at most.  The ranges are cut off by a checkpoint in
-the shared folder, so that every later step sees the same ones.
+before have of the same key, which is one row a range at most.  The ranges are cut off by a table in
+the shared folder, so that every later step sees the same ones.  All columns of the rows go there: what is long is better joined afterwards.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 
+#: With this, shuffle files go when the table that they made is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder and read back."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df as written to the shared folder, compressed and by column, and read back."""
+    spark = df.sparkSession
+    at, kept = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex[:12]}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def _ranged(rows: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:

@@ -105,7 +105,7 @@ SELECT job, chunk, pos, status, row_number() OVER (PARTITION BY job ORDER BY chu
 def assembled_extract(spark, sf_dir):
     """The lines of a job's result: overlaps once, numbered over all chunks."""
     items = C.dedupe_extract(C.check_extract(_answers(spark, sf_dir), _carried(spark, sf_dir)))
-    return A.assemble_extract(items).select("job", "chunk", "pos", "status", "result_line")
+    return A.assemble_extract(items.select("job", "chunk", "pos", "status"))
 
 
 def _drafts(spark, sf_dir) -> DataFrame:
