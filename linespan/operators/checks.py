@@ -153,22 +153,31 @@ def extract_summary(items: DataFrame, *by: str) -> DataFrame:
 
 
 def check_edits(edits: DataFrame, carried: DataFrame) -> DataFrame:
-    """Edits (job, chunk, pos, file, line, old, new) with n, name, status and reason; the first fault decides."""
+    """Edits (job, chunk, pos, file, line, old, new) with n, name, status, reason and says (whether there is an old text); the first fault decides."""
     n = F.regexp_extract(F.trim(F.col("line").cast("string")), r"^L?(\d+)$", 1).try_cast("int")
-    df = resolve_names(edits.withColumn("n", n).withColumn("written", F.when(F.col("file") != "", F.col("file"))), carried)
-    df = df.join(carried.select(*KEY, "name", "n", F.col("text").alias("source")), [*KEY, "name", "n"], "left")
+    old, new = F.col("old"), F.col("new")
+    asked = edits.withColumns(
+        {"_n_said": n, "_written": F.when(F.col("file") != "", F.col("file")), "says": old.isNotNull(), "_unsaid": old.isNull() | new.isNull() | (old == ""), "_masked": old.rlike(MASK) | new.rlike(MASK)}
+    )
+
+    def place(names: Column) -> dict[str, Column]:
+        found = resolved(F.col("_written"), names)
+        return {"name": found["name"], "n": F.col("_n_said"), "problem": found["problem"]}
+
+    df = with_sources(asked, carried, place)
     often = F.size(F.regexp_extract_all("source", F.concat(F.lit("(?=("), _quoted(F.col("old")), F.lit("))")), F.lit(1)))
     df = df.withColumn("often", F.when(F.col("source").isNotNull() & (F.col("old") != ""), often))
     reason = (
-        F.when(F.col("old").isNull() | F.col("new").isNull() | (F.col("old") == ""), '"old" and "new" must be strings, "old" non-empty')
+        F.when(F.col("_unsaid"), '"old" and "new" must be strings, "old" non-empty')
         .when(F.col("n").isNull(), 'bad "line"')
         .when(F.col("name").isNull(), F.col("problem"))
         .when(F.col("source").isNull(), "line not in this chunk's input")
-        .when(F.col("old").rlike(MASK) | F.col("new").rlike(MASK), "touches a mask: the masked text is not what is on disk")
+        .when(F.col("_masked"), "touches a mask: the masked text is not what is on disk")
         .when(F.col("often") == 0, '"old" is not in the source line')
         .when(F.col("often") > 1, F.concat(F.lit('"old" occurs '), F.col("often"), F.lit(" times in the source line")))
     )
-    return df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("bad")).drop("written", "problem", "source", "often")
+    df = df.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("bad"))
+    return df.select(*[c for c in edits.columns if c not in ("name", "n", "status", "reason", "says")], "name", "n", "status", "reason", "says")
 
 
 def _quoted(text: Column) -> Column:
@@ -178,8 +187,10 @@ def _quoted(text: Column) -> Column:
 
 def dedupe_edits(items: DataFrame) -> DataFrame:
     """Of a line's valid edits those of its first chunk; rejected ones go if an earlier chunk has a valid edit there."""
-    first = items.where("status = 'ok'").groupBy("job", "name", "n").agg(F.min("chunk").alias("_first"))
-    df = items.join(first, ["job", "name", "n"], "left")
+    nowhere = F.col("name").isNull() | F.col("n").isNull()
+    alone = [F.when(nowhere, F.col(c)) for c in ("chunk", "pos")]  # else all of a job's that name no line would meet
+    first = F.min(F.when(F.col("status") == "ok", F.col("chunk"))).over(Window.partitionBy("job", "name", "n", *alone))
+    df = items.withColumn("_first", first)
     keep = F.when(F.col("status") == "ok", F.col("chunk") == F.col("_first")).otherwise(F.coalesce(F.col("chunk") <= F.col("_first"), F.lit(True)))
     return df.where(keep).drop("_first")
 

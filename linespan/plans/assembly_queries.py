@@ -164,7 +164,8 @@ def assembled_edits(spark, sf_dir):
     c = _carried(spark, sf_dir).where("text <> ''")
     old = F.when(F.col("n") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text"))
     edits = c.select("job", "chunk", F.col("at").alias("pos"), F.col("name").alias("file"), F.col("n").alias("line"), old.alias("old"), F.lit("x").alias("new"), F.lit("because").alias("why"))
-    lines = A.assemble_edits(C.dedupe_edits(C.check_edits(edits, c)))
+    items = C.check_edits(edits, c).select("job", "chunk", "pos", "name", "n", "status", "says")
+    lines = A.assemble_edits(C.dedupe_edits(items), edits)
     said = F.from_json("text", "file string, line int, old string, new string, why string")
     return lines.select("job", "result_line", F.md5(F.concat_ws(" ", said["file"], said["line"].cast("string"), said["old"])).alias("edit_md5"), "status")
 

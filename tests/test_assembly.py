@@ -1,14 +1,19 @@
 """Results put together: quotes found elsewhere, names that hold references, halves, pages, fences."""
 
+import glob
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from linespan import sinks as K
 from linespan.functions.text import strip_fence
 from linespan.operators import assembly as A
+from linespan.operators import checks as C
 from linespan.operators import jobs as J
 from linespan.operators import quotes as Q
 from linespan.operators import schema as S
+from linespan.session import shared_dir
 
 LINES = [("b.md", 7, "The total is  5 units of water"), ("a.md", 1, "Ünits of water are here"), ("a:L2.md", 3, "x"), ("a.md", 2, "of water: yes"), ("z.md", 1, "")]
 
@@ -114,3 +119,17 @@ def test_sources_of_many_results_share_files(spark, tmp_path):
     assert [r["text"] for r in K.read_source(spark, at, 7, 1).collect()] == ["new"]
     assert [r["text"] for r in K.read_source(spark, at, 8, 1, 2, 2).collect()] == ["old"]
     assert K.read_sources_index(spark, at).count() == 200 and K.read_sources_index(spark, at, 7).count() == 1
+
+
+def test_numbers_are_found_without_the_texts(spark):
+    """Valid edits first, then the rejected with a text; what is written to number them has no text of theirs."""
+    carried = spark.createDataFrame([(1, c, "a.md", n, f"line {n} is here") for c in (1, 2) for n in (1, 2, 3)], "job long, chunk int, name string, n int, text string")
+    said = [(1, 1, 0, "", "2", "line 9", "x"), (1, 1, 1, "a.md", "L1", "line 1", "x"), (1, 1, 2, "", "3", None, "x"), (1, 2, 0, "", "1", "line", "x"), (1, 2, 1, "", "2", "line 2", "y"), (1, 2, 2, "b.md", "2", "li", "y")]
+    edits = spark.createDataFrame([(*x, "why") for x in said], "job long, chunk int, pos int, file string, line string, old string, new string, why string")
+    items = C.dedupe_edits(C.check_edits(edits, carried))
+    lines = A.assemble_edits(items, edits).orderBy("result_line").collect()
+    assert [(r["result_line"], r["status"], json.loads(r["text"]).get("old")) for r in lines] == [(1, "ok", "line 1"), (2, "ok", "line 2"), (3, "bad", "line 9"), (4, "bad", "li")]
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/*"))
+    A.assemble_edits(items, edits)
+    written = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/*")) - before
+    assert written and all("old" not in spark.read.parquet(p).columns for p in written)
