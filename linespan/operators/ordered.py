@@ -38,16 +38,26 @@ def _ranged(rows: DataFrame, keys: list[str], order: list, values: dict[str, Col
 
 def before(rows: DataFrame, keys: list[str], order: list, sums: dict[str, Column]) -> DataFrame:
     """rows with the sum of each of `sums` over the rows of the same key before its own; keys aren't null."""
-    ranged = _ranged(rows, keys, order, sums)
-    parts = ranged.groupBy(*keys, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in sums])
+    return _before(_ranged(rows, keys, order, sums), rows.columns, keys, order, list(sums))
+
+
+def before_each(rows: DataFrame, keys: list[str], inner: list[str], order: list, outer_sums: dict[str, Column], inner_sums: dict[str, Column]) -> DataFrame:
+    """`before` by keys, in the order of inner and order, and by keys and inner, over the same ranges."""
+    ranged = _ranged(rows, [*keys, *inner], order, outer_sums | inner_sums)
+    some = _before(ranged, ranged.columns, keys, [*inner, *order], list(outer_sums))
+    return _before(some, [*rows.columns, *outer_sums], [*keys, *inner], order, list(inner_sums), ranged)
+
+
+def _before(local: DataFrame, columns: list[str], keys: list[str], order: list, names: list[str], ranged: DataFrame | None = None) -> DataFrame:
+    parts = (local if ranged is None else ranged).groupBy(*keys, "_range").agg(*[F.sum(f"_of_{n}").alias(f"_all_{n}") for n in names])
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("_range"))
-    carried = parts.select(*keys, "_range", first.alias("_no"), *[F.sum(f"_all_{n}").over(ahead).alias(f"_ahead_{n}") for n in sums]).where("_no > 1")
+    carried = parts.select(*keys, "_range", first.alias("_no"), *[F.sum(f"_all_{n}").over(ahead).alias(f"_ahead_{n}") for n in names]).where("_no > 1")
     here = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumns({f"_here_{n}": F.sum(f"_of_{n}").over(here) for n in sums})
+    local = local.withColumns({f"_here_{n}": F.sum(f"_of_{n}").over(here) for n in names})
     zero = F.lit(0)
-    both = {n: (F.coalesce(f"_here_{n}", zero) + F.coalesce(f"_ahead_{n}", zero)).alias(n) for n in sums}
-    return local.join(F.broadcast(carried), [*keys, "_range"], "left").select(*rows.columns, *both.values())
+    both = {n: (F.coalesce(f"_here_{n}", zero) + F.coalesce(f"_ahead_{n}", zero)).alias(n) for n in names}
+    return local.join(F.broadcast(carried), [*keys, "_range"], "left").select(*columns, *both.values())
 
 
 def last_at(rows: DataFrame, keys: list[str], order: list, values: dict[str, Column]) -> DataFrame:

@@ -143,8 +143,9 @@ def job_chunks_refused(spark, sf_dir):
 def job_chunks_marked(spark, sf_dir):
     """The same jobs with sections: a break repeats the chain of the chunk's first line.  Tested against chunks cut in one pass."""
     docs = _docs(spark, sf_dir)
-    marked = S.with_sections(_job_lines(spark, sf_dir), _sectioned(docs), ["doc_id"])
-    df = C.chunk_jobs(C.job_rows(marked), BUDGET)
+    lines = _job_lines(spark, sf_dir)
+    marked = S.with_sections(lines.drop("text"), _sectioned(docs), ["doc_id"])
+    df = C.chunk_jobs(C.job_rows(marked, lines), BUDGET)
     return df.select("job", "chunk", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lines")
 
 

@@ -1,5 +1,6 @@
 """Sections, and chunks of whole jobs, against values worked out by hand and chunks cut in one pass."""
 
+import glob
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from linespan.operators import chunks as C
 from linespan.operators import ordered as O
 from linespan.operators import sections as S
+from linespan.session import shared_dir
 from linespan.sources import lines as L
 
 LINK = "array<struct<ref:int,text:string>>"
@@ -198,3 +200,15 @@ def test_documents_in_one_row_are_cut_as_jobs_are(spark):
     docs = spark.createDataFrame([(n, n, [(i, f"L{i}| {x}") for i, x in enumerate(lines, 1)]) for n, lines in files], "file_id string, name string, items array<struct<n:int,text:string>>")
     whole = [(x["file_id"], x["chunk"], x["text"], x["tokens"], x["first"], x["last"]) for x in chunk_documents(docs, 90).collect()]
     assert sorted(jobs) == sorted(whole) and len(jobs) > 20
+
+
+def test_rows_are_numbered_without_their_texts(spark):
+    """Numbers over a job and within its files from one table of ranges, in which no line's text is written."""
+    bare = {"pre": F.array().cast("array<struct<kind:string,ref:int,text:string>>"), "chain": F.lit(None).cast(LINK), "mark": F.lit(None).cast("string"), "post": F.lit(None).cast("string")}
+    shown = spark.range(60).select(F.lit("j").alias("job"), F.floor(F.col("id") / 20).alias("file_no"), F.lit("a").alias("name"), (F.col("id") % 20 + 1).cast("int").alias("n"), F.lit(True).alias("multi"), F.concat(F.lit("text "), "id").alias("text"))
+    at = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{at}/*"))
+    rows = C.job_rows(shown.withColumns(bare)).orderBy("g").collect()
+    assert [(r["g"], r["n"], r["text"], r["opens"]) for r in rows] == [(k, k % 20 + 1, f"text {k}", k % 20 == 0) for k in range(60)]
+    written = set(glob.glob(f"{at}/*")) - before
+    assert len(written) == 1 and all("text" not in spark.read.parquet(p).columns for p in written)
