@@ -29,17 +29,16 @@ def find_quotes(quotes: DataFrame, carried: DataFrame) -> DataFrame:
     are probed by the letters that three in a row of them are, so they meet only lines that have these."""
     asked = quotes.select(*KEY, "quote").distinct().withColumn("_q", fold_space(F.col("quote"))).where("_q != ''")
     word = F.array_max(F.transform(_inner_words(F.col("_q")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3)))
     # A quote's rarest letters can't be known here: its middle ones, as good as any.
     letters = F.when(F.length("_q") >= 3, F.substr(F.col("_q"), F.floor((F.length("_q") - 1) / 2).cast("int"), F.lit(3)))
     asked = asked.withColumn("_key", F.coalesce(F.concat(F.lit("w"), word), F.concat(F.lit("g"), letters), F.lit("")))
     wants = asked.groupBy(*KEY).agg(F.collect_set("_key").alias("_asked"))  # as many as a chunk's answer has quotes
     at = F.col("at") if "at" in carried.columns else F.struct("name", "n")
     lines = carried.select(*KEY, "name", "n", at.alias("at"), fold_space(F.col("text")).alias("_t")).join(wants, list(KEY))
-    by_letters = F.exists("_asked", lambda k: k.startswith("g"))
     words = F.transform(F.split("_t", " "), lambda w: F.concat(F.lit("w"), w))
-    letters = F.when(by_letters, F.transform(grams(F.col("_t")), lambda g: F.concat(F.lit("g"), g))).otherwise(F.array().cast("array<string>"))
-    keys = F.array_intersect(F.concat(words, letters, F.array(F.lit(""))), "_asked")  # of a line, only what is asked for leaves its row
+    # Letters are looked for in the line; to list all that it has would take the square of its length.
+    letters = F.filter("_asked", lambda k: k.startswith("g") & F.contains(F.col("_t"), F.substr(k, F.lit(2))))
+    keys = F.concat(F.array_intersect(F.concat(words, F.array(F.lit(""))), "_asked"), letters)  # of a line, only what is asked for leaves its row
     index = lines.select(*KEY, "name", "n", "at", "_t", F.explode(keys).alias("_key"))
     met = asked.join(index, [*KEY, "_key"]).where(F.contains("_t", F.col("_q")))
     first = met.groupBy(*KEY, "quote").agg(F.min_by(F.concat("name", F.lit(":L"), F.col("n").cast("string")), "at").alias("found"))

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,12 @@ def test_numbers_are_found_without_the_texts(spark):
     A.assemble_edits(items, edits)
     written = set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/*")) - before
     assert written and all("old" not in spark.read.parquet(p).columns for p in written)
+
+
+def test_a_quote_of_two_letters_more_in_a_very_long_line(spark):
+    """A line's letters are not listed one by one, each counted from its start: that took minutes for a line as long as this."""
+    carried = spark.createDataFrame([(1, 1, 0, "a.md", 1, "é" * 400_000 + " xyzzy"), (1, 1, 1, "a.md", 2, "xyzzy")], "job long, chunk int, at int, name string, n int, text string")
+    quotes = spark.createDataFrame([(1, 1, "yzz"), (1, 1, "yzy")], "job long, chunk int, quote string")
+    began = time.time()
+    got = {r["quote"]: r["found"] for r in Q.find_quotes(quotes, carried).collect()}
+    assert got == {"yzz": "a.md:L1", "yzy": None} and time.time() - began < 60
